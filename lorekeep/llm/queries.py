@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, packing, quality_rules, sentence_pieces
+from lorekeep.llm import exact_dedup, packing, quality_rules, sentence_pieces, toxicity
 from lorekeep.llm.oracles import ORACLES
 from lorekeep.storage import load
 
@@ -32,6 +32,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op8_packing, op9_sentence_pieces)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op8_packing, op9_sentence_pieces, op10_toxicity)}
 
 __all__ = ["QUERIES", "ORACLES"]
