@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, sentence_pieces, toxicity
+from lorekeep.llm import exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity
 from lorekeep.llm.oracles import ORACLES
 from lorekeep.storage import load
 
@@ -27,6 +27,12 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -49,6 +55,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op4_quality_classifier, op6_privacy, op7_near_dedup, op8_packing, op9_sentence_pieces, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_suffix_dedup, op4_quality_classifier, op6_privacy, op7_near_dedup, op8_packing, op9_sentence_pieces, op10_toxicity)}
 
 __all__ = ["QUERIES", "ORACLES"]
