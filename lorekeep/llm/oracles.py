@@ -32,4 +32,16 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PART
   row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, r) = 1 AS kept, s AS text_sha256 FROM d
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_exact_dedup": OP2}
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT r, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS v, ws[i] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+u AS (SELECT w, count(*) AS c FROM g GROUP BY w UNION ALL SELECT '', count(*) FROM d WHERE len(ws) > 0),
+p AS (SELECT v, w, count(*) AS c FROM g GROUP BY v, w),
+n AS (SELECT count(*) AS n FROM g),
+s AS (SELECT g.r, count(*) AS n, sum(CASE WHEN p.c < 2 THEN 1 ELSE 0 END) AS b,
+        sum(CASE WHEN p.c >= 2 THEN ln(p.c) - ln(x.c) ELSE ln(0.4) + ln(y.c) - ln(n.n) END) AS s
+      FROM g JOIN p USING (v, w) JOIN u x ON x.w = g.v JOIN u y ON y.w = g.w, n GROUP BY g.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(s.b, 0)::BIGINT AS n_backoff, round(s.s / s.n, 6) AS score FROM d LEFT JOIN s USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op5_backoff_scores": OP5}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity
+from lorekeep.llm import backoff_scores, exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity
 from lorekeep.llm.oracles import ORACLES
 from lorekeep.storage import load
 
@@ -37,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores.backoff_scores(load(spark, sf_dir, "documents"))
+
+
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = privacy.surrogates(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.size("__entities").cast("long").alias("n_entities"), F.col("__entities").alias("entities"))
@@ -55,6 +59,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_suffix_dedup, op4_quality_classifier, op6_privacy, op7_near_dedup, op8_packing, op9_sentence_pieces, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_suffix_dedup, op4_quality_classifier, op5_backoff_scores, op6_privacy, op7_near_dedup, op8_packing, op9_sentence_pieces, op10_toxicity)}
 
 __all__ = ["QUERIES", "ORACLES"]
