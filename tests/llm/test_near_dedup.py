@@ -77,6 +77,27 @@ def test_estimates_are_close():
         assert abs(e - truth) < 0.12
 
 
+def test_groups_are_settled_exactly(spark, monkeypatch):
+    """Near copies of one text, near the threshold, also when dealt into blocks."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = {}
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            w[rng.randrange(len(w))] = f"v{i}" if rng.random() < 0.7 else "same"
+        texts[i] = " ".join(w)
+    for block in (4_000_000, 3000):
+        monkeypatch.setattr(near_dedup, "BLOCK_ELEMENTS", block)
+        assert rows(near_dedup.near_duplicates(documents(spark, texts.items()), 3, 85)) == brute(texts)
+
+
+def test_joining():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 2, 300, 304, 500)]
+    assert near_dedup.joining([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], sets, [False] * 5, 85) == [(1, 2), (3, 4)]
+    assert near_dedup.joining([1, 2, 3, 4, 5], [1, 1, 3, 4, 5], sets, [False, True, False, True, True], 85) == [(3, 4)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in connected_components(links).collect()}
