@@ -15,9 +15,11 @@ densification), so short documents band like long ones.
    pairs more than four standard errors below the threshold are dropped.
 4. The rest are verified on full sets: first each node's best pair, then those
    pairs that still join different components.
-5. Buckets that still hold several components get the pairs across them,
-   which are estimated and verified alike, so a link between two nodes that
-   both miss the bucket's least node is found too.
+5. Buckets that still hold several components are settled exactly, so a link
+   between two nodes that both miss the bucket's least node is found too. Nodes
+   that such buckets connect form a group; a task holds a bounded block of it, or
+   two, counts shared elements through an inverted index, and returns only
+   links that join components, never pairs.
 
 At the threshold a pair shares none of the 36 bands with probability 1e-6.
 A node is 64 bits of a cryptographic digest of its whole set.
@@ -47,6 +49,8 @@ REGISTERS, MANTISSA = 256, 10
 ROWS, BANDS = 7, 36
 #: Keys up to which the wanted documents' keys are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Set elements (8 bytes each) of a block that one task holds.
+BLOCK_ELEMENTS = 4_000_000
 
 
 def _borrowing() -> np.ndarray:
@@ -149,37 +153,76 @@ def _verified(percent: int):
     return run
 
 
-def _across(batches):
-    """Pairs between the components of each bucket; rows come sorted by bucket."""
-    held, bucket = [], None
-    done: set[tuple[int, int]] = set()
-
-    def pairs():
-        held.sort(key=lambda r: (r[1], r[0]))
-        for i, (x, c) in enumerate(held):
-            for y, d in held[i + 1 :]:
-                if c != d and (p := (min(x, y), max(x, y))) not in done:
-                    done.add(p)
-                    yield p
-        if len(done) > 500_000:
-            done.clear()
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], []))], ["a", "b"])
-
-    out: list[tuple[int, int]] = []
-    for b in batches:
-        for band, node, component in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if band != bucket:
-                for p in pairs():
-                    out.append(p)
-                    if len(out) >= 10_000:
-                        yield batch(out)
-                        out = []
-                held, bucket = [], band
-            held.append((node, component))
-    out += pairs()
-    yield batch(out)
+def joining(nodes: list[int], component: list[int], sets: list[np.ndarray], second: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links that join components of a group: at most one fewer than those. With
+    ``second`` not constant, only links between the two blocks are looked for."""
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    values, codes, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(codes, kind="stable")
+    posting, starts = owner[order], np.concatenate([[0], np.cumsum(often)])
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    parent = {c: c for c in component}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    sizes: dict[int, int] = {}
+    for c in component:
+        sizes[c] = sizes.get(c, 0) + 1
+    largest = max(sizes, key=lambda c: (sizes[c], c))
+    blocks, two = np.array(second), len(set(second)) > 1
+    links = []
+    for i in range(len(sets)):
+        if component[i] == largest and not two:
+            continue  # of two components one is not the largest
+        own = codes[offsets[i] : offsets[i + 1]]
+        own = own[often[own] > 1]
+        if 100 * len(own) < percent * n[i]:
+            continue  # what no other member has bounds every similarity
+        shared = np.zeros(len(sets), np.int64)
+        length, at = often[own], 0
+        while at < len(own):  # a bounded stretch of postings at a time
+            end = max(at + 1, at + int(np.searchsorted(np.cumsum(length[at:]), 2_000_000)))
+            k = length[at:end]
+            places = np.repeat(starts[own[at:end]] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+            shared += np.bincount(posting[places], minlength=len(sets))
+            at = end
+        linked = 100 * shared >= percent * (n[i] + n - shared)
+        if two:
+            linked &= blocks != blocks[i]
+        for j in np.flatnonzero(linked).tolist():
+            p, q = root(component[i]), root(component[j])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                links.append((nodes[i], nodes[j]))
+    return links
+
+
+def _settled(percent: int):
+    """Links of groups; rows come sorted by (group, i, j), the blocks compared."""
+
+    def run(batches):
+        held, rows = None, []
+        out: list[tuple[int, int]] = []
+
+        def settle():
+            if len({r[1] for r in rows}) > 1:
+                nodes, component, second, sets = zip(*rows)
+                out.extend(joining(list(nodes), list(component), list(sets), list(second), percent))
+
+        for b in batches:
+            for group, i, j, block, node, component, members in zip(*(b.column(k).to_pylist() for k in range(7))):
+                if (group, i, j) != held:
+                    settle()
+                    held, rows = (group, i, j), []
+                rows.append((node, component, block == j and i != j, np.frombuffer(members, np.uint64)))
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], ["a", "b"])
+
+    return run
 
 
 def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -204,9 +247,9 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
         a, b = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
         return materialise(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
 
-    def full_sets(pairs: DataFrame) -> DataFrame:
-        """Sets of the nodes in ``pairs``, from one document of each."""
-        wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "key"), "node"), "wanted")
+    def full_sets(of: DataFrame) -> DataFrame:
+        """Sets of the given nodes, from one document of each."""
+        wanted = materialise(of.distinct().join(nodes.select("node", "key"), "node"), "wanted")
         keys = wanted.select(F.col("key").alias("__key")).distinct()
         keys = F.broadcast(keys) if wanted.count() <= BROADCAST_KEYS else keys
         texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
@@ -221,7 +264,7 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
         return ends.where("ca <> cb").select("a", "b")
 
     found = estimated(bucketed.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    sets = full_sets(found)
+    sets = full_sets(found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))))
     best = found.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
     links = [verified(best, sets)]
     members = materialise(connected_components(links[0]), "members")
@@ -231,12 +274,19 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
 
     labelled = bucketed.select("band", "node").join(members, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed_up = labelled.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("band")
-    unsettled = labelled.join(mixed_up, "band", "left_semi").repartition("band").sortWithinPartitions("band", "node")
-    pairs = unsettled.mapInArrow(_across, "a bigint, b bigint").distinct()
-    known = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = estimated(pairs.join(known, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links.append(verified(more, full_sets(more)))
+    unsettled = materialise(labelled.join(mixed_up, "band", "left_semi"), "unsettled")
+    if unsettled.limit(1).count():
+        least_of = unsettled.groupBy("band").agg(F.min("node").alias("a"))
+        groups = connected_components(unsettled.join(least_of, "band").select("a", F.col("node").alias("b")), "groups")
+        own = unsettled.select("node", "component").distinct().join(groups.withColumnRenamed("component", "group"), "node")
+        own = own.join(nodes.select("node", "n"), "node")
+        # A group of many elements is dealt into blocks, and each two blocks meet in a task.
+        blocks = own.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+        dealt = own.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        met = dealt.select("group", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        tasks = met.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+        loaded = tasks.join(full_sets(own.select("node")), "node").select("group", "i", "j", "block", "node", "component", "members")
+        links.append(materialise(loaded.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").mapInArrow(_settled(percent), "a bigint, b bigint"), "links"))
         members = materialise(connected_components(reduce(DataFrame.unionByName, links)), "members")
     return sketches.select("key", "n", "node"), members
 
