@@ -84,26 +84,43 @@ def score_fields(
     exact: float,
     phrase: float,
     penalty: Column,
+    limit: int,
     query_text: str = "text",
 ) -> DataFrame:
-    """(query, *key, score) of every document that shares a token with a query.
+    """(query, *key, score) of documents that share a token with a query, the
+    ``limit`` best of each query among them.
 
     ``fields`` maps names to (text, weight); the score is the weighted coverage
     of each field, plus exact hits and the phrase bonus over ``full_text``, times the penalty."""
     asked = queries.select(F.col(query_key), T.token_set(F.col(query_text)).alias("__q"))
     terms = asked.select(query_key, F.size("__q").alias("nq"), F.posexplode("__q").alias("pos", "term"))
-    full = T.token_set(full_text)
-    rows = docs.select(*key, F.explode(full).alias("term"), *[T.token_set(c).alias(f"__{n}") for n, (c, _) in fields.items()])
-    flags = rows.select(*key, "term", *[F.array_contains(f"__{n}", F.col("term")).cast("int").alias(n) for n in fields])
+    # One row per distinct token and field, the full text being a field too.
+    names = [*fields, "hits"]
+    sets = [c for c, _ in fields.values()] + [full_text]
+    marked = F.flatten(F.array(*[F.transform(T.token_set(c), lambda w, i=i: F.struct(w.alias("term"), F.lit(i).alias("field"))) for i, c in enumerate(sets)]))
+    rows = docs.select(*key, F.explode(marked).alias("m")).select(*key, "m.term", "m.field")
+    in_full = F.col("field") == len(fields)
     hits = (
-        terms.join(flags, "term")
+        terms.join(rows, "term")
         .groupBy(query_key, "nq", *key)
-        .agg(F.count(F.lit(1)).alias("hits"), *[F.sum(n).alias(n) for n in fields], F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched"))
+        .agg(
+            *[F.count_if(F.col("field") == i).alias(n) for i, n in enumerate(names)],
+            F.transform(F.sort_array(F.collect_list(F.when(in_full, F.struct("pos", "term")))), lambda x: x["term"]).alias("matched"),
+        )
     )
-    texts = docs.select(*key, full_text.alias("__full"), penalty.alias("__penalty"))
-    raw = sum((F.col(n) / F.col("nq") * w for n, (_, w) in fields.items()), F.lit(0.0))
-    raw = raw + F.least("hits", "nq") / F.col("nq") * exact + T.phrase_bonus(F.col("matched"), F.col("nq"), F.col("__full")) * phrase
-    return hits.join(texts, key).select(query_key, *key, F.round(raw * F.col("__penalty"), 6).alias("score")).where("score > 0")
+    # The phrase bonus needs the text. It is worked out only for pairs that could
+    # still be among the best: those whose score with a full bonus reaches
+    # the least of their query's ``limit`` best scores without one.
+    base = sum((F.col(n) / F.col("nq") * w for n, (_, w) in fields.items()), F.lit(0.0)) + F.least("hits", "nq") / F.col("nq") * exact
+    least = F.when(F.size("matched") >= 2, F.least(F.lit(0.75), F.size("matched") / F.col("nq")) * phrase).otherwise(0.0)
+    most = F.when(F.size("matched") >= 2, F.lit(phrase)).otherwise(0.0)
+    sized = hits.join(docs.select(*key, penalty.alias("__penalty")), key).withColumn("__base", base)
+    sized = sized.withColumns({"__low": F.round((F.col("__base") + least) * F.col("__penalty"), 6), "__high": F.round((F.col("__base") + most) * F.col("__penalty"), 6)})
+    bars = top_by_group(sized.select(query_key, "__low", *key), [query_key], [F.col("__low").desc(), *map(F.col, key)], limit).groupBy(query_key).agg(F.min("__low").alias("__bar"))
+    rivals = sized.join(bars, query_key).where(F.col("__high") >= F.col("__bar"))
+    texts = docs.select(*key, full_text.alias("__full"))
+    raw = F.col("__base") + T.phrase_bonus(F.col("matched"), F.col("nq"), F.col("__full")) * phrase
+    return rivals.join(texts, key).select(query_key, *key, F.round(raw * F.col("__penalty"), 6).alias("score")).where("score > 0")
 
 
 def lexical_pages(queries: DataFrame, pages: DataFrame, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
@@ -112,7 +129,7 @@ def lexical_pages(queries: DataFrame, pages: DataFrame, query_key: str, limit: i
     described = T.text_or_empty(F.col("description"))
     fields = {"f_path": (F.col("path"), 2.2), "f_title": (F.col("title"), 2.0), "f_description": (described, 1.0), "f_body": (body, 0.6)}
     full = F.concat_ws("\n", "path", "title", described, body)
-    scored = score_fields(queries, pages, query_key, ["id", "path"], fields, full, 0.4, 0.25, T.length_penalty(F.length(described), PAGE_LONG, 0.55), query_text)
+    scored = score_fields(queries, pages, query_key, ["id", "path"], fields, full, 0.4, 0.25, T.length_penalty(F.length(described), PAGE_LONG, 0.55), limit, query_text)
     return top_by_group(scored, [query_key], [F.col("score").desc(), F.col("id"), F.col("path")], limit)
 
 
@@ -122,7 +139,7 @@ def lexical_chunks(queries: DataFrame, chunks: DataFrame, query_key: str, limit:
     fields = {"f_path": (F.col("path"), 1.5), "f_heading": (heading, 2.3), "f_body": (body, 1.0)}
     full = F.concat_ws("\n", "path", heading, body)
     live = chunks.where(F.length(F.trim(F.regexp_replace(body, r"\s+", " "))) > 0)
-    scored = score_fields(queries, live, query_key, ["article_id", "path", "ordinal", "heading"], fields, full, 0.35, 0.25, T.length_penalty(F.length(body), CHUNK_LONG, 0.5), query_text)
+    scored = score_fields(queries, live, query_key, ["article_id", "path", "ordinal", "heading"], fields, full, 0.35, 0.25, T.length_penalty(F.length(body), CHUNK_LONG, 0.5), limit, query_text)
     return top_by_group(scored, [query_key], [F.col("score").desc(), F.col("article_id"), F.col("path"), F.col("ordinal"), F.col("heading")], limit)
 
 
@@ -137,6 +154,6 @@ def select_seeds(queries: DataFrame, pages: DataFrame, query_key: str, top_k: in
     seeds = pages.select("id", F.col("id").alias("path"), F.col("id").alias("title"), described.alias("description"), F.substring(T.without_frontmatter(F.col("content")), 1, PAGE_LEAD).alias("content"))
     body = F.substring(T.without_frontmatter_and_title(F.col("content")), 1, PAGE_LEAD)
     fields = {"f_path": (F.col("path"), 2.2), "f_title": (F.col("title"), 2.0), "f_description": (F.col("description"), 1.0), "f_body": (body, 0.6)}
-    scored = score_fields(queries, seeds, query_key, ["id"], fields, F.concat_ws("\n", "path", "title", "description", body), 0.4, 0.25, T.length_penalty(F.length("description"), PAGE_LONG, 0.55), query_text)
+    scored = score_fields(queries, seeds, query_key, ["id"], fields, F.concat_ws("\n", "path", "title", "description", body), 0.4, 0.25, T.length_penalty(F.length("description"), PAGE_LONG, 0.55), top_k, query_text)
     scored = scored.withColumn("score", F.round(normalised_page_score(F.col("score")), 6)).where(F.col("score") >= min_score)
     return top_by_group(scored, [query_key], [F.col("score").desc(), F.col("id")], top_k)

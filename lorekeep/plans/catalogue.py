@@ -1,6 +1,8 @@
-"""Registered queries of the engine and their DuckDB oracles."""
+"""All registered queries of the engine and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lorekeep.plans import text_queries, vector_queries  # noqa: F401
+from lorekeep.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
