@@ -97,7 +97,8 @@ def score_fields(
     # One row per distinct token and field, the full text being a field too.
     names = [*fields, "hits"]
     sets = [c for c, _ in fields.values()] + [full_text]
-    marked = F.flatten(F.array(*[F.transform(T.token_set(c), lambda w, i=i: F.struct(w.alias("term"), F.lit(i).alias("field"))) for i, c in enumerate(sets)]))
+    mark = lambda i: lambda w: F.struct(w.alias("term"), F.lit(i).alias("field"))
+    marked = F.flatten(F.array(*[F.transform(T.token_set(c), mark(i)) for i, c in enumerate(sets)]))
     rows = docs.select(*key, F.explode(marked).alias("m")).select(*key, "m.term", "m.field")
     in_full = F.col("field") == len(fields)
     hits = (
