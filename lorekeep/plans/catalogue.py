@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.plans import text_queries, vector_queries  # noqa: F401
+from lorekeep.plans import context_queries, graph_queries, text_queries, vector_queries  # noqa: F401
 from lorekeep.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
