@@ -114,7 +114,8 @@ def route_entities(pages: DataFrame, entities: DataFrame, classified: DataFrame,
 def merge_evidence(packets: DataFrame) -> DataFrame:
     """One row an entity of ``packets(entity, pos, facts, ranges, links)``: first
     occurrences in order. Partial results merge the same way again."""
-    gathered = packets.groupBy("entity").agg(*[F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x, c=c: x[c]).alias(c) for c in ("facts", "ranges", "links")])
+    field = lambda c: lambda x: x[c]
+    gathered = packets.groupBy("entity").agg(*[F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), field(c)).alias(c) for c in ("facts", "ranges", "links")])
     return gathered.select("entity", *[F.array_distinct(F.flatten(c)).alias(c) for c in ("facts", "ranges", "links")])
 
 
@@ -177,7 +178,8 @@ def fixed_batches(rows: DataFrame, group: list[str], order: list[str], size: int
 
 
 def capped(rows: DataFrame, group: list[str], order: list[str], cap: int) -> DataFrame:
-    """The first ``cap`` rows of each group with the number left out."""
-    w = Window.partitionBy(*group)
-    numbered = rows.withColumns({"__r": F.row_number().over(w.orderBy(*order)), "__n": F.count(F.lit(1)).over(w)})
-    return numbered.where(F.col("__r") <= cap).withColumn("overflow", F.greatest(F.lit(0), F.col("__n") - cap)).drop("__r", "__n")
+    """The first ``cap`` rows of each group with the number left out. The group
+    limit keeps ``cap`` rows a task before the shuffle; sizes are counted apart."""
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= cap)
+    return first.join(sizes, group).withColumn("overflow", F.greatest(F.lit(0), F.col("__n") - cap)).drop("__r", "__n")
