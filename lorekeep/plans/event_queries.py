@@ -12,12 +12,12 @@ from lorekeep.streaming import lifecycle
 
 
 @query("""SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS errors, count_if(event_type = 'click') AS clicks, arg_min(event_type, event_id) AS first_type,
-    epoch_ms(max(ts)) - epoch_ms(min(ts)) AS span_ms, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY user_id""")
+    epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY user_id""")
 def session_report(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_type")
     return load(spark, d, "events").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(e == "error").alias("errors"), F.count_if(e == "click").alias("clicks"), F.min_by("event_type", "event_id").alias("first_type"),
-        (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("span_ms"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("most"),
+        (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("span_us"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("most"),
     )
 
 

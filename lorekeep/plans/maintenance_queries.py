@@ -107,12 +107,12 @@ def interval_overlap_assign(spark: SparkSession, d: str) -> DataFrame:
     return M.overlap_assignment(items, bundles, "k", "item", "bundle")
 
 
-@query("""WITH p AS (SELECT l_orderkey AS entity, l_linenumber AS pos, ['f' || l_partkey % 5, 'g' || l_suppkey % 3] AS facts FROM lineitem),
+@query("""WITH p AS (SELECT l_orderkey AS entity, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS pos, ['f' || l_partkey % 5, 'g' || l_suppkey % 3] AS facts FROM lineitem),
     f AS (SELECT entity, fact, min(o) AS o FROM (SELECT entity, unnest(facts) AS fact, pos * 10 + unnest(range(2)) AS o FROM p) GROUP BY ALL)
     SELECT entity, string_agg(fact, ',' ORDER BY o) AS facts FROM f GROUP BY entity""")
 def merged_evidence(spark: SparkSession, d: str) -> DataFrame:
     facts = F.array(F.concat(F.lit("f"), (F.col("l_partkey") % 5).cast("string")), F.concat(F.lit("g"), (F.col("l_suppkey") % 3).cast("string")))
-    packets = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("pos"), facts.alias("facts"), F.array("l_partkey").alias("ranges"), F.array("l_suppkey").alias("links"))
+    packets = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), (F.col("l_linenumber").cast("long") * 10000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("pos"), facts.alias("facts"), F.array("l_partkey").alias("ranges"), F.array("l_suppkey").alias("links"))
     return M.merge_evidence(packets).select("entity", F.array_join("facts", ",").alias("facts"))
 
 
