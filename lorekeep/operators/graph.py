@@ -12,7 +12,7 @@ WIKI_LINK = r"\[\[([^\]|#]+)"
 HREF = r'href="([^"]*)"'
 
 
-def link_edges(pages: DataFrame, id_: str, content: str, pattern: str = WIKI_LINK, target=F.trim) -> DataFrame:
+def link_edges(pages: DataFrame, id_: str, content: str, pattern: str = WIKI_LINK, target=lambda t: F.trim(t)) -> DataFrame:
     """Distinct (src, dst) links of each page; blank targets are no links."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(content), F.lit("")), F.lit(pattern), 1), target))
     return pages.select(F.col(id_).alias("src"), F.explode(found).alias("dst")).where("dst <> ''").distinct()
