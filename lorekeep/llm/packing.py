@@ -28,12 +28,14 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lorekeep.llm.hashing import mixed
 from lorekeep.storage import materialise, ship
 
 LENGTH = 2048
 END = 1
 DIMENSIONS, BITS, HASHED = 3, 10, 256
-CACHE = 400_000
+#: Entries of a worker's caches, about 200 bytes each; parts are the dear ones to encode.
+WORDS, PARTS = 500_000, 1_000_000
 #: The pre-tokeniser's pattern, its white space spelt out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\p{Z}\p{L}\p{N}]+"
 
@@ -41,51 +43,66 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\p{Z}\p{L}\p{N}
 class WordEncoder:
     """Ids of a lower-casing word tokenizer whose words carry an end mark.
 
-    A word's ids do not depend on its neighbours, so they are cached; unknown
-    words of a text are encoded in one call and told apart by the end marks."""
+    A word's ids do not depend on its neighbours, so they are cached, both for
+    whole words and for the parts that the pre-tokeniser makes of them. Unknown
+    parts are encoded in one call and told apart by the end marks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        size = max(vocabulary.values()) + 1
+        self.width = 2 if size <= 1 << 16 else 4
+        self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cells = (mixed(np.arange(size, dtype=np.uint64)) >> np.uint64(56)).astype(np.int64) % HASHED
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(PATTERN).findall
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}")
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        ids = np.array(self.plain(" ".join(words)), np.uint32)
+    def _learn_parts(self, parts: list[str]) -> None:
+        ids = self.plain(" ".join(parts))
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words) or cuts[-1] != len(ids):
-            self.cache.update({w: np.array(self.plain(w), "<u4").tobytes() for w in words})
+        if len(cuts) != len(parts) or cuts[-1] != len(ids):
+            self.parts.update({w: self.plain(w).tobytes() for w in parts})
             return
-        raw, a = ids.astype("<u4").tobytes(), 0
-        for w, b in zip(words, cuts.tolist()):
-            self.cache[w] = raw[4 * a : 4 * b]
-            a = b
+        raw, at, k = ids.tobytes(), 0, self.width
+        for w, end in zip(parts, cuts.tolist()):
+            self.parts[w] = raw[k * at : k * end]
+            at = end
+
+    def _learn(self, words: set[str]) -> None:
+        found = []
+        for w in words:
+            if not w.isascii():
+                w = unicodedata.normalize("NFC", w)
+            # Character by character, without the final-sigma rule.
+            found.append(self.find("".join(map(str.lower, w)) if "\u03a3" in w else w.lower()))
+        unknown = {x for f in found for x in f}.difference(self.parts)
+        if len(self.parts) + len(unknown) > PARTS:
+            self.parts.clear()
+            unknown = {x for f in found for x in f}
+        if unknown:
+            self._learn_parts(list(unknown))
+        parts = self.parts
+        self.words.update({w: b"".join([parts[x] for x in f]) for w, f in zip(words, found)})
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text."""
+        """Little-endian ids of a whole text, ``width`` bytes each."""
         if any(s in text for s in self.special):
-            return np.array(self.plain(text), "<u4").tobytes()
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        low = text.lower() if "Σ" not in text and "İ" not in text else "".join(map(str.lower, text))
-        words = self.find(low)
-        known = self.cache
-        if fresh := {w for w in words if w not in known}:
-            if len(known) + len(fresh) > CACHE:
+            return self.plain(text).tobytes()
+        words = text.replace("\n", " ").split(" ")
+        if fresh := set(words).difference(self.words):
+            if len(self.words) + len(fresh) > WORDS:
+                self.words.clear()
                 fresh = set(words)
-            self.learn(list(fresh))
-            known = self.cache
-        return b"".join([known[w] for w in words])
+            self._learn(fresh)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -93,52 +110,39 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 @lru_cache(maxsize=1)
 def _signs(dimensions: int) -> np.ndarray:
     cells = mixed(np.arange(1, HASHED * dimensions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (cells >> np.uint64(63)).astype(np.float64).reshape(HASHED, dimensions) * 2 - 1
 
 
-def project(ids: np.ndarray, dimensions: int = DIMENSIONS, bits: int = BITS) -> list[int]:
-    """Cell of a document: its hashed root-frequency vector, scaled to length
-    one, projected by fixed signs; the normal distribution's middle fills the cells."""
-    if not len(ids):
-        return [1 << (bits - 1)] * dimensions
-    where = (mixed(ids.astype(np.uint64)) >> np.uint64(56)).astype(np.int64) % HASHED
-    v = np.sqrt(np.bincount(where, minlength=HASHED).astype(np.float64))
-    p = (v / np.linalg.norm(v)) @ _signs(dimensions)
+def project(counts: np.ndarray, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
+    """Cells of documents given their hashed counts: root frequencies scaled to
+    length one, projected by fixed signs; a squashing spreads them over the cells."""
+    v = np.sqrt(counts)
+    p = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) @ _signs(dimensions)
     cells = np.floor((np.tanh(0.8 * p) + 1) / 2 * (1 << bits)).astype(np.int64)
-    return np.clip(cells, 0, (1 << bits) - 1).tolist()
+    return np.clip(cells, 0, (1 << bits) - 1)
 
 
-def hilbert(cell: list[int], bits: int = BITS) -> int:
-    """Index of a cell along the Hilbert curve (Skilling, 2004)."""
-    x, n = list(cell), len(cell)
-    q = 1 << (bits - 1)
+def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Indexes of rows of cells along the Hilbert curve (Skilling, 2004)."""
+    x = [c.copy() for c in cells.T]
+    n, q = len(x), 1 << (bits - 1)
     while q > 1:
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= q - 1
-            else:
-                t = (x[0] ^ x[i]) & (q - 1)
-                x[0] ^= t
-                x[i] ^= t
+            flip = x[i] & q != 0
+            swap = np.where(flip, 0, (x[0] ^ x[i]) & (q - 1))
+            x[0] ^= np.where(flip, q - 1, swap)
+            x[i] ^= swap
         q >>= 1
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
+    t, q = np.zeros_like(x[0]), 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
+        t ^= np.where(x[n - 1] & q != 0, q - 1, 0)
         q >>= 1
-    index = 0
+    index = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
         for v in x:
             index = index << 1 | ((v ^ t) >> b & 1)
@@ -147,16 +151,16 @@ def hilbert(cell: list[int], bits: int = BITS) -> int:
 
 def _encode(path: str, end: int):
     def run(batches):
-        e, tail = encoder(path), np.array([end], "<u4").tobytes()
-        narrow = len(e.ends) <= 1 << 16
+        e = encoder(path)
+        tail = np.array([end], f"<u{e.width}").tobytes()
         for batch in batches:
-            keys, tokens = [], []
-            for text in batch.column(1):
-                raw = e.encode(text.as_py() or "") + tail
-                ids = np.frombuffer(raw, "<u4")
-                keys.append(hilbert(project(ids[:-1])))
-                tokens.append(ids.astype("<u2").tobytes() if narrow else raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array([2 if narrow else 4] * len(keys), pa.int32())], ["key", "curve", "ids", "width"])
+            tokens, counts = [], np.zeros((batch.num_rows, HASHED))
+            for k, text in enumerate(batch.column(1)):
+                raw = e.encode(text.as_py() or "")
+                counts[k] = np.bincount(e.cells[np.frombuffer(raw, f"<u{e.width}")], minlength=HASHED)
+                tokens.append(raw + tail)
+            keys = hilbert(project(counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array([e.width] * len(keys), pa.int32())], ["key", "curve", "ids", "width"])
 
     return run
 
