@@ -37,7 +37,7 @@ from lorekeep.storage import materialise, ship
 
 HEAVY = 1 << 16
 LEAST, BACKOFF = 2, 0.4
-FLUSH = 2_000_000
+FLUSH = 700_000
 START = np.uint64(0x5EED5EED5EED)
 SHORT = np.uint64(16)
 #: Codes below this are positions among the heavy words, others hold a hash.
@@ -127,8 +127,11 @@ def _deal(heavy, parts: int):
     return run
 
 
-def _score(heavy, total: float, least: int, backoff: float):
-    """Rows (th, s, n, b) of sums, and (th, s, n, b, v, k) that still want ln c(v) taken off k times."""
+def _score(heavy, total: float, least: int, backoff: float, parts: int):
+    """Packed sums by each text's home, and rows (text, v, k) of texts that still
+    want ln c(v) taken off k times."""
+    names = ["home", "th", "s", "n", "b", "text", "v", "k"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def settle(rows):
         log = np.log(np.maximum(heavy.value[1], 1))
@@ -149,15 +152,18 @@ def _score(heavy, total: float, least: int, backoff: float):
         local = seen & light_v & ~light_w
         score[local] -= np.log(n[np.searchsorted(words, v[local])])
         texts, at = np.unique(th, return_inverse=True)
-        sums = np.bincount(at, score, len(texts)), np.bincount(at, minlength=len(texts)), np.bincount(at, ~seen, len(texts)).astype(np.int64)
-        nothing = pa.nulls(len(texts), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(texts), *(pa.array(x) for x in sums), nothing, nothing], ["th", "s", "n", "b", "v", "k"])
+        home = (mixed(texts.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(home[order]) != 0])).tolist() + [len(order)]
+        columns = texts.astype("<i8"), np.bincount(at, score, len(texts)).astype("<f8"), np.bincount(at, minlength=len(texts)).astype("<i8"), np.bincount(at, ~seen, len(texts)).astype("<i8")
+        packed = [(int(home[order[a]]), *(c[order[a:b]].tobytes() for c in columns), None, None, None) for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*packed), kinds)], names)
         asked = seen & light_v & light_w
         if asked.any():
             ask = np.stack([th[asked], (v[asked] - LIGHT).astype(np.int64)])
             ask, k = np.unique(ask, axis=1, return_counts=True)
-            zero = np.zeros(len(k))
-            yield pa.RecordBatch.from_arrays([pa.array(ask[0]), pa.array(zero), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(ask[1]), pa.array(k)], ["th", "s", "n", "b", "v", "k"])
+            nothing = [pa.nulls(len(k), kind) for kind in kinds[:5]]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(ask[0]), pa.array(ask[1]), pa.array(k)], names)
 
     def run(batches):
         held, rows = None, []
@@ -174,6 +180,29 @@ def _score(heavy, total: float, least: int, backoff: float):
     return run
 
 
+def _fold(batches):
+    """One row a text of the packed sums that meet at its home."""
+    kinds = ("<i8", "<f8", "<i8", "<i8")
+    held: list[list[np.ndarray]] = [[], [], [], []]
+    size = 0
+
+    def folded():
+        th, s, n, b = map(np.concatenate, held)
+        texts, at = np.unique(th, return_inverse=True)
+        return texts, np.bincount(at, s, len(texts)), np.bincount(at, n, len(texts)).astype(np.int64), np.bincount(at, b, len(texts)).astype(np.int64)
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for part, raw, kind in zip(held, row, kinds):
+                part.append(np.frombuffer(raw, kind))
+            size += len(row[0]) // 8
+            if size > FLUSH:
+                done = folded()
+                held, size = [[c] for c in done], -len(done[0])
+    if held[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in folded()], ["th", "s", "n", "b"])
+
+
 def backoff_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", heavy: int = HEAVY, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
     """One row a document: (key, n_words, n_backoff, score); score is the mean ln S."""
     spark = docs.sparkSession
@@ -189,10 +218,12 @@ def backoff_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", hea
     table = spark.sparkContext.broadcast((w[order], n[order].astype(np.float64)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.mapInArrow(_deal(table, parts), "part int, n int, texts binary, owner binary, context binary, word binary")
-    scored = materialise(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_score(table, max(total, 1), least, backoff), "th bigint, s double, n bigint, b bigint, v bigint, k bigint"), "partial-scores")
-    settled = scored.where("v is null").select("th", "s", "n", "b")
-    asked = scored.where("v is not null").join(unigrams.select(F.col("w").alias("v"), F.col("n").alias("c")), "v").select("th", (-F.col("k") * F.log("c")).alias("s"), "n", "b")
-    sums = settled.unionByName(asked).groupBy("th").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    schema = "home int, th binary, s binary, n binary, b binary, text bigint, v bigint, k bigint"
+    scored = materialise(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_score(table, max(total, 1), least, backoff, parts), schema), "partial-scores")
+    settled = scored.where("v is null").select("home", "th", "s", "n", "b").repartition(parts, "home").select("th", "s", "n", "b").mapInArrow(_fold, "th bigint, s double, n bigint, b bigint")
+    asked = scored.where("v is not null").join(unigrams.select(F.col("w").alias("v"), F.col("n").alias("c")), "v").groupBy(F.col("text").alias("th")).agg(F.sum(-F.col("k") * F.log("c")).alias("s"))
+    zero = F.lit(0).cast("long")
+    sums = settled.unionByName(asked.withColumns({"n": zero, "b": zero})).groupBy("th").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("b").alias("b"))
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     counted = keyed.select("key", "th", words.alias("n_words")).join(sums, "th", "left")
     # Equal texts share their sums; n holds all copies' words.
