@@ -8,8 +8,9 @@ so the ratio generalises over languages and invented words. A document's score
 is the mean log ratio over its n-grams, and every document is thresholded
 deterministically: ``llr >= threshold``.
 
-Everything on this path is DataFrame functions. The corpus is read twice (count,
-score); what is shuffled is one short bucket array per document for the
+Everything on this path is DataFrame functions. Texts are read once: base
+statistics and the buckets of their n-grams go to a written table, from which
+both counts and scores are taken. What is shuffled is one short bucket array per document for the
 join with the labels, and at most ``buckets`` rows a task for the counts. The
 model is ``buckets`` doubles whatever the corpus size.
 
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.storage import materialise
+
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 4096
 THRESHOLD = -0.5
@@ -37,7 +40,8 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def shapes_of(text: Column) -> Column:
@@ -50,15 +54,15 @@ def gram_buckets(text: Column, buckets: int) -> Column:
     """One hashed bucket for each word: its shape with the next one's."""
     return let(
         shapes_of(text),
-        lambda s: F.transform(s, lambda a, i: F.crc32(F.concat(a, F.lit(" "), F.coalesce(F.get(s, i + 1), F.lit(""))).cast("binary")) % buckets),
+        lambda s: F.transform(s, lambda a, i: (F.crc32(F.concat(a, F.lit(" "), F.coalesce(F.get(s, i + 1), F.lit(""))).cast("binary")) % buckets).cast("int")),
     )
 
 
 def _repeated(words: Column) -> Column:
     """Words in 3-word windows that the text has at least twice."""
-    windows = F.filter(
-        F.transform(words, lambda w, i: F.struct(F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)).alias("k"), i.alias("i"))),
-        lambda x: x["k"].isNotNull(),
+    windows = F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
+        lambda w, i: F.struct(F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)).alias("k"), i.alias("i")),
     )
     return let(
         F.sort_array(windows),
@@ -66,7 +70,8 @@ def _repeated(words: Column) -> Column:
             F.array_distinct(
                 F.flatten(
                     F.transform(
-                        F.filter(s, lambda x, j: F.coalesce(x["k"] == F.when(j > 0, F.get(s, j - 1)["k"]), F.lit(False)) | F.coalesce(x["k"] == F.get(s, j + 1)["k"], F.lit(False))),
+                        # No neighbour at an end compares as null, which is not kept.
+                        F.filter(s, lambda x, j: (x["k"] == F.get(s, j - 1)["k"]) | (x["k"] == F.get(s, j + 1)["k"])),
                         lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2),
                     )
                 )
@@ -91,45 +96,43 @@ def base_statistics(text: Column) -> Column:
     )
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``weights array<double>``, log target share over log raw share
-    of every bucket (add-one smoothed; all 0 without a trusted n-gram)."""
+def fit_ratio(grams: DataFrame, labels: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """One row: ``weights array<double>``, log target share over log raw share of
+    every bucket in ``grams(key, __grams)`` (add-one smoothed; all 0 without a trusted n-gram)."""
     trusted = labels.where(F.col("quality") == 1).select(F.col(key).alias("__k")).where("__k is not null").distinct().withColumn("__t", F.lit(1))
-    grams = docs.select(F.col(key).alias("__k"), gram_buckets(F.col(text), buckets).alias("__g"))
     counts = (
-        grams.join(trusted, "__k", "left")
-        .select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode("__g").alias("b"))
+        grams.select(F.col(key).alias("__k"), "__grams")
+        .join(trusted, "__k", "left")
+        .select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode("__grams").alias("b"))
         .groupBy("b")
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
     )
     # At most `buckets` rows from here on.
     one = counts.agg(F.sum("raw").alias("n"), F.sum("good").alias("m"), F.map_from_entries(F.collect_list(F.struct("b", F.struct("raw", "good")))).alias("c"))
     m, n = F.coalesce("m", F.lit(0)), F.coalesce("n", F.lit(0))
+    nothing = F.struct(F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("good"))
     return one.select(
         F.transform(
-            F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")),
-            lambda b: let(
-                F.coalesce(F.try_element_at("c", b), F.struct(F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("good"))),
-                lambda x: F.when(m == 0, 0.0).otherwise(F.log((x["good"] + 1) / (m + buckets)) - F.log((x["raw"] + 1) / (n + buckets))),
-            ),
+            F.sequence(F.lit(0), F.lit(buckets - 1)),
+            lambda b: let(F.coalesce(F.try_element_at("c", b), nothing), lambda x: F.when(m == 0, 0.0).otherwise(F.log((x["good"] + 1) / (m + buckets)) - F.log((x["raw"] + 1) / (n + buckets)))),
         ).alias("weights")
     )
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the struct ``__rules``: base statistics, base_failed, llr, kept."""
-    weights = fit_ratio(docs, labels, text, key, buckets).scalar()
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with the struct
+    ``__rules``: base statistics, base_failed, llr, kept."""
+    columns = docs.columns if keep is None else keep
     t = F.col(text)
-    scored = (
-        docs.withColumn("__base", base_statistics(t))
-        .withColumn("__w", weights)
-        .withColumn("__llr", let(F.col("__w"), lambda w: F.aggregate(gram_buckets(t, buckets), F.lit(0.0), lambda acc, b: acc + F.get(w, b))))
+    featured = materialise(docs.select(*[F.col(f"`{c}`") for c in columns], base_statistics(t).alias("__base"), gram_buckets(t, buckets).alias("__grams")), "quality-features")
+    scored = featured.withColumn("__w", fit_ratio(featured, labels, key, buckets).scalar()).withColumn(
+        "__llr", let(F.col("__w"), lambda w: F.aggregate("__grams", F.lit(0.0), lambda acc, b: acc + F.get(w, b)))
     )
     b = F.col("__base")
     failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > MAX_REPEAT_PERCENT * b["n_words"])
     llr = F.round(F.col("__llr") / F.greatest(b["n_words"], F.lit(1)), 6)
     return scored.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in columns],
         F.struct(
             *[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
             failed.alias("base_failed"),

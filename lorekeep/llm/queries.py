@@ -15,7 +15,7 @@ from lorekeep.storage import load
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    out = quality_rules.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", *[F.col(f"__rules.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")])
 
 
