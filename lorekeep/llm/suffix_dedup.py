@@ -305,7 +305,8 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     hold repeated windows; ranges are in bytes, and may overlap."""
     ship(docs.sparkSession)
     found = materialise(docs.mapInArrow(_anchors(length, gram), "th bigint, h bigint, c bigint, p bigint, a bigint, b bigint"), "anchors")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written first, so that the join below is of two plain shuffles and a hot hash can be split.
+    twice = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared-hashes")
     shared = materialise(found.join(twice, "h"), "shared-anchors")
     one_of_each = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "p", "a", "b")).alias("r"))
     wanted = materialise(one_of_each.groupBy("r.th").agg(F.collect_list(F.struct("h", "c", "n", "r.p", "r.a", "r.b")).alias("wanted")), "wanted-contexts")
