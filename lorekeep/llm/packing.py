@@ -97,12 +97,16 @@ class WordEncoder:
         if any(s in text for s in self.special):
             return self.plain(text).tobytes()
         words = text.replace("\n", " ").split(" ")
-        if fresh := set(words).difference(self.words):
+        found = list(map(self.words.get, words))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            fresh = {words[i] for i in missing}
             if len(self.words) + len(fresh) > WORDS:
                 self.words.clear()
-                fresh = set(words)
             self._learn(fresh)
-        return b"".join(map(self.words.__getitem__, words))
+            for i in missing:
+                found[i] = self.words[words[i]]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
