@@ -35,10 +35,9 @@ def text_or_empty(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words of three characters or more, or with a letter beside a
     digit, less the stop words; duplicates stay."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
     return F.filter(
         F.split(F.lower(text_or_empty(text)), WORD_BREAK),
-        lambda w: ((F.length(w) > 2) | w.rlike("[a-zа-я][0-9]|[0-9][a-zа-я]")) & ~F.array_contains(stop, w),
+        lambda w: ((F.length(w) > 2) | w.rlike("[a-zа-я][0-9]|[0-9][a-zа-я]")) & ~w.isin(STOP_WORDS),
     )
 
 
