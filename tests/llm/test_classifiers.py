@@ -51,7 +51,7 @@ def test_deobfuscation():
         for a, b in zip(w, w[1:]):
             cells[ord(a), ord(b)] += 1
     r = toxicity.Restorer(np.log(cells / cells.sum(1, keepdims=True)))
-    for seen, meant in (("tr4sh", "trash"), ("stuuuupid", "stupid"), ("cl0wn", "clown"), ("5tup1d", "stupid"), ("loooose", "loose")):
+    for seen, meant in (("tr4sh", "trash"), ("stuuuupid", "stupid"), ("cl0wn", "clown"), ("5tup1d", "stupid"), ("gaaarden", "garden")):
         assert meant in r.words(f"so {seen}, yes"), seen
     assert "stupid" in r.words("you s t u p i d thing") and "clown" in r.words("a c.l.o.w.n !")
     assert r.words("garden 2024 letter") == {"garden", "2024", "letter"}
