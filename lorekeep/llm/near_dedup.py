@@ -8,7 +8,8 @@ densification), so short documents band like long ones.
 
 1. One pass writes (key, size, node, registers); equal sets share a node, so
    exact copies collapse before anything is compared.
-2. Bands of seven compressed registers bucket the nodes. In each bucket every
+2. Bands of compressed registers bucket the nodes; a band has as many registers
+   as the threshold allows (see ``band_rows``). In each bucket every
    node is paired with the bucket's least node only (map-side minima, then a
    join that adaptive execution can split), never with all others.
 3. Register agreement gives a Jaccard estimate corrected for chance collisions;
@@ -21,8 +22,8 @@ densification), so short documents band like long ones.
    two, counts shared elements through an inverted index, and returns only
    links that join components, never pairs.
 
-At the threshold a pair shares none of the 36 bands with probability 1e-6.
-A node is 64 bits of a cryptographic digest of its whole set.
+A pair at the threshold shares no band with a probability below 5e-6 (36 bands
+of 7 registers at 0.85, 42 of 6 at 0.8), a closer one far less. A node is 64 bits of a cryptographic digest of its whole set.
 
 Defined cases: null text, or text without words, has the empty set, links with
 nothing and stays; fewer words than a shingle count as one shingle; a component's
@@ -46,13 +47,19 @@ from lorekeep.llm.hashing import mixed, shingle_hashes, word_hashes
 from lorekeep.storage import materialise, ship
 
 REGISTERS, MANTISSA = 256, 10
-ROWS, BANDS = 7, 36
+#: Highest probability that two sets just at the threshold share no band.
+MISSED = 5e-6
 #: Keys up to which the wanted documents' keys are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Set elements (8 bytes each) of a block that one task holds.
 BLOCK_ELEMENTS = 4_000_000
 
 
+def band_rows(similarity: float) -> int:
+    """Registers a band: as many as keep the missed share low."""
+    return max([r for r in range(1, 17) if (1 - similarity**r) ** (REGISTERS // r) <= MISSED], default=1)
+
+
 def _borrowing() -> np.ndarray:
     order = mixed(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(77)).reshape(REGISTERS, REGISTERS)
     return np.argsort(order, axis=1)
@@ -231,8 +238,9 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
     kind = docs.schema[key].dataType.simpleString()
     sketches = materialise(docs.select(key, text).mapInArrow(_sketches(size), f"key {kind}, n bigint, node bigint, regs binary"), "sketches")
     nodes = materialise(sketches.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
-    width = 2 * ROWS
-    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring("regs", i * width + 1, F.lit(width)), i))).alias("band"))
+    rows = band_rows(percent / 100)
+    width = 2 * rows
+    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), lambda i: F.xxhash64(F.substring("regs", i * width + 1, F.lit(width)), i))).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "least")
     bucketed = materialise(bands.join(shared, "band").select("band", "node", "least"), "buckets")
     least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5

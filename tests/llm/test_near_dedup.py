@@ -67,6 +67,11 @@ def test_repeated_rows_and_null_keys(spark):
     assert sum(r.kept for r in out.collect()) == 4  # both rows of 1, and two lone rows without a key
 
 
+def test_bands_follow_the_threshold():
+    assert [near_dedup.band_rows(x) for x in (0.8, 0.85)] == [6, 7]
+    assert all((1 - x ** near_dedup.band_rows(x)) ** (256 // near_dedup.band_rows(x)) <= near_dedup.MISSED for x in (0.5, 0.7, 0.8, 0.9, 0.95))
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(1)
     for n in (300, 3000):
