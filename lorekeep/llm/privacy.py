@@ -42,12 +42,26 @@ KINDS = ("aeiou", "bcdfghjklmnprstvwz", "áéíóúàèìòùâêîôûäëïö
 
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
-NUMBER = re.compile(r"(?<![\w.])(?:\+?\d|\(\d)[\d ().\-]{5,}\d(?!\w)")
+#: Stretches of numbers; in them each format is matched by its own pattern.
+NUMBER = re.compile(r"(?<!\w)(?<!\d\.)(?:\+?\d|\(\d)[\d ().\-]{5,}\d(?!\w)")
+BEGIN = re.compile(r"(?<!\w)(?<!\d\.)(?:\+|\()?\d")
+SSN = re.compile(r"\d{3}-\d{2}-\d{4}(?!\w|-\d)")
+CARD = re.compile(r"\d{13,19}(?!\w)")
+CARD_GROUPS = re.compile(r"\d{4}(?:(?: {1,2}|-)\d{2,6})+(?!\w)")
+FOURS = re.compile(r"\d{4}(?:(?: {1,2}|-)\d{4})+(?!\w)")
+THREE_THREE_FOUR = re.compile(r"(?:\+?1(?: {1,2}|[.\-]))?(?:\(\d{3}\) {0,2}|\d{3}(?: {1,2}|-))\d{3}(?: {1,2}|-)\d{4}(?!\w|-\d)|(?:\+?1[.\- ])?\d{3}\.\d{3}\.\d{4}(?!\w|\.\d)")
+INTERNATIONAL = re.compile(r"\+\d+(?:[ .\-]{0,2}\(\d{1,5}\)[ .\-]{0,2}\d*)?(?:(?: {1,2}|[.\-])\d+)*(?!\w)")
+BRACKETED = re.compile(r"\(\d{1,5}\)[ .\-]{0,2}\d+(?:(?: {1,2}|[.\-])\d{2,})*(?!\w)")
+DOTTED = re.compile(r"\d{1,4}(?:\.\d{2,5}){2,5}(?!\w|\.\d)")
+THOUSANDS = re.compile(r"[1-9]\d{0,2}(?:\.\d{3})+")
+TRUNK = re.compile(r"0\d{1,4}(?: {1,2}\d{2,5}){1,4}(?!\w)")
+GROUPED = re.compile(r"\d{2,5}(?:[ .\-]\d{2,5}){1,4}(?!\w)")
+PLAIN = re.compile(r"(?:0\d{8,10}|1?\d{10})(?!\w|\.\d)")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[_\-][A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])")
 ASSIGNED = re.compile(r"(?i:\b(?:api[_\-]?key|secret|token|passw(?:or)?d|pwd)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/]{8,})")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
-DATE = re.compile(r"\A(?:\d{4}[-.]\d{1,2}[-.]\d{1,2}|\d{1,2}[-.]\d{1,2}[-.]\d{4})\Z")
+DATE = re.compile(r"(?:\d{4}[-.]\d{1,2}[-.]\d{1,2}|\d{1,2}[-.]\d{1,2}[-.]\d{4})(?!\w|[-.]\d)")
 NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Sr|Sra)\.? ([^\W\d_a-zß-öø-ÿ][^\W\d_]+(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?)")
 
 
@@ -168,21 +182,95 @@ def surrogate(kind: str, mention: str, key: bytes = KEY) -> str:
     return mention[:keep] + spell(mention[keep:], _kinds(mention[keep:]), key, "secret" + mention[:keep])
 
 
+def _ends(text: str, a: int, b: int, least: int, most: int) -> list[int]:
+    """Ends of whole groups in text[a:b] that leave ``least`` to ``most`` digits, longest first."""
+    out, n = [], 0
+    for m in re.finditer(r"\d+", text[a:b]):
+        n += len(m[0])
+        if least <= n <= most:
+            out.append(a + m.end())
+    return out[::-1]
+
+
+def _card(text: str, a: int) -> tuple[int, bool]:
+    """(end of the card at ``a``, true), or (where to go on, false); (0, false): none.
+    Of several readings one with a valid check digit counts first, then four fours."""
+    if m := CARD.match(text, a):
+        return m.end(), True
+    m = CARD_GROUPS.match(text, a)
+    ends = _ends(text, a, m.end(), 13, 19) if m else []
+    if not ends:
+        return 0, False
+    digits = {e: re.sub(r"\D", "", text[a:e]) for e in ends}
+    fours = [e for e in ends if len(digits[e]) == 16 and FOURS.fullmatch(text, a, e)]
+    for e in fours + ends:
+        if luhn(digits[e]):
+            return e, True
+    if fours:
+        groups = [g.start() + a for g in re.finditer(r"\d+", FOURS.match(text, a)[0])]
+        if len(groups) % 4:  # another number stands before a card
+            for g in groups[1 : len(groups) - 3]:
+                e = groups[groups.index(g) + 3] + 4
+                if luhn(re.sub(r"\D", "", text[g:e])):
+                    return g, False
+        return fours[0], True
+    whole = [e for e in ends if re.fullmatch(r"\d{4}([ \-])\d{2,6}(?:\1\d{2,6}){1,3}", text[a:e])]
+    return (whole[0], True) if whole else (0, False)
+
+
+def _phone(text: str, a: int) -> int:
+    """The end of the phone number at ``a``, or 0."""
+    if m := THREE_THREE_FOUR.match(text, a):
+        return m.end()
+    if text[a] in "+(":
+        m = (INTERNATIONAL if text[a] == "+" else BRACKETED).match(text, a)
+        ends = _ends(text, a, m.end(), 7, 15) if m else []
+        # A digit that stands alone at the end is not part of the number.
+        return next((e for e in ends if text[e - 2].isdigit()), 0)
+    if (m := DOTTED.match(text, a)) and not THOUSANDS.fullmatch(m[0]) and 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+        return m.end()
+    if m := PLAIN.match(text, a):
+        return m.end()
+    for m in filter(None, (GROUPED.match(text, a), TRUNK.match(text, a))):
+        # A number of a fixed format that follows after a space is another one.
+        stop = next((g.start() + a for g in re.finditer(r"(?<= )\d+", m[0]) if THREE_THREE_FOUR.match(text, g.start() + a)), m.end())
+        for e in _ends(text, a, stop, 7, 15):
+            if "." not in text[a : a + 3] and not re.search(r"\.\d*\.", text[a:e]):
+                return e
+    if a and text[a - 1] == "(" and (m := re.compile(r"\d{7,15}(?!\w)").match(text, a)):
+        return m.end()
+    return 0
+
+
 def _numbers(text: str):
+    addresses = {}
     for m in IP.finditer(text):
+        addresses[m.start()] = m.end()
         if all(int(o) < 256 for o in m[0].split(".")):
             yield "ip", m.start(), m.end()
-    for m in NUMBER.finditer(text):
-        s = m[0]
-        d = re.sub(r"\D", "", s)
-        if IP.fullmatch(s) or DATE.match(s) or re.search(r"\.\d*\.|  ", s):
-            continue
-        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", s):
-            yield "ssn", m.start(), m.end()
-        elif 13 <= len(d) <= 19 and re.fullmatch(r"\d+|\d{4}(?:[ \-]\d{2,6}){2,4}", s):
-            yield "card", m.start(), m.end()
-        elif 7 <= len(d) <= 15 and (s[0] in "+(" or re.fullmatch(r"\d{2,5}(?:[ .\-]\d{2,5}){1,4}", s) and len(d) >= 7 and "." not in s[:3] or re.fullmatch(r"0\d{8,10}|1?\d{10}", s)):
-            yield "phone", m.start(), m.end()
+    for run in NUMBER.finditer(text):
+        at = run.start()
+        while m := BEGIN.search(text, at, run.end()):
+            a = m.start()
+            if end := addresses.get(a, 0):
+                at = end
+            elif d := DATE.match(text, a):
+                at = d.end()
+            elif s := SSN.match(text, a):
+                yield "ssn", a, s.end()
+                at = s.end()
+            else:
+                at, card = _card(text, a)
+                if card:
+                    yield "card", a, at
+                elif not at:
+                    at = _phone(text, a)
+                    if at:
+                        yield "phone", a, at
+                    else:  # go on at the next number
+                        at = a + 1
+                        while text[a] not in "+(" and at < run.end() and text[at].isdigit():
+                            at += 1
 
 
 def detect(text: str) -> list[tuple[str, int, int]]:

@@ -58,3 +58,39 @@ def test_query(spark):
         assert [k for k, _, _ in privacy.detect(r.text)] == [k for k, _, _ in found]
         assert not set(re.findall(r"\S+@\S+|\b\d{16}\b|\d{3}-\d{4}", before[r.doc_id])) & set(re.findall(r"\S+@\S+|\b\d{16}\b", r.text))
     assert privacy.collisions(docs).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "numbers"),
+    [
+        ("7536784127813050 4845168114407329", ["7536784127813050", "4845168114407329"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("2024 4111 1111 1111 1111 24 hours", ["4111 1111 1111 1111"]),
+        ("555-123-4567 2 times", ["555-123-4567"]),
+        ("555-123-4567 24 hours", ["555-123-4567"]),
+        ("020 7946 0958 (24 hours)", ["020 7946 0958"]),
+        ("555-123-4567. 3 people", ["555-123-4567"]),
+        ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]),
+        ("123-45-6789 555-987-6543", ["123-45-6789", "555-987-6543"]),
+        ("2024-01-02 555-987-6543 10.1.2.3", ["555-987-6543", "10.1.2.3"]),
+        ("555.123.4567", ["555.123.4567"]),
+        ("01.23.45.67.89", ["01.23.45.67.89"]),
+        ("+1  555 123 4567", ["+1  555 123 4567"]),
+        ("020  7946  0958", ["020  7946  0958"]),
+        ("+44 (0)20 7946 0958 2 times", ["+44 (0)20 7946 0958"]),
+        ("(017) 555-7713 (018) 555-7714", ["(017) 555-7713", "(018) 555-7714"]),
+        ("1.234.567.890 and 3.14159265 and 2024.01.02 and 4.0.1", []),
+    ],
+)
+def test_adjacent_numbers(text, numbers):
+    assert [text[a:b] for _, a, b in privacy.detect(text)] == numbers
+    fresh, _ = privacy.rewrite(text)
+    assert all(n not in fresh for n in numbers)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_no_card_stays_in_clear(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where(r"text rlike '(?<![0-9])[0-9]{16}(?![0-9])'").collect()
+    assert rows
+    for r in rows:
+        assert not set(re.findall(r"(?<!\d)\d{16}(?!\d)", r.text)) & set(re.findall(r"\d{16}", privacy.rewrite(r.text)[0])), r.doc_id
