@@ -27,8 +27,9 @@ of 7 registers at 0.85, 42 of 6 at 0.8), a closer one far less. A node is 64 bit
 
 Defined cases: null text, or text without words, has the empty set, links with
 nothing and stays; fewer words than a shingle count as one shingle; a component's
-id is its least key, nulls last; rows repeated with one key are in one component
-and have equal verdicts; an empty table gives an empty result; other columns
+id is its least key, nulls last; rows repeated with one key and text have equal
+verdicts, rows of one key (or none) and different texts their own;
+``keep_representatives`` keeps one of repeated rows; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -115,7 +116,7 @@ def _sketches(size: int):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], ["key", "n", "node", "regs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], ["key", "th", "n", "node", "regs"])
 
     return run
 
@@ -233,10 +234,11 @@ def _settled(percent: int):
 
 
 def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(sketches(key, n, node), members(node, component) of nodes with a link)."""
+    """(sketches(key, th, n, node), members(node, component) of nodes with a link);
+    ``th`` is a hash of the text, which tells rows of one key apart."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    sketches = materialise(docs.select(key, text).mapInArrow(_sketches(size), f"key {kind}, n bigint, node bigint, regs binary"), "sketches")
+    sketches = materialise(docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(_sketches(size), f"key {kind}, th bigint, n bigint, node bigint, regs binary"), "sketches")
     nodes = materialise(sketches.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
     rows = band_rows(percent / 100)
     width = 2 * rows
@@ -296,20 +298,38 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
         loaded = tasks.join(full_sets(own.select("node")), "node").select("group", "i", "j", "block", "node", "component", "members")
         links.append(materialise(loaded.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").mapInArrow(_settled(percent), "a bigint, b bigint"), "links"))
         members = materialise(connected_components(reduce(DataFrame.unionByName, links)), "members")
-    return sketches.select("key", "n", "node"), members
+    return sketches.select("key", "th", "n", "node"), members
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: (key, n_shingles, component_id, kept)."""
+def decisions(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+    """One row per document: (key, th, n, component_id, kept). Of a component the
+    rows of one key and text are kept, those of the least key, nulls last."""
     sketches, members = classes(docs, size, percent, text, key)
     labelled = sketches.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = labelled.where("node is not null").groupBy("component").agg(F.min("key").alias("component_id"))
-    linked = labelled.where("node is not null").join(ids, "component").select("key", "n", "component_id")
-    alone = labelled.where("node is null").select("key", "n", F.col("key").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    row = F.struct(F.col("key").isNull().alias("null"), "key", "node", "th")
+    first = labelled.where("node is not null").groupBy("component").agg(F.min(row).alias("first"))
+    linked = labelled.where("node is not null").join(first, "component").select("key", "th", "n", F.col("first.key").alias("component_id"), (row == F.col("first")).alias("kept"))
+    alone = labelled.where("node is null").select("key", "th", "n", F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per document: (key, n_shingles, component_id, kept)."""
+    return decisions(docs, size, percent, text, key).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component."""
-    dropped = near_duplicates(docs, size, percent, text, key).where("not kept").select(F.col(key).alias("__key")).distinct()
-    return docs.join(dropped, docs[key].eqNullSafe(dropped["__key"]), "left_anti")
+    """The rows of ``docs`` that stay: one document of each component, decided by
+    key and text, and every row whose set is empty."""
+    decided = materialise(decisions(docs, size, percent, text, key), "decisions")
+
+    def of(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+        wanted = wanted.select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
+        return rows.join(wanted, rows[key].eqNullSafe(wanted["__key"]) & (F.xxhash64(rows[text]) == wanted["__th"]), how)
+
+    stay = of(docs, decided.where("not kept"), "left_anti")
+    repeated = materialise(decided.where("kept and n > 0").groupBy("key", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")
+    if not repeated.limit(1).count():
+        return stay
+    # Rows repeated with one key and text: one of them stays.
+    return of(stay, repeated, "left_anti").unionByName(of(stay, repeated, "left_semi").dropDuplicates([key, text]))

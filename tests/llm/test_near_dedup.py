@@ -113,3 +113,34 @@ def test_components(spark):
 def test_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert rows(op7_near_dedup(spark, SF)) == brute(texts)
+
+
+def test_representatives_are_decided_by_row(spark):
+    """Rows that share a key, or have none, are judged by their own texts."""
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(6)]
+    table = [
+        (1, text[0]),
+        (None, text[0] + " more"),  # a near copy of 1
+        (None, text[1]),
+        (None, text[1] + " more"),  # a near copy without a key either
+        (None, text[2]),
+        (2, text[3]),
+        (2, text[0] + " other"),  # a near copy of 1 under a key with a clean row
+        (3, text[4]),
+        (3, text[4]),
+        (4, text[5].upper()),
+        (4, text[5]),
+        (None, None),
+        (5, ""),
+        (5, text[5] + " more"),
+    ]
+    docs = documents(spark, table, extra=True)
+    out = near_dedup.keep_representatives(docs, 5, 80)
+    assert out.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in out.collect()]
+    for row in [(1, text[0]), (None, text[2]), (2, text[3]), (3, text[4]), (None, None), (5, "")]:
+        assert found.count(row) == 1, row
+    one = [x for x in found if x in table[2:4]], [x for x in found if x in table[9:11]]
+    assert [len(x) for x in one] == [1, 1]
+    assert len(found) == 8
