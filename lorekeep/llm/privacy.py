@@ -6,7 +6,8 @@ format: digits stay digits, letters stay letters of their script and kind
 check digit stays valid, a public address stays public. The permutation is a
 Feistel network on the mixed-radix number that the format's characters spell,
 walked until the result is in the domain. It is conjugated with a shift by one,
-which has no fixed point, so no entity is its own surrogate.
+which has no fixed point, so no entity is its own surrogate (a name without any
+letter that has others of its kind in its block would be; no script is such).
 
 So the same entity has the same surrogate in every document and spelling
 (coreference: case of mail addresses, punctuation and prefix of phone numbers are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -37,8 +39,8 @@ TYPES = ("email", "secret", "iban", "ip", "card", "ssn", "phone", "name")
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
-#: Letters that names are rebuilt from, by script and kind.
-KINDS = ("aeiou", "bcdfghjklmnprstvwz", "áéíóúàèìòùâêîôûäëïöü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+#: Letters that names are rebuilt from, by script and kind; ``letters`` has the others.
+KINDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
@@ -62,6 +64,8 @@ SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z
 ASSIGNED = re.compile(r"(?i:\b(?:api[_\-]?key|secret|token|passw(?:or)?d|pwd)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/]{8,})")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 DATE = re.compile(r"(?:\d{4}[-.]\d{1,2}[-.]\d{1,2}|\d{1,2}[-.]\d{1,2}[-.]\d{4})(?!\w|[-.]\d)")
+#: Scripts that are written without spaces between words.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Sr|Sra)\.? ([^\W\d_a-zß-öø-ÿ][^\W\d_]+(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?)")
 
 
@@ -132,14 +136,50 @@ def _ip_class(octets: str) -> int:
     return 1 if a == 10 or a == 192 and b == 168 or a == 172 and 16 <= b < 32 else 2 if a in (0, 127) else 3 if a >= 224 else 0
 
 
+def _shape(x: str) -> tuple:
+    """In upper case and back: letters of one shape can render each other's case."""
+    return unicodedata.category(x) == "Lm", x.lower() == x, len(x.upper()) == 1 and x.upper().lower() == x
+
+
+@lru_cache(maxsize=1000)
+def _block(first: int, last: int, shape: tuple) -> str:
+    taken = "".join(KINDS)
+    return "".join(x for x in map(chr, range(first, last + 1)) if x.isalpha() and x not in taken and _shape(x) == shape)
+
+
+def letters(c: str) -> str:
+    """The letters that may stand for a lower-case letter: its kind, or the
+    letters of its block (CJK and Hangul: of the whole script) that no kind has."""
+    if not c.isalpha():
+        return c
+    if kind := next((a for a in KINDS if c in a), None):
+        return kind
+    at = ord(c)
+    first, last = next(((x, y) for x, y in ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x2A6DF)) if x <= at <= y), (at // 128 * 128, at // 128 * 128 + 127))
+    return _block(first, last, _shape(c))
+
+
 def _name_word(word: str, key: bytes) -> str:
     low = word.lower()
     end = 1 if len(low) > 3 and low[-1] in KINDS[0] + KINDS[4] + KINDS[6] else 0
-    alphabets = [next((a for a in KINDS if c in a), c) for c in low[: len(low) - end]] + list(low[len(low) - end :])
+    alphabets = [letters(c) for c in low[: len(low) - end]] + list(low[len(low) - end :])
     fresh = spell(low, alphabets, key, "name")
     return "".join(x.upper() if c.isupper() else x for c, x in zip(word, fresh)) if len(fresh) == len(word) else fresh
 
 
+def _mentions(text: str, names: list[tuple[int, int]]):
+    """Where words of the names found in a text stand without a title, as
+    written or in capitals; words that follow each other are one mention."""
+    words = {w for a, b in names for w in text[a:b].split(" ")}
+    words |= {w.upper() for w in words if len(w.upper()) == len(w)}
+    alone = [re.escape(w) for w in words if UNSPACED.search(w) and len(w) > 1]
+    spaced = [re.escape(w) for w in words if not UNSPACED.search(w)]
+    # The longest first, so that no word hides a longer one.
+    either = "|".join(sorted(alone, key=lambda w: (-len(w), w)) + [rf"(?<![^\W_])(?:{'|'.join(sorted(spaced))})(?![^\W_])"] * bool(spaced))
+    for m in re.finditer(rf"(?:{either})(?: (?:{either}))*", text):
+        yield m.start(), m.end()
+
+
 def canonical(kind: str, mention: str) -> str:
     """What all mentions of one entity have in common."""
     if kind in ("phone", "card", "ssn"):
@@ -275,7 +315,8 @@ def _numbers(text: str):
 
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of all entities, left to right, not overlapping; of
-    two that overlap the one of the earlier type in ``TYPES`` counts."""
+    two that overlap the one of the earlier type in ``TYPES`` counts, then the longer.
+    A name is found after a title; its words then count in the whole text."""
     found: list[tuple[str, int, int]] = []
     at = text.find("@")
     while at >= 0:
@@ -288,7 +329,9 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         found += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text) if any(c.isdigit() for c in m[1])]
     found += [("iban", m.start(), m.end()) for m in IBAN.finditer(text)]
     found += _numbers(text)
-    found += [("name", *m.span(1)) for m in NAME.finditer(text)]
+    if names := [m.span(1) for m in NAME.finditer(text)]:
+        found += [("name", *x) for x in names]
+        found += [("name", *x) for x in _mentions(text, names)]
     rank = {t: i for i, t in enumerate(TYPES)}
     kept: list[tuple[str, int, int]] = []
     for e in sorted(set(found), key=lambda e: (rank[e[0]], e[1] - e[2], e[1])):

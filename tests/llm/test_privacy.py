@@ -94,3 +94,28 @@ def test_no_card_stays_in_clear(spark):
     assert rows
     for r in rows:
         assert not set(re.findall(r"(?<!\d)\d{16}(?!\d)", r.text)) & set(re.findall(r"\d{16}", privacy.rewrite(r.text)[0])), r.doc_id
+
+
+def test_bare_mentions_of_a_name():
+    text = "Alice came. Dr. Alice Brown spoke; Alice's talk, ALICE BROWN and Brown. Malice and brownish stay. Mr. Xyqy too, Xyqy!"
+    out, found = privacy.rewrite(text)
+    assert [text[a:b] for _, a, b in found] == ["Alice", "Alice Brown", "Alice", "ALICE BROWN", "Brown", "Xyqy", "Xyqy"]
+    assert not re.search(r"\b(?:Alice|Brown|Xyqy)\b", out, re.I) and "Malice and brownish stay." in out
+    alice, brown = (privacy.surrogate("name", w) for w in ("Alice", "Brown"))
+    assert out.startswith(f"{alice} came. Dr. {alice} {brown} spoke; {alice}'s talk, {alice.upper()} {brown.upper()} and {brown}.")
+
+
+@pytest.mark.parametrize("name", ["王小明", "محمد علي", "דוד", "김민수", "たなか", "Xyqyx", "Łukasz Šimůnek", "Ωμέγα", "Ёжъ", "สมชาย"])
+def test_no_name_is_its_own_surrogate(name):
+    fresh = privacy.surrogate("name", name)
+    assert all(x != y for x, y in zip(name.split(" "), fresh.split(" "))) and len(fresh) == len(name)
+    assert privacy.surrogate("name", name.upper()) == fresh.upper()
+    out, found = privacy.rewrite(f"Dr. {name}, und {name}.")
+    assert name not in out and len(found) == 2
+    own = privacy.letters(name[0].lower())
+    assert len(own) > 1 and {privacy.letters(c) for c in own} == {own}
+
+
+def test_unspaced_mentions():
+    out, found = privacy.rewrite("Dr. 王小明 said so. 王小明说好.")
+    assert len(found) == 2 and "王小明" not in out and out.endswith("说好.")
