@@ -12,7 +12,7 @@ N-grams are exploded once and partitioned by hash so that counts and
 the words that ask for them meet in one shuffle:
 
 * the unigram table is aggregated first; its ``heavy`` most frequent words (a fixed
-  bound) are broadcast with their counts, which splits the hot keys;
+  bound) are broadcast with their counts and the start mark, which splits the hot keys;
 * a word that is not heavy sends its bigram to the partition of its own hash; there its
   count, its bigrams' counts and, for heavy successors, the context's count are all local;
 * a bigram of two heavy words goes to the partition of the pair's hash;
@@ -211,9 +211,12 @@ def backoff_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", hea
     keyed = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("th"), body.alias("text"))
     texts = keyed.select("th", "text")
     unigrams = materialise(texts.mapInArrow(_count_words, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
-    total = unigrams.where(F.col("w") != int(START)).agg(F.sum("n")).first()[0] or 0
-    top = unigrams.orderBy(F.col("n").desc(), "w").limit(min(heavy, HEAVY)).toArrow()
-    w, n = top["w"].to_numpy().astype(np.uint64), top["n"].to_numpy()
+    words = unigrams.where(F.col("w") != int(START))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    # The start mark is never a word, so no partition of words has its count.
+    starts = unigrams.where(F.col("w") == int(START)).agg(F.sum("n")).first()[0] or 0
+    top = words.orderBy(F.col("n").desc(), "w").limit(min(heavy, HEAVY - 1)).toArrow()
+    w, n = np.append(top["w"].to_numpy().astype(np.uint64), START), np.append(top["n"].to_numpy(), starts)
     order = np.argsort(w)
     table = spark.sparkContext.broadcast((w[order], n[order].astype(np.float64)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -224,8 +227,8 @@ def backoff_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", hea
     asked = scored.where("v is not null").join(unigrams.select(F.col("w").alias("v"), F.col("n").alias("c")), "v").groupBy(F.col("text").alias("th")).agg(F.sum(-F.col("k") * F.log("c")).alias("s"))
     zero = F.lit(0).cast("long")
     sums = settled.unionByName(asked.withColumns({"n": zero, "b": zero})).groupBy("th").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("b").alias("b"))
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
-    counted = keyed.select("key", "th", words.alias("n_words")).join(sums, "th", "left")
+    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
+    counted = keyed.select("key", "th", n_words.alias("n_words")).join(sums, "th", "left")
     # Equal texts share their sums; n holds all copies' words.
     return counted.select(
         F.col("key").alias(key),

@@ -44,6 +44,17 @@ def test_against_brute_force(spark, monkeypatch, heavy):
         assert g[:3] == w[:3] and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 2e-6
 
 
+@pytest.mark.parametrize("texts", [["a a a a a"] * 2, ["a a a a a b", "a a a c", "b a", None], ["a b " * 50, "a b " * 40 + "c", "a a a c"]])
+def test_start_mark_is_never_light(spark, texts):
+    """Few long texts that begin with the same heavy word."""
+    for heavy in (1, 2):
+        got = backoff_scores.backoff_scores(documents(spark, enumerate(texts)), heavy=heavy).collect()
+        want = brute(texts)
+        for r in got:
+            n, b, s = want[r.doc_id]
+            assert (r.n_words, r.n_backoff) == (n, b) and abs((r.score or 0) - (s or 0)) < 2e-6
+
+
 def test_empty_table(spark):
     assert backoff_scores.backoff_scores(documents(spark, [])).count() == 0
 
