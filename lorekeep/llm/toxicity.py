@@ -2,8 +2,8 @@
 
 1. A character bigram model is counted over all documents (a fixed number of
    cells a partition, added up).
-2. A suspicious token (letters mixed with look-alike signs, letters repeated
-   three times or more, or letters spelt out one by one) spans a lattice of the
+2. A suspicious token (letters mixed with look-alike signs, letters repeated,
+   or letters and such signs spelt out one by one) spans a lattice of the
    characters it may stand for. Viterbi decoding under the character model and
    fixed channel costs restores the likeliest reading.
 3. Restored words and their beginnings vote by log odds learnt from labels; a
@@ -38,12 +38,14 @@ CUT = 0.7
 LETTERS = 0x250  # characters of the model: Latin blocks; any other is one class
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Costs in nats: reading a sign as a letter, keeping a sign, dropping a repeat, dropping a separator.
-AS_LETTER, AS_SIGN, DROP_REPEAT, DROP_BREAK = 1.5, 3.0, 0.5, 0.5
+#: Costs in nats: reading a sign as a letter, keeping a sign, dropping a repeat, one of two letters, a separator.
+AS_LETTER, AS_SIGN, DROP_REPEAT, DROP_DOUBLE, DROP_BREAK = 1.5, 3.0, 0.5, 2.5, 0.5
 
 EDGES = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>#*$%&|=_-~^/\\`"
-ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£]+[^\W\d_]|^[0-9@$!|+(€£]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£]{1,2}$|([^\W\d_])\1\1|[^\W\d_][.\-_*][^\W\d_](?:[.\-_*]|$)")
-SPELT = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,2}[^\W_0-9]){2,}(?![^\s.,;:!?])")
+ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£]+[^\W\d_]|^[0-9@$!|+(€£]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£]{1,2}$|([^\W\d_])\1|[^\W\d_][.\-_*][^\W\d_](?:[.\-_*]|$)")
+SPELT = re.compile(r"(?<![^\s\"'“‘«])(?:[^\W_]|[@$!|+(€£])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+(€£]))+[ .\-_*]{1,2}(?:[^\W_]|[@$+€£])(?![^\s.,;:!?\"')\]}”’»])")
+#: What may stand around a token but is no look-alike of a letter there.
+BEFORE, AFTER = ".,;:?\"'[{<“‘«", ".,;:?!\"')]}>”’»"
 BREAKS = " .-_*"
 
 
@@ -89,7 +91,7 @@ class Restorer:
                 j += 1
             if c.isalpha():
                 # A run may stand for one letter, two, or what it says.
-                options = [(c * n, DROP_REPEAT * (j - i - n)) for n in {1, 2, j - i} if n <= j - i] if j - i >= 3 else [(c * (j - i), 0.0)]
+                options = [(c * n, DROP_REPEAT * (j - i - n)) for n in {1, 2, j - i} if n <= j - i] if j - i >= 3 else [(c * (j - i), 0.0), (c, DROP_DOUBLE)][: j - i]
             elif c in BREAKS:
                 options = [("", DROP_BREAK), (c, AS_SIGN)]
             else:
@@ -131,10 +133,14 @@ class Restorer:
         for token in set(low.split()):
             t = token.strip(EDGES)
             found.add(t)
-            if ODD.search(token):
-                found.add(self.decode(token.strip(".,;:?\"'")).strip(EDGES))
+            bare = token.lstrip(BEFORE).rstrip(AFTER)
+            if bare[:1] == "(" and ")" in token:
+                bare = bare.lstrip("(")
+            if ODD.search(bare):
+                found.add(self.decode(bare).strip(EDGES))
         for m in SPELT.finditer(low):
-            if len(set(m[0])) > 3:
+            units = [c for c in m[0] if c not in BREAKS]
+            if len(set(units)) > 1 and 3 * sum(c.isalpha() for c in units) >= len(units):
                 found.add(self.decode(m[0]).strip(EDGES))
         found.discard("")
         return found

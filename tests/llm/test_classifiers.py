@@ -58,6 +58,23 @@ def test_deobfuscation():
     assert r.words(None) == set()
 
 
+@pytest.mark.parametrize(
+    ("seen", "meant"),
+    [("idio7", "idiot"), ("idio7,", "idiot"), ("idio7.", "idiot"), ("idio7!", "idiot"), ('"1diot"', "idiot"), ("(idio7)", "idiot"), ("“1diot”", "idiot"), ("1 d 1 0 t", "idiot"), ("i d 1 o t", "idiot"), ("m 0 r 0 n", "moron"), ("t r @ s h", "trash"), ("$ c u m", "scum"), ('"m 0 r 0 n"', "moron"), ("a s s", "ass"), ("a $ $", "ass"), ("stuupid", "stupid"), ("5tuupid", "stupid")],
+)
+def test_obfuscations_at_the_gates(seen, meant):
+    rng = random.Random(0)
+    words = ["stupid", "trash", "clown", "idiot", "moron", "scum", "ass", "window", "garden", "letter", "people", "almost", "total", "loose"]
+    cells = np.full((toxicity.LETTERS, toxicity.LETTERS), 0.01)
+    for _ in range(20_000):
+        w = f" {rng.choice(words)} "
+        for a, b in zip(w, w[1:]):
+            cells[ord(a), ord(b)] += 1
+    r = toxicity.Restorer(np.log(cells / cells.sum(1, keepdims=True)))
+    assert meant in r.words(f"so {seen} yes"), r.words(f"so {seen} yes")
+    assert r.words("1 2 3 4 5 and a a a or 7 - 8 - 9") == {"1", "2", "3", "4", "5", "and", "a", "or", "7", "8", "9"}
+
+
 @pytest.mark.skipif(not os.path.isdir(BIG), reason="no test data")
 @pytest.mark.parametrize(("query", "label", "folds", "fold", "cut", "least"), [(op4_quality_classifier, "quality", 5, 0, 0.3, 0.95), (op10_toxicity, "toxic", 3, 1, 0.7, 0.93)])
 def test_held_out_accuracy(spark, query, label, folds, fold, cut, least):
