@@ -8,8 +8,9 @@ is cut along the curve into full sequences, so neighbours share sequences. What
 is left at a partition's end is cut into powers of two, which need no padding.
 
 The ids are written once to the shared folder before the range partitioning,
-so sampling its bounds does not tokenise again. Memory a task: one document's
-ids, one open sequence and one Arrow batch.
+so sampling its bounds does not tokenise again. Memory a task: the words a
+worker remembers (bounded in bytes), a block of texts or one longer text, one
+open sequence and one Arrow batch.
 
 Defined cases: null or empty text is the end id alone; a document longer than a
 sequence is cut and every id lies in exactly one piece; repeated rows are packed
@@ -19,12 +20,15 @@ columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
+import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -34,79 +38,128 @@ from lorekeep.storage import materialise, ship
 LENGTH = 2048
 END = 1
 DIMENSIONS, BITS, HASHED = 3, 10, 256
-#: Entries of a worker's caches, about 200 bytes each; parts are the dear ones to encode.
-WORDS, PARTS = 500_000, 1_000_000
-#: The pre-tokeniser's pattern, its white space spelt out.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\p{Z}\p{L}\p{N}]+"
+#: Bytes of text that are encoded together, of parts and of words that a worker
+#: remembers (none longer than ``SHORT`` letters), and what each takes beside its letters.
+BLOCK, PARTS, WORDS, SHORT, OVERHEAD = 8 << 20, 64 << 20, 128 << 20, 64, 220
+#: The pre-tokeniser's pattern for lower-case ASCII; then the line end between words.
+PATTERN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\s0-9a-z]+|\n", re.ASCII)
+
+
+def ragged(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that ``index`` names, one after another, and their offsets."""
+    sizes = np.diff(offsets)[index]
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.arange(out[-1]) + np.repeat(offsets[index] - out[:-1], sizes)], out
 
 
 class WordEncoder:
     """Ids of a lower-casing word tokenizer whose words carry an end mark.
 
-    A word's ids do not depend on its neighbours, so they are cached, both for
-    whole words and for the parts that the pre-tokeniser makes of them. Unknown
-    parts are encoded in one call and told apart by the end marks."""
+    A word's ids do not depend on its neighbours. So the distinct words of a block
+    that are not yet known are normalised and cut into parts together (by the
+    library's own normaliser and pre-tokeniser beyond ASCII), each distinct part goes
+    to the model once, and texts are put together from words by position."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        size = max(vocabulary.values()) + 1
-        self.width = 2 if size <= 1 << 16 else 4
-        self.ends = np.zeros(size, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.compose, self.lower = normalizers.NFC(), normalizers.Lowercase()
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.width, self.letter = (2, "H") if size <= 1 << 16 else (4, "I")
+        self.kind = f"<u{self.width}"
         self.cells = (mixed(np.arange(size, dtype=np.uint64)) >> np.uint64(56)).astype(np.int64) % HASHED
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PATTERN).findall
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of words: their numbers, ids and these' offsets."""
+        self.words: dict[str, int] = {}
+        self.values, self.offsets, self.used = np.zeros(0, self.kind), np.zeros(1, np.int64), 0
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}")
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        ids = self.plain(" ".join(parts))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(parts) or cuts[-1] != len(ids):
-            self.parts.update({w: self.plain(w).tobytes() for w in parts})
-            return
-        raw, at, k = ids.tobytes(), 0, self.width
-        for w, end in zip(parts, cuts.tolist()):
-            self.parts[w] = raw[k * at : k * end]
-            at = end
-
-    def _learn(self, words: set[str]) -> None:
-        found = []
-        for w in words:
-            if not w.isascii():
-                w = unicodedata.normalize("NFC", w)
-            # Character by character, without the final-sigma rule.
-            found.append(self.find("".join(map(str.lower, w)) if "\u03a3" in w else w.lower()))
-        unknown = {x for f in found for x in f}.difference(self.parts)
-        if len(self.parts) + len(unknown) > PARTS:
-            self.parts.clear()
-            unknown = {x for f in found for x in f}
-        if unknown:
-            self._learn_parts(list(unknown))
-        parts = self.parts
-        self.words.update({w: b"".join([parts[x] for x in f]) for w, f in zip(words, found)})
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _part(self, part: str) -> bytes:
+        ids = array(self.letter, [t.id for t in self.model.tokenize(part)]).tobytes()
+        if len(part) <= SHORT:
+            self.held += OVERHEAD + len(part)
+            if self.held > PARTS:
+                self.parts.clear()
+                self.held = OVERHEAD + len(part)
+            self.parts[part] = ids
+        return ids
+
+    def _ids(self, parts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given their parts, ``counts`` of them a word, and the words' offsets."""
+        coded = pa.array(parts, pa.string()).dictionary_encode()
+        known = self.parts
+        ids = [known.get(x) or self._part(x) for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]) // self.width
+        values, at = ragged(np.frombuffer(b"".join(ids), self.kind), sizes, coded.indices.to_numpy())
+        return values, at[np.concatenate([[0], np.cumsum(counts)])]
+
+    def _plain_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of printable ASCII, which are their own byte-level spelling."""
+        parts = PATTERN.findall("\n".join([*words, ""]).lower())
+        ends = np.flatnonzero(np.array([x == "\n" for x in parts], bool))
+        return self._ids([x for x in parts if x != "\n"], np.diff(np.concatenate([[-1], ends])) - 1)
+
+    def _other_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = self.lower.normalize_str(self.compose.normalize_str("\n".join([*words, ""])))
+        parts = self.pre_tokenizer.pre_tokenize_str(text)
+        ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 10)
+        counts = np.diff(np.concatenate([[0], np.searchsorted([start for _, (start, _) in parts], ends)]))
+        return self._ids([x for x, _ in parts], counts)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The numbers of new words, which are remembered."""
+        number = np.empty(len(words), np.int64)
+        plain = np.array([w.isascii() and w.isprintable() for w in words], bool)
+        for own, ids in ((np.flatnonzero(plain), self._plain_words), (np.flatnonzero(~plain), self._other_words)):
+            if len(own):
+                values, offsets = ids([words[i] for i in own])
+                number[own] = len(self.offsets) - 1 + np.arange(len(own))
+                self.values = np.concatenate([self.values, values])
+                self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        self.words.update((w, i) for w, i in zip(words, number.tolist()) if len(w) <= SHORT)
+        self.used += sum(map(len, words)) + OVERHEAD * len(words)
+        return number
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts and their offsets."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.used > WORDS:
+            self._forget()
+        number = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._learn([words[i] for i in new.tolist()])
+        values, at = ragged(self.values, self.offsets, number[coded.indices.to_numpy()])
+        return values, at[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+    def encode_all(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column without nulls."""
+        column = column.cast(pa.large_string())
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))])
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + BLOCK, "right")) - 1)
+            texts = column.slice(i, j - i)
+            marked = {k for s in self.special for k in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist()}
+            values, at = self._block(texts)
+            for k in range(j - i):
+                yield self.plain(texts[k].as_py()) if k in marked else values[at[k] : at[k + 1]]
+            i = j
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of a whole text, ``width`` bytes each."""
-        if any(s in text for s in self.special):
-            return self.plain(text).tobytes()
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.words.get, words))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
-            fresh = {words[i] for i in missing}
-            if len(self.words) + len(fresh) > WORDS:
-                self.words.clear()
-            self._learn(fresh)
-            for i in missing:
-                found[i] = self.words[words[i]]
-        return b"".join(found)
+        return next(self.encode_all(pa.array([text]))).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -159,10 +212,9 @@ def _encode(path: str, end: int):
         tail = np.array([end], f"<u{e.width}").tobytes()
         for batch in batches:
             tokens, counts = [], np.zeros((batch.num_rows, HASHED))
-            for k, text in enumerate(batch.column(1)):
-                raw = e.encode(text.as_py() or "")
-                counts[k] = np.bincount(e.cells[np.frombuffer(raw, f"<u{e.width}")], minlength=HASHED)
-                tokens.append(raw + tail)
+            for k, ids in enumerate(e.encode_all(pc.fill_null(batch.column(1), ""))):
+                counts[k] = np.bincount(e.cells[ids], minlength=HASHED)
+                tokens.append(ids.tobytes() + tail)
             keys = hilbert(project(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array([e.width] * len(keys), pa.int32())], ["key", "curve", "ids", "width"])
 
