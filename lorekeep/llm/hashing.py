@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 
 #: Texts are hashed together up to this many bytes; longer ones in parts cut at spaces.
 BLOCK = 1 << 20
+#: Words up to this many bytes are hashed side by side.
+CHAINED = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -44,9 +47,25 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def spans_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(h) - 1)
-    return mixed((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64))
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time are mixed into a
+    state, which has no linear structure that texts could cancel; the hash of a
+    span beyond ``CHAINED`` bytes is cryptographic."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = mixed((size.astype(np.uint64) + np.uint64(1)) * _ODD)
+    live, at = np.flatnonzero((size > 0) & (size <= CHAINED)), 0
+    while len(live):
+        rest = size[live] - at
+        chunk = eights[start[live] + at]
+        short = rest < 8
+        chunk[short] &= (np.uint64(1) << (np.uint64(8) * rest[short].astype(np.uint64))) - np.uint64(1)
+        h[live] = mixed((h[live] ^ chunk) * _ODD + np.uint64(at))
+        live, at = live[rest > 8], at + 8
+    for i in np.flatnonzero(size > CHAINED).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +81,7 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[-1], after[:-1] = False, inside[1:] & ~first[1:]
     ends = np.flatnonzero(inside & ~after) + 1
     counts = np.diff(np.searchsorted(starts, cuts))
-    return spans_hash(prefix_sums(data), starts, ends), counts
+    return spans_hash(data, starts, ends), counts
 
 
 def _long(data: np.ndarray) -> np.ndarray:

@@ -23,7 +23,8 @@ densification), so short documents band like long ones.
    links that join components, never pairs.
 
 A pair at the threshold shares no band with a probability below 5e-6 (36 bands
-of 7 registers at 0.85, 42 of 6 at 0.8), a closer one far less. A node is 64 bits of a cryptographic digest of its whole set.
+of 7 registers at 0.85, 42 of 6 at 0.8), a closer one far less. Sets are equal when 128 bits of a cryptographic digest are; a node is the
+number that a digest has in a written table. Shingles are compared by 64-bit hashes.
 
 Defined cases: null text, or text without words, has the empty set, links with
 nothing and stays; fewer words than a shingle count as one shingle; a component's
@@ -50,8 +51,6 @@ from lorekeep.storage import materialise, ship
 REGISTERS, MANTISSA = 256, 10
 #: Highest probability that two sets just at the threshold share no band.
 MISSED = 5e-6
-#: Keys up to which the wanted documents' keys are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
 #: Set elements (8 bytes each) of a block that one task holds.
 BLOCK_ELEMENTS = 4_000_000
 
@@ -104,19 +103,19 @@ def shingle_sets(column: pa.Array, size: int):
             at += n
 
 
-def node_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def _sketches(size: int):
     def run(batches):
         for b in batches:
-            n, node, regs = [], [], []
+            n, digests, regs = [], [], []
             for s in shingle_sets(b.column(1), size):
                 n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
+                digests.append(digest(s))
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], ["key", "th", "n", "node", "regs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["key", "th", "n", "digest", "regs"])
 
     return run
 
@@ -125,7 +124,7 @@ def _sets(size: int):
     def run(batches):
         for b in batches:
             sets = list(shingle_sets(b.column(1), size))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(digest, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "members"])
 
     return run
 
@@ -234,12 +233,14 @@ def _settled(percent: int):
 
 
 def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(sketches(key, th, n, node), members(node, component) of nodes with a link);
-    ``th`` is a hash of the text, which tells rows of one key apart."""
+    """(sketches(key, th, n, digest), members(digest, component) of sets with a link,
+    the component by the digest of its least node); ``th`` is a hash of the text,
+    which tells rows of one key apart."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    sketches = materialise(docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(_sketches(size), f"key {kind}, th bigint, n bigint, node bigint, regs binary"), "sketches")
-    nodes = materialise(sketches.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
+    sketches = materialise(docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(_sketches(size), f"key {kind}, th bigint, n bigint, digest binary, regs binary"), "sketches")
+    equal = sketches.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    nodes = materialise(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = band_rows(percent / 100)
     width = 2 * rows
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), lambda i: F.xxhash64(F.substring("regs", i * width + 1, F.lit(width)), i))).alias("band"))
@@ -259,12 +260,11 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
 
     def full_sets(of: DataFrame) -> DataFrame:
         """Sets of the given nodes, from one document of each."""
-        wanted = materialise(of.distinct().join(nodes.select("node", "key"), "node"), "wanted")
-        keys = wanted.select(F.col("key").alias("__key")).distinct()
-        keys = F.broadcast(keys) if wanted.count() <= BROADCAST_KEYS else keys
-        texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-        rows = texts.join(keys, texts["__key"].eqNullSafe(keys["__key"]), "left_semi").mapInArrow(_sets(size), "node bigint, members binary")
-        return materialise(rows.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")), "sets")
+        wanted = materialise(of.distinct().join(nodes.select("node", "key", "digest"), "node"), "wanted")
+        keys = wanted.select(F.col("key").alias("wanted_key")).distinct()
+        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        rows = texts.join(keys, texts["key"].eqNullSafe(keys["wanted_key"]), "left_semi").select("key", "text").mapInArrow(_sets(size), "digest binary, members binary")
+        return materialise(rows.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("members").alias("members")), "sets")
 
     def crossing(pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet in one component."""
@@ -298,18 +298,20 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
         loaded = tasks.join(full_sets(own.select("node")), "node").select("group", "i", "j", "block", "node", "component", "members")
         links.append(materialise(loaded.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").mapInArrow(_settled(percent), "a bigint, b bigint"), "links"))
         members = materialise(connected_components(reduce(DataFrame.unionByName, links)), "members")
-    return sketches.select("key", "th", "n", "node"), members
+    names = nodes.select("node", "digest")
+    of_component = names.select(F.col("node").alias("component"), F.col("digest").alias("first"))
+    return sketches.select("key", "th", "n", "digest"), members.join(names, "node").join(of_component, "component").select("digest", F.col("first").alias("component"))
 
 
 def decisions(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     """One row per document: (key, th, n, component_id, kept). Of a component the
     rows of one key and text are kept, those of the least key, nulls last."""
     sketches, members = classes(docs, size, percent, text, key)
-    labelled = sketches.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    row = F.struct(F.col("key").isNull().alias("null"), "key", "node", "th")
-    first = labelled.where("node is not null").groupBy("component").agg(F.min(row).alias("first"))
-    linked = labelled.where("node is not null").join(first, "component").select("key", "th", "n", F.col("first.key").alias("component_id"), (row == F.col("first")).alias("kept"))
-    alone = labelled.where("node is null").select("key", "th", "n", F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    labelled = sketches.join(members, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    row = F.struct(F.col("key").isNull().alias("null"), "key", "digest", "th")
+    first = labelled.where("digest is not null").groupBy("component").agg(F.min(row).alias("first"))
+    linked = labelled.where("digest is not null").join(first, "component").select("key", "th", "n", F.col("first.key").alias("component_id"), (row == F.col("first")).alias("kept"))
+    alone = labelled.where("digest is null").select("key", "th", "n", F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)
 
 
@@ -324,8 +326,8 @@ def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80, text
     decided = materialise(decisions(docs, size, percent, text, key), "decisions")
 
     def of(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-        wanted = wanted.select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
-        return rows.join(wanted, rows[key].eqNullSafe(wanted["__key"]) & (F.xxhash64(rows[text]) == wanted["__th"]), how)
+        wanted = wanted.select("key", "th").distinct()
+        return rows.join(wanted, rows[key].eqNullSafe(wanted["key"]) & (F.xxhash64(rows[text]) == wanted["th"]), how)
 
     stay = of(docs, decided.where("not kept"), "left_anti")
     repeated = materialise(decided.where("kept and n > 0").groupBy("key", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")

@@ -40,8 +40,6 @@ from lorekeep.storage import materialise, ship
 
 LENGTH, GRAM = 400, 200
 SHALLOW = 12
-#: Keys up to which a set of wanted texts is broadcast (8 bytes each).
-BROADCAST_KEYS = 2_000_000
 
 
 def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
@@ -310,9 +308,8 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shared = materialise(found.join(twice, "h"), "shared-anchors")
     one_of_each = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "p", "a", "b")).alias("r"))
     wanted = materialise(one_of_each.groupBy("r.th").agg(F.collect_list(F.struct("h", "c", "n", "r.p", "r.a", "r.b")).alias("wanted")), "wanted-contexts")
-    texts = docs
-    if wanted.count() <= BROADCAST_KEYS:
-        texts = docs.join(F.broadcast(wanted.select("th")), "th", "left_semi")
+    # Both joins share one partitioning; the first leaves only texts that are asked for.
+    texts = docs.join(wanted.select("th"), "th", "left_semi")
     contexts = texts.join(wanted, "th").select("text", "wanted").mapInArrow(_contexts(length), "h bigint, c bigint, n bigint, off bigint, context binary")
     ranges = materialise(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups(length, gram), "h bigint, c bigint, ranges array<struct<lo:bigint,hi:bigint>>"), "ranges")
     back = shared.join(ranges, ["h", "c"]).select("th", F.explode("ranges").alias("r"), "p")

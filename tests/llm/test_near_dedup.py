@@ -67,6 +67,14 @@ def test_repeated_rows_and_null_keys(spark):
     assert sum(r.kept for r in out.collect()) == 4  # both rows of 1, and two lone rows without a key
 
 
+def test_structured_words_do_not_collide(spark):
+    """A Thue-Morse word and its complement, which polynomial hashes cannot tell apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = {1: word, 2: other, 3: word[:128], 4: other[:128], 5: word}
+    assert rows(near_dedup.near_duplicates(documents(spark, texts.items(), extra=True), 3, 85)) == brute(texts)
+
+
 def test_bands_follow_the_threshold():
     assert [near_dedup.band_rows(x) for x in (0.8, 0.85)] == [6, 7]
     assert all((1 - x ** near_dedup.band_rows(x)) ** (256 // near_dedup.band_rows(x)) <= near_dedup.MISSED for x in (0.5, 0.7, 0.8, 0.9, 0.95))
