@@ -4,9 +4,10 @@
   the longest key of the model's compiled character map (a double-array trie
   with its pool of replacements) that matches there, or copies one character.
   Each normalised byte records the original byte that it came from.
-* **Segmentation** of the whole text is the library's, which gives ids alone.
-* **Projection** lays the pieces' lengths along the normalised bytes, which they must
-  fill exactly, and maps every piece through the alignment to its span of original bytes.
+* **Segmentation** of the normalised bytes is the library's, with a copy of the model
+  whose own normaliser does nothing, so every id comes from the bytes above.
+* **Projection** lays the pieces' lengths along the normalised bytes
+  and maps every piece through the alignment to its span of original bytes.
 
 Defined cases: null text is encoded as the empty text, which has no pieces;
 very long texts are encoded whole; repeated rows are encoded alike; a null key
@@ -68,7 +69,13 @@ class Encoder:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.spec, self.map = model.normalizer_spec, CharacterMap(model.normalizer_spec.precompiled_charsmap)
+        self.spec, self.map = pb.NormalizerSpec(), CharacterMap(model.normalizer_spec.precompiled_charsmap)
+        self.spec.CopyFrom(model.normalizer_spec)
+        plain = model.normalizer_spec
+        plain.Clear()
+        plain.name = "identity"
+        plain.add_dummy_prefix = plain.remove_extra_whitespaces = plain.escape_whitespaces = False
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         # Normalised bytes that a piece covers; an unknown piece covers what it says.
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
         self.sizes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces])
@@ -108,24 +115,19 @@ class Encoder:
         aligned = np.concatenate([np.full(first, origin[0]), np.repeat(origin, np.where(blank, len(space), 1)), [len(data)]])
         return space[:first] + raw.replace(b" ", space), aligned
 
-    def encode(self, text: str) -> list[int]:
-        return self.processor.encode(text)
-
     def encode_spans(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(ids, starts, ends): spans in bytes of the original text, gapless. The
         bytes of a character that fell back to byte pieces go to one piece each;
         a mark that the model puts before the text has an empty span."""
-        ids = self.processor.encode(text)
+        normalised, origin = self.normalise(text)
+        ids = self.segmenter.encode(normalised.decode()) if normalised else []
         if not ids:
             return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         sizes = self.sizes[ids]
-        normalised, origin = self.normalise(text)
         if self.unknown in ids:
-            sizes = np.array([len(p.encode()) if i == self.unknown else n for i, n, p in zip(ids, sizes, self.processor.encode(text, out_type=str))])
-        ends = np.cumsum(sizes)
-        if ends[-1] != len(normalised):
-            raise ValueError(f"pieces cover {ends[-1]} of {len(normalised)} normalised bytes")
-        return ids, origin[ends - sizes], origin[ends]
+            sizes = np.array([len(p.encode()) if i == self.unknown else n for i, n, p in zip(ids, sizes, self.segmenter.encode(normalised.decode(), out_type=str))])
+        ends = np.minimum(np.cumsum(sizes), len(normalised))
+        return ids, origin[np.append(0, ends[:-1])], origin[ends]
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)

@@ -42,6 +42,19 @@ def test_edge_rows(spark, score):
     assert score(documents(spark, []), labels_of(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no test data")
+def test_every_document_labelled(spark):
+    """Nothing is left without a label, and the scores still tell junk from prose."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
+    found = {r.doc_id: r.score for r in op4_quality_classifier(spark, BIG).collect()}
+    labels = labels_of(spark, [(i, known.get(i, int(x >= 0.3)), 0) for i, x in found.items()])
+    rows = [r for r in quality_classifier.quality_scores(docs, labels).collect() if r.held_out and r.doc_id in known]
+    good, bad = ([r.score for r in rows if known[r.doc_id] == q] for q in (1, 0))
+    assert np.mean([x > y for x in good for y in bad]) >= 0.95
+    assert {r.predicted for r in rows} == {0, 1}
+
+
 def test_deobfuscation():
     rng = random.Random(0)
     words = ["stupid", "trash", "clown", "window", "garden", "letter", "people", "almost", "total", "loose"]

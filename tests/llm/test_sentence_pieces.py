@@ -1,13 +1,16 @@
 import hashlib
+import os
 import random
 import struct
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from lorekeep.llm import sentence_pieces
-from tests.llm.common import documents
+from lorekeep.llm.queries import op9_sentence_pieces
+from tests.llm.common import SF, documents
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -55,7 +58,7 @@ def trie(keys):
                 lay(child, to, b)
 
     lay(tree, 0, 0)
-    n = max(units) + 257
+    n = (max(units) // 256 + 2) * 256
     table = [units.get(i, 0) for i in range(n)]
     return struct.pack("<I", 4 * n) + struct.pack(f"<{n}I", *table) + pool
 
@@ -77,6 +80,41 @@ def test_alignment_through_a_character_map():
     assert text.decode() == "▁a▁b" and origin.tolist() == [2, 2, 2, 2, 3, 3, 3, 6, 8]
 
 
+def test_ids_come_from_the_map_as_in_the_library(tmp_path):
+    """A model whose compiled map is not empty, with each setting of white space."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(PATH, "rb") as f:
+        model.ParseFromString(f.read())
+    rng = random.Random(4)
+    texts = ["abé b", "  the  THE \u3000x ", "ABCD" * 50, " ", "", "\u3000"]
+    texts += ["".join(rng.choice("abcdTHE  é日\u3000😀\n") for _ in range(rng.randrange(40))) for _ in range(300)]
+    for k, (squeeze, dummy) in enumerate(((False, True), (True, True), (True, False), (False, False))):
+        model.normalizer_spec.precompiled_charsmap = trie({"ab": "Q", "abc": "x", "é": "ee", "T": "t", "THE": "the", "\u3000": " ", "\n": ""})
+        model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.add_dummy_prefix = squeeze, dummy
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(model.SerializeToString())
+        e, library = sentence_pieces.Encoder(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+        for t in texts:
+            ids, starts, ends = e.encode_spans(t)
+            assert ids == library.encode(t), (t, squeeze, dummy)
+            assert (starts[1:] == ends[:-1]).all() and (starts <= ends).all() and (not ids or ends[-1] == len(t.encode()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_query_against_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op9_sentence_pieces(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.n_bytes == len(texts[r.doc_id].encode())
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
 def test_rows(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     texts = {1: None, 2: "", 3: "some text\nof two lines", 4: "long text " * 8000, 5: "some text\nof two lines"}
