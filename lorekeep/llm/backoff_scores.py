@@ -8,64 +8,78 @@ A bigram model is counted over the whole corpus and scores every word of it:
 with v a start mark before a text's first word and c(start) the number of texts that have words. A
 document's score is the mean of ln S over its words.
 
-N-grams are exploded once and partitioned by hash so that counts and
-the words that ask for them meet in one shuffle:
-
-* the unigram table is aggregated first; its ``heavy`` most frequent words (a fixed
-  bound) are broadcast with their counts and the start mark, which splits the hot keys;
-* a word that is not heavy sends its bigram to the partition of its own hash; there its
-  count, its bigrams' counts and, for heavy successors, the context's count are all local;
-* a bigram of two heavy words goes to the partition of the pair's hash;
-* only a repeated bigram of two light words needs one more join with the unigram table.
-
-Shuffled n-grams are packed, about eight bytes each: two bytes for a heavy word,
-six (48 bits of its hash) for any other. Sums per document are aggregated as rows.
+* The unigram table is aggregated first. Its ``heavy`` most frequent words (a
+  documented bound) and the start mark are broadcast with their counts.
+* Pairs of the ``CORE`` most frequent of those fill a table of fixed size, which is counted
+  over all texts and broadcast: no hot pair is ever shuffled.
+* All other n-grams are exploded and partitioned by the hash of a key: the word if it is not
+  heavy, else the context if that is not, else the pair. There the bigram counts and the counts
+  of words that are not heavy are taken and joined to the n-grams by a window over that
+  partitioning, so a task holds no more than Spark's sort, which spills. A group of the
+  window is at most as large as the least frequent heavy word or core pair.
+* A repeated bigram of two words that are not heavy also wants its context's
+  count: those few are aggregated and joined with the unigram table.
+* Scores are summed per document.
+
+N-grams cross the shuffle as arrays, a row for each task and stretch of texts, and are
+exploded behind it. Words are 63-bit hashes, texts are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have no words and score null; equal
-texts score alike, repeated rows are counted each; an empty table gives an empty result.
+texts score alike, repeated rows are counted each; very long texts are hashed in parts and
+scored whole; ties of frequency are broken by hash; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.hashing import mixed, word_hashes
 from lorekeep.storage import materialise, ship
 
-HEAVY = 1 << 16
+HEAVY, CORE = 1 << 16, 256
 LEAST, BACKOFF = 2, 0.4
 FLUSH = 700_000
-START = np.uint64(0x5EED5EED5EED)
-SHORT = np.uint64(16)
-#: Codes below this are positions among the heavy words, others hold a hash.
-LIGHT = np.uint64(1 << 17)
+#: Codes below 0 are hashes of words, others ranks among the heavy words; the start mark is first.
+SIGN = np.uint64(1 << 63)
+START = np.int64(-1)
+
+
+def _coded(hashes: np.ndarray) -> np.ndarray:
+    return (hashes | SIGN).view(np.int64)
+
+
+def _contexts(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The word before each, the start mark before a text's first."""
+    before = np.empty(len(words), np.int64)
+    before[1:] = words[:-1]
+    before[np.concatenate([[0], np.cumsum(counts)[:-1]])[counts > 0]] = START
+    return before
 
 
 def _bigrams(batches):
-    """(th of each text, context, word, text index): 48-bit hashes of many texts at a time."""
+    """(th of each text, context, word, text index) of many texts at a time."""
     held, size = [], 0
 
     def joined():
-        th, context, word, owner, at = [], [], [], [], 0
-        for ids, hashes, counts in held:
-            begin = np.concatenate([[0], np.cumsum(counts)[:-1]])[counts > 0]
-            before = np.empty(len(hashes), np.uint64)
-            before[1:], before[begin] = hashes[:-1], START
-            th.append(ids)
-            context.append(before)
-            word.append(hashes)
-            owner.append(np.repeat(np.arange(len(ids)), counts) + at)
+        owners, at = [], 0
+        for ids, _, _, counts in held:
+            owners.append(np.repeat(np.arange(len(ids)), counts) + at)
             at += len(ids)
-        return tuple(map(np.concatenate, (th, context, word, owner)))
+        ids, context, word, _ = map(np.concatenate, zip(*held))
+        return ids, context, word, np.concatenate(owners)
 
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for first, hashes, counts in word_hashes(batch.column(1)):
-            held.append((ids[first : first + len(counts)], hashes >> SHORT, counts))
-            size += len(hashes)
+            words = _coded(hashes)
+            held.append((ids[first : first + len(counts)], _contexts(words, counts), words, counts))
+            size += len(words)
             if size >= FLUSH:
                 yield joined()
                 held, size = [], 0
@@ -76,131 +90,109 @@ def _bigrams(batches):
 def _count_words(batches):
     for _, context, word, _ in _bigrams(batches):
         w, n = np.unique(np.append(word, context[context == START]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n, pa.int64())], ["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], ["w", "n"])
 
 
-def _codes(hashes: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    if not len(heavy):
-        return hashes + LIGHT
-    at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
-    return np.where(heavy[at] == hashes, at.astype(np.uint64), hashes + LIGHT)
+class Heavy:
+    """The heavy words, the start mark first, and the sorted search for their ranks."""
 
+    def __init__(self, words: np.ndarray):
+        self.order = np.argsort(words)
+        self.words = words[self.order]
+        self.core = min(CORE, len(words))
 
-def _packed(codes: np.ndarray) -> bytes:
-    light = codes >= LIGHT
-    six = (codes[light] - LIGHT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.packbits(light).tobytes() + codes[~light].astype("<u2").tobytes() + six.tobytes()
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.order[at], words)
 
+    def cells(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are core pairs, and these pairs' cells."""
+        inside = (v >= 0) & (v < self.core) & (w >= 0) & (w < self.core)
+        return inside, v[inside] * self.core + w[inside]
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    k = -(-n // 8)
-    light = np.unpackbits(np.frombuffer(raw[:k], np.uint8), count=n).astype(bool)
-    m = n - int(light.sum())
-    out = np.empty(n, np.uint64)
-    out[~light] = np.frombuffer(raw[k : k + 2 * m], "<u2")
-    wide = np.zeros((n - m, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw[k + 2 * m :], np.uint8).reshape(-1, 6)
-    out[light] = wide.view("<u8").reshape(-1) + LIGHT
-    return out
+
+def _count_core(heavy):
+    def run(batches):
+        table = heavy.value
+        n = np.zeros(table.core**2, np.int64)
+        for _, context, word, _ in _bigrams(batches):
+            n += np.bincount(table.cells(table.codes(context), table.codes(word))[1], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["cell", "n"])
+
+    return run
 
 
 def _deal(heavy, parts: int):
-    names = ["part", "n", "texts", "owner", "context", "word"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["part", "texts", "owner", "v", "w"]
+
+    def lists(values: np.ndarray, cuts: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
     def run(batches):
-        table = heavy.value[0]
+        table = heavy.value
         for th, context, word, owner in _bigrams(batches):
-            v, w = _codes(context, table), _codes(word, table)
-            key = np.where(w >= LIGHT, w, np.where(v >= LIGHT, v, mixed(v * LIGHT + w)))
-            part = (mixed(key) % np.uint64(parts)).astype(np.int32)
+            v, w = table.codes(context), table.codes(word)
+            rest = np.flatnonzero(~table.cells(v, w)[0])
+            v, w, owner = v[rest], w[rest], owner[rest]
+            key = np.where(w < 0, w, np.where(v < 0, v, (v << 31) + w))
+            part = (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = []
-            for p in range(parts):
-                for a in range(cuts[p], cuts[p + 1], 1 << 16):
-                    own = order[a : min(a + (1 << 16), cuts[p + 1])]
-                    texts, where = np.unique(owner[own], return_inverse=True)
-                    rows.append((p, len(own), th[texts].astype("<i8").tobytes(), where.astype("<u2").tobytes(), _packed(v[own]), _packed(w[own])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            v, w, owner, part = v[order], w[order], owner[order], part[order]
+            new_part = np.concatenate([[True], part[1:] != part[:-1]]) if len(part) else np.zeros(0, bool)
+            new_text = new_part | np.concatenate([[True], owner[1:] != owner[:-1]])[: len(part)]
+            cuts, texts = np.flatnonzero(new_part), np.flatnonzero(new_text)
+            place = np.cumsum(new_text) - 1
+            first = np.searchsorted(texts, cuts)
+            within = place - np.repeat(first, np.diff(np.append(cuts, len(part))))
+            ends = [*cuts.tolist(), len(part)]
+            columns = [pa.array(part[cuts], pa.int32()), lists(th[owner[texts]], [*first.tolist(), len(texts)]), lists(within.astype(np.int32), ends), lists(v, ends), lists(w, ends)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _score(heavy, total: float, least: int, backoff: float, parts: int):
-    """Packed sums by each text's home, and rows (text, v, k) of texts that still
-    want ln c(v) taken off k times."""
-    names = ["home", "th", "s", "n", "b", "text", "v", "k"]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-
-    def settle(rows):
-        log = np.log(np.maximum(heavy.value[1], 1))
-        th = np.concatenate([np.frombuffer(r[1], "<i8")[np.frombuffer(r[2], "<u2")] for r in rows])
-        v = np.concatenate([_unpacked(r[3], r[0]) for r in rows])
-        w = np.concatenate([_unpacked(r[4], r[0]) for r in rows])
-        light_v, light_w = v >= LIGHT, w >= LIGHT
-        _, at, n = np.unique(mixed(v * np.uint64(0x9E3779B97F4A7C15) + w), return_inverse=True, return_counts=True)
-        pair = n[at]
-        words, at, n = np.unique(w[light_w], return_inverse=True, return_counts=True)
-        count_w = np.empty(len(w))
-        count_w[light_w] = np.log(n[at])
-        count_w[~light_w] = log[w[~light_w].astype(np.int64)]
-        seen = pair >= least
-        score = np.where(seen, np.log(pair), np.log(backoff) + count_w - np.log(total))
-        known = seen & ~light_v
-        score[known] -= log[v[known].astype(np.int64)]
-        local = seen & light_v & ~light_w
-        score[local] -= np.log(n[np.searchsorted(words, v[local])])
-        texts, at = np.unique(th, return_inverse=True)
-        home = (mixed(texts.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(home, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(home[order]) != 0])).tolist() + [len(order)]
-        columns = texts.astype("<i8"), np.bincount(at, score, len(texts)).astype("<f8"), np.bincount(at, minlength=len(texts)).astype("<i8"), np.bincount(at, ~seen, len(texts)).astype("<i8")
-        packed = [(int(home[order[a]]), *(c[order[a:b]].tobytes() for c in columns), None, None, None) for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*packed), kinds)], names)
-        asked = seen & light_v & light_w
-        if asked.any():
-            ask = np.stack([th[asked], (v[asked] - LIGHT).astype(np.int64)])
-            ask, k = np.unique(ask, axis=1, return_counts=True)
-            nothing = [pa.nulls(len(k), kind) for kind in kinds[:5]]
-            yield pa.RecordBatch.from_arrays([*nothing, pa.array(ask[0]), pa.array(ask[1]), pa.array(k)], names)
+def _documents(heavy, core):
+    """What is known of each document without a shuffle: its words, those not in core
+    pairs, and the sum of scores and the backoffs of its core pairs."""
+    names = ["key", "th", "n_words", "rest", "s", "b"]
 
     def run(batches):
-        held, rows = None, []
-        for b in batches:
-            for part, *row in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if part != held and rows:
-                    yield from settle(rows)
-                    rows = []
-                held = part
-                rows.append(row)
-        if rows:
-            yield from settle(rows)
+        table, (score, backed) = heavy.value, core.value
+        for batch in batches:
+            out = [np.zeros(batch.num_rows, kind) for kind in (np.int64, np.int64, np.float64, np.int64)]
+            for first, hashes, counts in word_hashes(batch.column(2)):
+                words = _coded(hashes)
+                inside, cells = table.cells(table.codes(_contexts(words, counts)), table.codes(words))
+                owner, k, at = np.repeat(np.arange(len(counts)), counts), len(counts), slice(first, first + len(counts))
+                out[0][at] = counts
+                out[1][at] = counts - np.bincount(owner[inside], minlength=k)
+                out[2][at] = np.bincount(owner[inside], score[cells], k)
+                out[3][at] = np.bincount(owner[inside], backed[cells], k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], names)
 
     return run
 
 
-def _fold(batches):
-    """One row a text of the packed sums that meet at its home."""
-    kinds = ("<i8", "<f8", "<i8", "<i8")
-    held: list[list[np.ndarray]] = [[], [], [], []]
-    size = 0
+def ngram_scores(texts: DataFrame, heavy, logs: DataFrame, total: float, least: int, backoff: float) -> DataFrame:
+    """(th, v, s, n, b): for each text the sums over its n-grams of one task. Where ``v`` is
+    not null, the log of that word's count is still to be taken off ``k`` times."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(_deal(heavy, parts), "part int, texts array<bigint>, owner array<int>, v array<bigint>, w array<bigint>")
+    rows = dealt.repartition(parts, "part").select("part", "texts", F.inline(F.arrays_zip("owner", "v", "w"))).select("part", F.get("texts", "owner").alias("th"), "v", "w")
+    keyed = rows.withColumn("key", F.when(F.col("w") < 0, F.col("w")).when(F.col("v") < 0, F.col("v")).otherwise(F.shiftleft("v", 31) + F.col("w")))
+    counted = keyed.withColumn("pair", F.count(F.lit(1)).over(Window.partitionBy("part", "key", "v", "w")))
+    counted = counted.withColumn("alone", F.sum(F.when(F.col("w") == F.col("key"), 1)).over(Window.partitionBy("part", "key")))
+    known = logs.scalar()
 
-    def folded():
-        th, s, n, b = map(np.concatenate, held)
-        texts, at = np.unique(th, return_inverse=True)
-        return texts, np.bincount(at, s, len(texts)), np.bincount(at, n, len(texts)).astype(np.int64), np.bincount(at, b, len(texts)).astype(np.int64)
+    def log_count(word: str) -> Column:
+        return F.when(F.col(word) >= 0, F.get(known, F.col(word).cast("int"))).otherwise(F.log("alone"))
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for part, raw, kind in zip(held, row, kinds):
-                part.append(np.frombuffer(raw, kind))
-            size += len(row[0]) // 8
-            if size > FLUSH:
-                done = folded()
-                held, size = [[c] for c in done], -len(done[0])
-    if held[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in folded()], ["th", "s", "n", "b"])
+    seen = F.col("pair") >= least
+    asked = seen & (F.col("v") < 0) & (F.col("w") < 0)
+    score = F.when(asked, F.log("pair")).when(seen, F.log("pair") - log_count("v")).otherwise(log_count("w") + math.log(backoff) - math.log(total))
+    scored = counted.select("part", "th", F.when(asked, F.col("v")).alias("v"), score.alias("s"), (~seen).cast("long").alias("b"))
+    return scored.groupBy("part", "th", "v").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).drop("part")
 
 
 def backoff_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", heavy: int = HEAVY, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
@@ -212,27 +204,32 @@ def backoff_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", hea
     texts = keyed.select("th", "text")
     unigrams = materialise(texts.mapInArrow(_count_words, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
     words = unigrams.where(F.col("w") != int(START))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    # The start mark is never a word, so no partition of words has its count.
-    starts = unigrams.where(F.col("w") == int(START)).agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.col("n").desc(), "w").limit(min(heavy, HEAVY - 1)).toArrow()
-    w, n = np.append(top["w"].to_numpy().astype(np.uint64), START), np.append(top["n"].to_numpy(), starts)
-    order = np.argsort(w)
-    table = spark.sparkContext.broadcast((w[order], n[order].astype(np.float64)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(_deal(table, parts), "part int, n int, texts binary, owner binary, context binary, word binary")
-    schema = "home int, th binary, s binary, n binary, b binary, text bigint, v bigint, k bigint"
-    scored = materialise(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_score(table, max(total, 1), least, backoff, parts), schema), "partial-scores")
-    settled = scored.where("v is null").select("home", "th", "s", "n", "b").repartition(parts, "home").select("th", "s", "n", "b").mapInArrow(_fold, "th bigint, s double, n bigint, b bigint")
-    asked = scored.where("v is not null").join(unigrams.select(F.col("w").alias("v"), F.col("n").alias("c")), "v").groupBy(F.col("text").alias("th")).agg(F.sum(-F.col("k") * F.log("c")).alias("s"))
-    zero = F.lit(0).cast("long")
-    sums = settled.unionByName(asked.withColumns({"n": zero, "b": zero})).groupBy("th").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("b").alias("b"))
-    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
-    counted = keyed.select("key", "th", n_words.alias("n_words")).join(sums, "th", "left")
-    # Equal texts share their sums; n holds all copies' words.
-    return counted.select(
+    total = words.agg(F.sum("n")).first()[0] or 1
+    starts = unigrams.where(F.col("w") == int(START)).agg(F.sum("n")).first()[0] or 1
+    top = words.orderBy(F.col("n").desc(), "w").limit(heavy).toArrow()
+    table = Heavy(np.append(START, top["w"].to_numpy()))
+    shared = spark.sparkContext.broadcast(table)
+    log = np.log(np.append(starts, top["n"].to_numpy()).astype(float))
+
+    cells = texts.mapInArrow(_count_core(shared), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(table.core**2)
+    n[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    v, w = np.divmod(np.arange(len(n)), table.core)
+    core = np.where(n >= least, np.log(np.maximum(n, 1)) - log[v], math.log(backoff) + log[w] - math.log(total)), n < least
+
+    logs = spark.createDataFrame([(log.tolist(),)], "logs array<double>")
+    partial = materialise(ngram_scores(texts, shared, logs, total, least, backoff), "partial-scores")
+    contexts = unigrams.select(F.col("w").alias("v"), F.log("n").alias("l"))
+    asked = partial.where("v is not null").join(contexts, "v").select("th", (F.col("s") - F.col("n") * F.col("l")).alias("s"), "n", "b")
+    sums = partial.where("v is null").select("th", "s", "n", "b").unionByName(asked).groupBy("th").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    kind = docs.schema[key].dataType.simpleString()
+    known = keyed.mapInArrow(_documents(shared, spark.sparkContext.broadcast(core)), f"key {kind}, th bigint, n_words bigint, rest bigint, s double, b bigint")
+    both = known.withColumnsRenamed({"s": "s0", "b": "b0"}).join(sums, "th", "left")
+    # Equal texts share their sums over n-grams; n holds all copies' n-grams.
+    own = F.when(F.col("n") > 0, F.col("rest") / F.col("n")).otherwise(0.0)
+    return both.select(
         F.col("key").alias(key),
         "n_words",
-        F.when(F.col("n_words") > 0, F.round(F.col("b") / F.col("n") * F.col("n_words")).cast("long")).otherwise(F.lit(0).cast("long")).alias("n_backoff"),
-        F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n"), 6)).alias("score"),
+        (F.col("b0") + F.coalesce(F.round(F.col("b") * own), F.lit(0.0)).cast("long")).alias("n_backoff"),
+        F.when(F.col("n_words") > 0, F.round((F.col("s0") + F.coalesce(F.col("s") * own, F.lit(0.0))) / F.col("n_words"), 6)).alias("score"),
     )

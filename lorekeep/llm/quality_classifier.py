@@ -9,8 +9,8 @@ with the sigmoid loss. The class prior pi is estimated first: a plain positive-v
 unlabelled ranker is fitted on one half of the sample, and on the other half the share of
 unlabelled over the share of positive documents above a cut, with a confidence
 slack, is smallest where only positives remain (best bin estimation, Garg et
-al., 2021). Labels 0 are not learnt from, and all documents outside the fold, whatever
-their label, count as unlabelled: they stand for the mixture that is to be scored.
+al., 2021). Labels 0 are not learnt from: every document outside the fold that is no chosen
+positive, whatever its label, counts as unlabelled.
 
 Features are style counts of a whole text: frequencies of pairs of character
 classes, repetition of words and lines, lengths. They are computed on the
@@ -18,7 +18,7 @@ executors; the driver sees at most ``sample`` rows of each kind, ``WIDTH`` doubl
 
 Defined cases: null and empty texts have all counts 0 and are scored like any
 other; rows with a null key are not sampled; held-out rows are never learnt
-from; without positives outside the fold every score is 0.5;
+from; without positives or without other documents outside the fold every score is 0.5;
 repeated rows get equal scores; an empty table gives an empty result.
 """
 
@@ -136,15 +136,16 @@ def estimate_prior(xp: np.ndarray, xu: np.ndarray, confidence: float = 0.1) -> f
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str, key: str, sample: int) -> DataFrame:
-    """(text, p): at most ``sample`` positives and ``sample`` documents of all kinds,
-    those with the smallest hashes. Broadcast are only the chosen keys."""
+    """(text, p): at most ``sample`` positives and ``sample`` other documents, those
+    with the smallest hashes. Broadcast are only the chosen keys."""
     good = labels.where((F.col("quality") == 1) & F.col(key).isNotNull()).select(F.col(key).alias("__k")).distinct()
     keys = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("__k")).distinct()
 
     def first(rows: DataFrame, p: int) -> DataFrame:
         return rows.orderBy(F.xxhash64("__k", F.lit(p)), "__k").limit(sample).select("__k", F.lit(p).alias("p"))
 
-    chosen = first(keys.join(good, "__k", "left_semi"), 1).unionByName(first(keys, 0))
+    positive = first(keys.join(good, "__k", "left_semi"), 1)
+    chosen = positive.unionByName(first(keys.join(F.broadcast(positive.select("__k")), "__k", "left_anti"), 0))
     return docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(F.broadcast(chosen), "__k").select("text", "p")
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lorekeep.llm import backoff_scores, hashing
+from lorekeep.llm import backoff_scores
 from tests.llm.common import documents
 
 
@@ -30,6 +30,7 @@ def brute(texts):
 @pytest.mark.parametrize("heavy", [0, 3, 40, 65536])
 def test_against_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(backoff_scores, "FLUSH", 500)
+    monkeypatch.setattr(backoff_scores, "CORE", 20)
     rng = random.Random(heavy)
     words = [f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(400)]
     texts = [None, "", " \n", "a", "a"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(80))) for _ in range(60)]
@@ -59,7 +60,8 @@ def test_empty_table(spark):
     assert backoff_scores.backoff_scores(documents(spark, [])).count() == 0
 
 
-def test_packing_of_codes():
-    codes = np.array([0, 65535, int(backoff_scores.LIGHT), int(backoff_scores.LIGHT) + 2**48 - 1, 7], np.uint64)
-    assert (backoff_scores._unpacked(backoff_scores._packed(codes), 5) == codes).all()
-    assert hashing.mixed(codes).dtype == np.uint64
+def test_codes_and_core_pairs():
+    table = backoff_scores.Heavy(np.array([-1, -50, -7, -90], np.int64))
+    assert table.codes(np.array([-7, -8, -1, -90])).tolist() == [2, -8, 0, 3]
+    inside, cells = table.cells(np.array([0, 1, -8]), np.array([3, 2, 1]))
+    assert inside.tolist() == [True, True, False] and cells.tolist() == [3, 6]
