@@ -10,21 +10,28 @@ which has no fixed point, so no entity is its own surrogate (a name without any
 letter that has others of its kind in its block would be; no script is such).
 
 So the same entity has the same surrogate in every document and spelling
-(coreference: case of mail addresses, punctuation and prefix of phone numbers are
-rendered as they were), and different entities never share one (distinctness):
-the map is injective without any table, so there is nothing to shuffle
-and no state to lose. ``collisions`` checks it over a corpus.
+(coreference: case of mail addresses, punctuation and prefix of phone numbers, spaces of
+account numbers are rendered as they were), and different entities never share one
+(distinctness): the map is injective without any table, so there is nothing to shuffle
+and no state to lose. Each document is checked all the same while it is rewritten: a
+surrogate that another entity of the document has, or that is itself another
+number, address or account of it, is permuted once more. ``collisions`` checks a corpus.
 
 Defined cases: null text stays null; empty text stays empty; a text without
-entities is returned as it is; entities never cross documents; repeated rows
-are rewritten alike; an empty table gives an empty result; other columns are kept.
+entities is returned as it is; very long texts and entities are handled whole; of
+overlapping entities the earlier type counts, then the longer, then the first; entities
+never cross documents; repeated rows are rewritten alike; an empty table gives an empty
+result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import ipaddress
 import re
 import unicodedata
+import warnings
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,14 +42,14 @@ from lorekeep.storage import ship
 
 KEY = b"lorekeep-demonstration-key"
 ROUNDS = 8
-TYPES = ("email", "secret", "iban", "ip", "card", "ssn", "phone", "name")
+TYPES = ("email", "secret", "iban", "ip", "birth", "address", "card", "ssn", "phone", "name")
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 #: Letters that names are rebuilt from, by script and kind; ``letters`` has the others.
 KINDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 
-EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
+LOCAL_SIGNS = frozenset("._%+-")
 EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 #: Stretches of numbers; in them each format is matched by its own pattern.
 NUMBER = re.compile(r"(?<!\w)(?<!\d\.)(?:\+?\d|\(\d)[\d ().\-]{5,}\d(?!\w)")
@@ -61,12 +68,23 @@ GROUPED = re.compile(r"\d{2,5}(?:[ .\-]\d{2,5}){1,4}(?!\w)")
 PLAIN = re.compile(r"(?:0\d{8,10}|1?\d{10})(?!\w|\.\d)")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[_\-][A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"(?i:\b(?:api[_\-]?key|secret|token|passw(?:or)?d|pwd)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/]{8,})")
+#: A value up to white space, a quote or a bracket; after the last two words it must hold a digit.
+ASSIGNED = re.compile(r"(?i:\b(api[_\-]?key|passw(?:or)?d|pwd|secret|token)\b[\"']?\s*[:=]\s*[\"']?)([^\s\"'<>(){},;]{5,}[^\s\"'<>(){},;.])")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]\w|\w)")
+BIRTH = re.compile(r"(?i:\b(?:born|date of birth|dob|geboren|geburtsdatum|née?|date de naissance|nacid[oa]|fecha de nacimiento)\b\W{1,3}(?:(?:on|am|le|el) )?)(\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4})(?!\w)")
+#: Words of streets in four languages.
+ADDRESS = re.compile(
+    r"(?<![\w.])\d{1,5}[a-z]? (?:[A-Z][a-z]+ ){1,3}(?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square)\b"
+    r"|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse) \d{1,4}[a-z]?\b"
+    r"|(?<![\w.])\d{1,4},? (?:rue|avenue|boulevard|impasse) (?:de |du |des |la |le |les )*[A-ZÀ-Ý][a-zß-ÿ]+\b"
+    r"|\b(?:Calle|Avenida|Plaza|Paseo) (?:de |del |la |las |los |el )*[A-ZÀ-Ý][a-zß-ÿ]+,? \d{1,4}\b"
+)
+STREET = re.compile(r"Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square|straße|strasse|weg|platz|allee|gasse|Calle|Avenida|Plaza|Paseo")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 DATE = re.compile(r"(?:\d{4}[-.]\d{1,2}[-.]\d{1,2}|\d{1,2}[-.]\d{1,2}[-.]\d{4})(?!\w|[-.]\d)")
 #: Scripts that are written without spaces between words.
 UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
-NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Sr|Sra)\.? ([^\W\d_a-zß-öø-ÿ][^\W\d_]+(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?)")
+NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Sr|Sra|(?i:my name is|mein Name ist|ich heiße|je m'appelle|me llamo|(?:full )?name:|signed,?|dear))\.? ([^\W\d_a-zß-öø-ÿ][^\W\d_]+(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?)")
 
 
 def _round(key: bytes, tweak: bytes, r: int, half: int, bits: int) -> int:
@@ -116,7 +134,12 @@ def spell(chars: str, alphabets: list[str], key: bytes, tweak: str, accept=None)
 
 
 def _kinds(text: str) -> list[str]:
-    return [next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in text]
+    return [next((a for a in (DIGITS, LOWER, UPPER) if c in a), letters(c)) for c in text]
+
+
+def _lower(text: str) -> str:
+    """Lower case of the letters that have one of a single character."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def luhn(digits: str) -> bool:
@@ -129,6 +152,67 @@ def _digits(text: str, fresh: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in text)
 
 
+def _check_digits(bare: str) -> int:
+    """The valid check digits of an account number (ISO 7064, modulus 97)."""
+    return 98 - int("".join(str(int(c, 36)) for c in f"{bare[4:]}{bare[:2]}00")) % 97
+
+
+def _spaced(text: str, fresh: str) -> str:
+    """``fresh`` with the spaces of ``text``."""
+    it = iter(fresh)
+    return "".join(c if c == " " else next(it) for c in text)
+
+
+def _date(mention: str) -> tuple[int, list[int], datetime.date] | None:
+    """(place of the year, places of month and day, date); the month is first where both readings are dates."""
+    parts = list(map(int, re.split(r"[-./]", mention)))
+    year = 0 if parts[0] > 31 else 2
+    rest = [1, 2] if year == 0 else [0, 1]
+    for month, day in (rest, rest[::-1]):
+        try:
+            return year, [month, day], datetime.date(parts[year], parts[month], parts[day])
+        except ValueError:
+            continue
+    return None
+
+
+def _birth(mention: str, key: bytes) -> str:
+    """Another date of the same reading and widths, if the date exists, else other digits."""
+    read = _date(mention)
+    if not read:
+        return _digits(mention, spell(re.sub(r"\D", "", mention), [DIGITS] * sum(c.isdigit() for c in mention), key, "birth"))
+    form = re.sub(r"\d+", lambda m: str(len(m[0])), mention)
+    first, last = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+    size, x = (last - first).days + 1, (read[2] - first).days
+    if not 0 <= x < size:
+        return _digits(mention, spell(re.sub(r"\D", "", mention), [DIGITS] * sum(c.isdigit() for c in mention), key, "birth"))
+    while True:
+        x = shifted(x, size, key, f"birth|{form}".encode())
+        day = first + datetime.timedelta(x)
+        groups = [0, 0, 0]
+        groups[read[0]], groups[read[1][0]], groups[read[1][1]] = day.year, day.month, day.day
+        widths = [len(g) for g in re.split(r"[-./]", mention)]
+        fresh = [f"{g:0{w}d}" for g, w in zip(groups, widths)]
+        it = iter(fresh)
+        text = re.sub(r"\d+", lambda m: next(it), mention)
+        # The same widths, and the same reading when it is read again.
+        if all(len(f) == w for f, w in zip(fresh, widths)) and (again := _date(text)) and again[1] == read[1]:
+            return text
+
+
+def _address(mention: str, key: bytes) -> str:
+    """House number and names replaced, words of streets kept."""
+    def part(m: re.Match) -> str:
+        word = m[0]
+        if word.isdigit():
+            return spell(word, [DIGITS[1:], *[DIGITS] * (len(word) - 1)] if word[0] != "0" else [DIGITS] * len(word), key, "address")
+        if end := STREET.search(word):
+            return (_name_word(word[: end.start()], key) if end.start() > 1 else word[: end.start()]) + word[end.start() :]
+        return _name_word(word, key) if word[0].isupper() else word
+
+    return re.sub(r"\d+|[^\W\d_]+", part, mention)
+
+
 def _ip_class(octets: str) -> int:
     a, b = int(octets[:3]), int(octets[3:6])
     if max(a, b, int(octets[6:9]), int(octets[9:])) > 255:
@@ -186,14 +270,14 @@ def canonical(kind: str, mention: str) -> str:
         d = re.sub(r"\D", "", mention)
         return d[-10:] if kind == "phone" else d
     if kind == "ip":
-        return ".".join(str(int(o)) for o in mention.split("."))
+        return str(ipaddress.IPv6Address(mention)) if ":" in mention else ".".join(str(int(o)) for o in mention.split("."))
     return mention.lower() if kind in ("email", "name") else mention.replace(" ", "") if kind == "iban" else mention
 
 
 @lru_cache(maxsize=50_000)
 def surrogate(kind: str, mention: str, key: bytes = KEY) -> str:
     if kind == "email":
-        local, _, domain = mention.lower().rpartition("@")
+        local, _, domain = _lower(mention).rpartition("@")
         host, _, top = domain.rpartition(".")
         fresh = spell(local, _kinds(local), key, "local@" + domain) + "@" + spell(host, _kinds(host), key, "host." + top) + "." + top
         return "".join(x.upper() if c.isupper() else x for c, x in zip(mention, fresh))
@@ -205,13 +289,26 @@ def surrogate(kind: str, mention: str, key: bytes = KEY) -> str:
         d = re.sub(r"\D", "", mention)
         valid = luhn(d)
         return _digits(mention, spell(d, [DIGITS] * len(d), key, "card", lambda x: luhn(x) == valid))
+    if kind == "birth":
+        return _birth(mention, key)
+    if kind == "address":
+        return _address(mention, key)
+    if kind == "ip" and ":" in mention:
+        digits = ipaddress.IPv6Address(mention).exploded.replace(":", "")
+        fresh = digits[:4] + spell(digits[4:], [HEX] * 28, key, "ip6" + digits[:4])
+        short = ipaddress.IPv6Address(int(fresh, 16))
+        return (short.compressed if "::" in mention else ":".join(f"{int(fresh[i : i + 4], 16):x}" for i in range(0, 32, 4))).upper() if mention.upper() == mention else short.compressed
     if kind == "ip":
         octets = "".join(f"{int(o):03d}" for o in mention.split("."))
         where = _ip_class(octets)
         fresh = spell(octets, ["012", DIGITS, DIGITS] * 4, key, "ip", lambda x: _ip_class(x) == where)
         return ".".join(str(int(fresh[i : i + 3])) for i in range(0, 12, 3))
     if kind == "iban":
-        return mention[:4] + spell(mention[4:], _kinds(mention[4:]), key, "iban" + mention[:2])
+        bare = mention.replace(" ", "")
+        body = spell(bare[4:], _kinds(bare[4:]), key, "iban" + bare[:2])
+        # As far from the valid check digits as the original's: valid stays valid.
+        check = (int(bare[2:4]) - _check_digits(bare) + _check_digits(bare[:4] + body)) % 100
+        return _spaced(mention, f"{bare[:2]}{check:02d}{body}")
     if kind == "name":
         return " ".join(_name_word(w, key) for w in mention.split(" "))
     if re.fullmatch(r"[0-9a-f]+", mention):
@@ -320,13 +417,21 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     at = text.find("@")
     while at >= 0:
-        a, b = EMAIL_LOCAL.search(text, max(0, at - 256), at), EMAIL_DOMAIN.match(text, at + 1)
-        if a and b:
-            found.append(("email", a.start() + len(a[0]) - len(a[0].lstrip("._%+-")), b.end()))
+        a, b = at, EMAIL_DOMAIN.match(text, at + 1)
+        while b and a and (text[a - 1].isalnum() or text[a - 1] in LOCAL_SIGNS or unicodedata.category(text[a - 1])[0] == "M"):
+            a -= 1
+        while a < at and text[a] in LOCAL_SIGNS:
+            a += 1
+        if b and a < at:
+            found.append(("email", a, b.end()))
         at = text.find("@", at + 1)
     found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text)]
     if "=" in text or ":" in text:
-        found += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text) if any(c.isdigit() for c in m[1])]
+        found += [("secret", *m.span(2)) for m in ASSIGNED.finditer(text) if m[1][0] not in "sStT" or len(m[2]) > 7 and any(c.isdigit() for c in m[2])]
+    if "::" in text or text.count(":") > 6:
+        found += [("ip", m.start(), m.end()) for m in IP6.finditer(text) if _is_ip6(m[0])]
+    found += [("birth", *m.span(1)) for m in BIRTH.finditer(text)]
+    found += [("address", m.start(), m.end()) for m in ADDRESS.finditer(text)]
     found += [("iban", m.start(), m.end()) for m in IBAN.finditer(text)]
     found += _numbers(text)
     if names := [m.span(1) for m in NAME.finditer(text)]:
@@ -334,21 +439,50 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         found += [("name", *x) for x in _mentions(text, names)]
     rank = {t: i for i, t in enumerate(TYPES)}
     kept: list[tuple[str, int, int]] = []
+    taken = bytearray(len(text))
     for e in sorted(set(found), key=lambda e: (rank[e[0]], e[1] - e[2], e[1])):
-        if e[1] < e[2] and all(e[2] <= k[1] or k[2] <= e[1] for k in kept):
+        if e[1] < e[2] and taken.find(1, e[1], e[2]) < 0:
+            taken[e[1] : e[2]] = b"\1" * (e[2] - e[1])
             kept.append(e)
     return sorted(kept, key=lambda e: e[1])
 
 
+def _is_ip6(text: str) -> bool:
+    """An address with a group of three digits or four groups; shorter ones could be code."""
+    groups = [g for g in text.split(":") if g]
+    try:
+        return (len(groups) > 3 or any(len(g) > 2 for g in groups)) and bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def rewrite(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
+    """(text with surrogates, entities found); see the module for the collision check."""
     found = detect(text)
     out, at = [], 0
+    owner: dict[tuple[str, str], str] = {}  # of each surrogate, and of each entity that is no name
+    for kind, a, b in found:
+        if kind != "name":
+            same = canonical(kind, text[a:b])
+            owner[kind, same] = same
     for kind, a, b in found:
-        out += (text[at:a], surrogate(kind, text[a:b], key))
+        same, fresh = canonical(kind, text[a:b]), surrogate(kind, text[a:b], key)
+        while owner.setdefault((kind, canonical(kind, fresh)), same) != same:
+            fresh = surrogate(kind, fresh, key)
+        out += (text[at:a], fresh)
         at = b
     return "".join([*out, text[at:]]) if found else text, found
 
 
+def secret_key(spark) -> bytes:
+    """The key that the session names in ``spark.lorekeep.privacy.key``. Without one the
+    key in this file is used, which hides nothing from a reader of this file."""
+    named = spark.conf.get("spark.lorekeep.privacy.key", None)
+    if not named:
+        warnings.warn("spark.lorekeep.privacy.key is not set: surrogates use the published demonstration key", stacklevel=3)
+    return named.encode() if named else KEY
+
+
 def _rewritten(key: bytes):
     kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -365,14 +499,15 @@ def _rewritten(key: bytes):
     return run
 
 
-def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with entities replaced in ``text`` and the array ``__entities`` of
+def surrogates(docs: DataFrame, text: str = "text", key: bytes | None = None, entities: str = "__entities") -> DataFrame:
+    """``docs`` with entities replaced in ``text`` and the array ``entities`` of
     struct<type, start, end>, character positions in the original text."""
+    key = key or secret_key(docs.sparkSession)
     ship(docs.sparkSession)
     named = [f"__{i}" if c != text else "__text" for i, c in enumerate(docs.columns)]
     inner = docs.toDF(*named)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema) + ", `__entities` array<struct<type:string,start:bigint,end:bigint>>"
-    return inner.mapInArrow(_rewritten(key), schema).toDF(*docs.columns, "__entities")
+    return inner.mapInArrow(_rewritten(key), schema).toDF(*docs.columns, entities)
 
 
 def _pairs(key: bytes):
@@ -385,8 +520,9 @@ def _pairs(key: bytes):
     return run
 
 
-def collisions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """Entities of one type that share a surrogate, or have several: none."""
+    key = key or secret_key(docs.sparkSession)
     ship(docs.sparkSession)
     pairs = docs.select(text).mapInArrow(_pairs(key), "type string, entity string, surrogate string").distinct()
     shared = pairs.groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", F.col("surrogate").alias("value"), "n")

@@ -119,3 +119,66 @@ def test_no_name_is_its_own_surrogate(name):
 def test_unspaced_mentions():
     out, found = privacy.rewrite("Dr. 王小明 said so. 王小明说好.")
     assert len(found) == 2 and "王小明" not in out and out.endswith("说好.")
+
+
+def test_account_numbers_keep_spaces_and_valid_check_digits():
+    a, b = (privacy.surrogate("iban", x) for x in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"))
+    assert a == b.replace(" ", "") != "DE89370400440532013000" and [len(x) for x in b.split(" ")] == [4, 4, 4, 4, 4, 2]
+    numbers = "".join(str(int(c, 36)) for c in a[4:] + a[:4])
+    assert int(numbers) % 97 == 1
+    wrong = privacy.surrogate("iban", "DE88370400440532013000")
+    assert int("".join(str(int(c, 36)) for c in wrong[4:] + wrong[:4])) % 97 != 1
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "entity"),
+    [
+        ("x" * 3000 + ".ann@mail.org!", "email", "x" * 3000 + ".ann@mail.org"),
+        ("to müller.ön@web.de.", "email", "müller.ön@web.de"),
+        ("password: p@ssw0rd! now", "secret", "p@ssw0rd!"),
+        ("pwd=abc123", "secret", "abc123"),
+        ('"password": "correcthorse"', "secret", "correcthorse"),
+        ("at 2001:db8::8a2e:370:7334, up", "ip", "2001:db8::8a2e:370:7334"),
+        ("born on 1984-03-12 in", "birth", "1984-03-12"),
+        ("geboren am 12.03.1984 in", "birth", "12.03.1984"),
+        ("lives at 221 Baker Street now", "address", "221 Baker Street"),
+        ("wohnt Lindenstraße 12a, ja", "address", "Lindenstraße 12a"),
+        ("habite 12 rue de Rivoli ici", "address", "12 rue de Rivoli"),
+        ("vive Calle de Alcalá 45 hoy", "address", "Calle de Alcalá 45"),
+        ("My name is Maria Lopez.", "name", "Maria Lopez"),
+    ],
+)
+def test_more_kinds(text, kind, entity):
+    out, found = privacy.rewrite(text)
+    assert [(k, text[a:b]) for k, a, b in found] == [(kind, entity)]
+    assert entity not in out and len(out) == len(text) or kind == "ip"
+    again = privacy.detect(out)
+    assert [k for k, _, _ in again] == [kind], out
+    assert len({privacy.surrogate(kind, x) for x in (entity, privacy.surrogate(kind, entity))}) == 2
+
+
+def test_prose_is_left_alone():
+    text = "The secret: nobody knows. A token: gesture; 10:30:45, a::b, 12 great streets, Platz 1, on 2024-01-02, std::vector and @media."
+    assert privacy.rewrite(text) == (text, [])
+
+
+def test_birth_dates_are_permuted():
+    days = [f"{1950 + i % 60}-{1 + i % 12:02d}-{1 + i % 28:02d}" for i in range(500)]
+    fresh = [privacy.surrogate("birth", d) for d in days]
+    assert len(set(fresh)) == len(set(days)) and all(f != d for f, d in zip(fresh, days))
+
+
+def test_many_entities_take_linear_time():
+    text = " ".join(f"user{i}@mail{i}.org" for i in range(20_000))
+    out, found = privacy.rewrite(text)
+    assert len(found) == 20_000 and len(set(out.split())) == 20_000
+
+
+def test_the_key_comes_from_the_session(spark):
+    docs = documents(spark, [(1, "ann.b@mail.org")])
+    plain = privacy.surrogates(docs).first()["text"]
+    spark.conf.set("spark.lorekeep.privacy.key", "another")
+    try:
+        assert privacy.surrogates(docs).first()["text"] == privacy.surrogate("email", "ann.b@mail.org", b"another") != plain
+    finally:
+        spark.conf.unset("spark.lorekeep.privacy.key")
