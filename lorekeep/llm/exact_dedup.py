@@ -13,8 +13,9 @@ shuffle.
 
 Defined cases: null text counts as empty, so all null and empty texts are one
 group; of equal texts the smallest ``doc_id`` stays (null sorts last); of rows
-repeated with the same ``doc_id`` exactly one is kept; an empty table gives an
-empty result; other columns are ignored.
+repeated with the same ``doc_id`` exactly one is kept; very long texts are hashed
+whole; an empty table gives an empty result; other columns are ignored by
+``exact_dedup`` and kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,10 +71,14 @@ def frequent(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
     return (
         digests.join(F.broadcast(candidates), "digest", "left_semi")
         .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.col("key").isNull().alias("n"), "key", "row")).alias("winner"))
+        .agg(F.count(F.lit(1)).alias("group_size"), _winner().alias("winner"))
     )
 
 
+def _winner():
+    return F.min(F.struct(F.col("key").isNull().alias("n"), "key", "row"))
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = COUNTERS) -> DataFrame:
     """One row per document: (key, keep_id, group_size, kept, text_sha256)."""
     digests = materialise(
@@ -83,9 +88,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int
     hot = materialise(frequent(digests, k), "frequent-digests")
     on_map_side = digests.join(F.broadcast(hot), "digest").select("key", "digest", "row", "group_size", "winner")
     w = Window.partitionBy("digest")
-    shuffled = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").select(
-        "key", "digest", "row", F.count(F.lit(1)).over(w).alias("group_size"), F.min(F.struct(F.col("key").isNull().alias("n"), "key", "row")).over(w).alias("winner")
-    )
+    shuffled = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").select("key", "digest", "row", F.count(F.lit(1)).over(w).alias("group_size"), _winner().over(w).alias("winner"))
     return on_map_side.unionByName(shuffled).select(
         F.col("key").alias(key),
         F.col("winner.key").alias("keep_id"),
@@ -96,11 +99,19 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts.
-
-    Rows repeated with the same key and text collapse before the shuffle; then
-    the decisions are joined on key and digest, so no group meets in one task."""
-    decisions = exact_dedup(docs, text, key, k).where("kept").select(F.col(key).alias("__key"), F.unhex("text_sha256").alias("__digest"))
-    rows = docs.withColumns({"__key": F.col(key), "__digest": F.unhex(F.sha2(normalised(F.col(text)), 256))})
-    once = rows.dropDuplicates(["__key", "__digest"])
-    return once.alias("a").join(decisions.alias("b"), F.col("a.__key").eqNullSafe(F.col("b.__key")) & (F.col("a.__digest") == F.col("b.__digest")), "left_semi").drop("__key", "__digest")
+    """The rows of ``docs`` that stay, one of each group of equal texts: that of the
+    least key (nulls last), then of the least row number in a written copy.
+
+    Copies of frequent texts go on the map side, by the broadcast winners. Of the
+    rest only the rows' numbers meet by digest; whole rows move once at most,
+    for the join with the numbers of those that go."""
+    numbered = materialise(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("key"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")),
+        "numbered",
+    )
+    digests = numbered.select("key", "digest", "row")
+    hot = F.broadcast(materialise(frequent(digests, k), "frequent-digests").select("digest", F.col("winner.row").alias("first")))
+    cold = digests.join(hot, "digest", "left_anti").select("row", _winner().over(Window.partitionBy("digest")).alias("winner"))
+    gone = materialise(cold.where("row <> winner.row").select("row"), "gone")
+    stay = numbered.join(hot, "digest", "left").where("first is null or row = first")
+    return stay.join(gone, "row", "left_anti").select("doc.*")

@@ -16,8 +16,9 @@ model is ``buckets`` doubles whatever the corpus size.
 
 Defined cases: null or empty text has no words, fails the base rules and is
 dropped; with no trusted n-grams the ratio is 0 for all and only the base rules
-decide; repeated rows are scored alike and counted each; a null ``doc_id`` is
-never trusted; other columns are ignored.
+decide; repeated rows are scored alike and counted each; very long texts are one
+row's arrays; a score at the threshold is kept; a null ``doc_id`` is never trusted;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,12 +99,13 @@ def base_statistics(text: Column) -> Column:
 
 def fit_ratio(grams: DataFrame, labels: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
     """One row: ``weights array<double>``, log target share over log raw share of
-    every bucket in ``grams(key, __grams)`` (add-one smoothed; all 0 without a trusted n-gram)."""
-    trusted = labels.where(F.col("quality") == 1).select(F.col(key).alias("__k")).where("__k is not null").distinct().withColumn("__t", F.lit(1))
+    every bucket in ``grams(key, grams)`` (add-one smoothed; all 0 without a trusted n-gram)."""
+    trusted = labels.where(F.col("quality") == 1).select(F.col(key).alias("key")).where("key is not null").distinct().withColumn("__t", F.lit(1))
     counts = (
-        grams.select(F.col(key).alias("__k"), "__grams")
-        .join(trusted, "__k", "left")
-        .select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode("__grams").alias("b"))
+        # Rows without a key are dealt by a hash of their n-grams, not to one task.
+        grams.select(F.col(key).alias("__k"), F.when(F.col(key).isNull(), F.xxhash64("grams")).alias("__salt"), "grams")
+        .join(trusted.withColumn("__none", F.lit(None).cast("long")), F.col("__k").eqNullSafe(F.col("key")) & F.col("__salt").eqNullSafe(F.col("__none")), "left")
+        .select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode("grams").alias("b"))
         .groupBy("b")
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
     )
@@ -119,24 +121,25 @@ def fit_ratio(grams: DataFrame, labels: DataFrame, key: str = "doc_id", buckets:
     )
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD, rules: str = "__rules") -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with the struct
-    ``__rules``: base statistics, base_failed, llr, kept."""
+    ``rules``: base statistics, base_failed, llr, kept."""
     columns = docs.columns if keep is None else keep
     t = F.col(text)
-    featured = materialise(docs.select(*[F.col(f"`{c}`") for c in columns], base_statistics(t).alias("__base"), gram_buckets(t, buckets).alias("__grams")), "quality-features")
-    scored = featured.withColumn("__w", fit_ratio(featured, labels, key, buckets).scalar()).withColumn(
-        "__llr", let(F.col("__w"), lambda w: F.aggregate("__grams", F.lit(0.0), lambda acc, b: acc + F.get(w, b)))
+    doc = F.struct(*[F.col(f"`{c}`") for c in columns])
+    featured = materialise(docs.select(F.col(key).alias("key"), doc.alias("doc"), base_statistics(t).alias("base"), gram_buckets(t, buckets).alias("grams")), "quality-features")
+    scored = featured.withColumn("w", fit_ratio(featured, labels.withColumnRenamed(key, "key"), "key", buckets).scalar()).withColumn(
+        "llr", let(F.col("w"), lambda w: F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(w, b)))
     )
-    b = F.col("__base")
+    b = F.col("base")
     failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > MAX_REPEAT_PERCENT * b["n_words"])
-    llr = F.round(F.col("__llr") / F.greatest(b["n_words"], F.lit(1)), 6)
+    llr = F.round(F.col("llr") / F.greatest(b["n_words"], F.lit(1)), 6)
     return scored.select(
-        *[F.col(f"`{c}`") for c in columns],
+        "doc.*",
         F.struct(
             *[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
             failed.alias("base_failed"),
             llr.alias("llr"),
             (~failed & (llr >= threshold)).alias("kept"),
-        ).alias("__rules"),
+        ).alias(rules),
     )

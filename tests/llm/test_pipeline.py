@@ -46,11 +46,16 @@ def test_pipeline_against_brute_force(spark):
 def test_stages_on_edge_rows(spark):
     long = " ".join(f"word{i}" for i in range(80))
     rows = [(1, None), (2, ""), (3, long), (3, long), (4, long), (None, long + " more"), (5, "x " * 400)]
-    for table in (documents(spark, rows), documents(spark, [])):
+    clashing = documents(spark, rows, extra=True).selectExpr("*", "1 AS __rules", "2 AS __entities", "3 AS `___rules`", "4 AS `odd.name`")
+    for table in (documents(spark, rows), documents(spark, []), clashing):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, table, SF)
             assert out.columns == table.columns
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+    stay = clashing
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        stay = stage(spark, stay, SF)
+    assert {(r["__rules"], r["__entities"], r["key"], r["odd.name"]) for r in stay.collect()} == {(1, 2, "x", 4)}
     kept = corpus_pipeline.drop_exact_copies(spark, documents(spark, rows), SF).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (False, 5), (True, 0)]
