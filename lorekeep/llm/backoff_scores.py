@@ -181,8 +181,9 @@ def ngram_scores(texts: DataFrame, heavy, logs: DataFrame, total: float, least:
     dealt = texts.mapInArrow(_deal(heavy, parts), "part int, texts array<bigint>, owner array<int>, v array<bigint>, w array<bigint>")
     rows = dealt.repartition(parts, "part").select("part", "texts", F.inline(F.arrays_zip("owner", "v", "w"))).select("part", F.get("texts", "owner").alias("th"), "v", "w")
     keyed = rows.withColumn("key", F.when(F.col("w") < 0, F.col("w")).when(F.col("v") < 0, F.col("v")).otherwise(F.shiftleft("v", 31) + F.col("w")))
-    counted = keyed.withColumn("pair", F.count(F.lit(1)).over(Window.partitionBy("part", "key", "v", "w")))
-    counted = counted.withColumn("alone", F.sum(F.when(F.col("w") == F.col("key"), 1)).over(Window.partitionBy("part", "key")))
+    # One sort serves both windows; the key comes first because Spark sorts by the first column's bits.
+    counted = keyed.sortWithinPartitions("key", "part", "v", "w").withColumn("alone", F.sum(F.when(F.col("w") == F.col("key"), 1)).over(Window.partitionBy("key", "part")))
+    counted = counted.withColumn("pair", F.count(F.lit(1)).over(Window.partitionBy("key", "part", "v", "w")))
     known = logs.scalar()
 
     def log_count(word: str) -> Column:
