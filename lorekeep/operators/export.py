@@ -75,9 +75,13 @@ def context_error(message: Column) -> Column:
     return F.struct((about & ~other & (said | F.coalesce(prompt > most, F.lit(False)))).alias("overflow"), prompt.alias("prompt"), most.alias("most"))
 
 
-def retry_delay(attempt: Column, header_ms: Column, jitter: Column, base: int = 500) -> Column:
-    """Milliseconds before a retry: the server's wish, else doubling with jitter."""
-    return F.coalesce(header_ms.cast("double"), base * F.pow(F.lit(2.0), attempt - 1) * (1 + jitter))
+def retry_delay(attempt: Column, header_ms: Column, jitter: Column, base: int = 500, most: int = 8000) -> Column:
+    """Milliseconds before a retry, ``most`` at most: the server's wish if it is a time
+    from now on, else doubling from ``base``, of which a share of up to a quarter goes by ``jitter`` (0 to 1)."""
+    wish = header_ms.cast("double")
+    doubled = F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.greatest(F.lit(1), F.floor(attempt)) - 1))
+    random = F.least(F.lit(1.0), F.greatest(F.lit(0.0), jitter.cast("double")))
+    return F.when(wish >= 0, F.least(F.round(wish), F.lit(float(most)))).otherwise(F.round(doubled * (0.75 + 0.25 * random)))
 
 
 def entries_hash(entries: Column) -> Column:
