@@ -1,19 +1,24 @@
 """Lexical retrieval: BM25, weighted field scores, Jaccard search.
 
-Queries are a table too, so many questions run in one job. A query meets only
-documents that share a token with it: an equi-join on tokens, never a cross join. Term
-tables are aggregated before they are shuffled; ranking keeps the best rows
-a query by window group limits.
+Queries are a table too, so many questions run in one job. Their terms go to
+the documents (see ``term_search``), which are scored where they are read; a
+task hands on only what can be among a query's best. Corpus statistics are
+aggregated before they are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators.term_search import candidates
+from lorekeep.storage import materialise
 
 K1, B = 1.2, 0.75
 PAGE_LEAD, PAGE_LONG, CHUNK_LONG, MAX_PAGE_SCORE = 500, 1500, 1200, 6.45
@@ -44,19 +49,27 @@ def bm25(
 ) -> DataFrame:
     """The ``limit`` best documents of each query: (query, key, score, rank).
     Distinct query terms count once; ties go to the smaller key."""
-    asked = queries.select(F.col(query_key), F.explode(F.array_distinct(tokenize(F.col(query_text)))).alias("term"))
-    stats = corpus_statistics(docs, text, tokenize)
-    n, average = stats.select("n").scalar(), stats.select(F.when(F.col("avg_length") == 0, 1.0).otherwise(F.col("avg_length"))).scalar()
+    listed = docs.select(F.col(key), tokenize(F.col(text)).alias("__t"))
+    n, average = listed.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("__t")), F.lit(0.0))).first()
     # Only terms that some query asks for are counted, before anything is shuffled.
-    wanted = asked.select("term").distinct()
-    listed = docs.select(key, tokenize(F.col(text)).alias("__t"))
-    terms = listed.select(key, F.size("__t").alias("length"), F.explode("__t").alias("term")).join(wanted, "term", "left_semi")
-    counts = terms.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    weighted = counts.join(df, "term").withColumns({"n": n, "average": average}).select(key, "term", part.alias("part"))
-    scored = asked.join(weighted, "term").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    wanted = queries.select(F.explode(F.array_distinct(tokenize(F.col(query_text)))).alias("term")).distinct()
+    df = listed.select(F.explode(F.array_distinct("__t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    counted = [tuple(r) for r in df.collect()]  # at most one row a query term
+
+    def weigh(terms: list[str]):
+        often = dict(counted)
+        idf = np.array([math.log(1 + (n - often.get(t, 0) + 0.5) / (often.get(t, 0) + 0.5)) for t in terms])
+
+        def weight(code, tf, row, batch):
+            length = batch.column(1).to_numpy()[row]
+            return idf[code] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / (average or 1.0)))
+
+        return weight
+
+    rate = lambda hits, sizes, batch: (hits[0], hits[0])
+    found = candidates(queries, query_key, tokenize(F.col(query_text)), listed, {key: F.col(key), "length": F.size("__t")}, {"score": F.col("__t")}, limit, rate, weigh)
+    scored = found.select(query_key, key, F.round("score", 6).alias("score")).where("score > 0")
     return top_by_group(scored, [query_key], [F.col("score").desc(), F.col(key)], limit)
 
 
@@ -67,10 +80,16 @@ def top_by_group(scored: DataFrame, group: list[str], order: list[Column], limit
 
 def best_jaccard(queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str = "text", text: str = "text", limit: int = 1) -> DataFrame:
     """The documents most similar to each query by token sets: (query, key, jaccard, rank)."""
-    asked = queries.select(F.col(query_key), T.token_set(F.col(query_text)).alias("__q")).select(query_key, F.size("__q").alias("nq"), F.explode("__q").alias("term"))
-    held = docs.select(F.col(key), T.token_set(F.col(text)).alias("__d")).select(key, F.size("__d").alias("nd"), F.explode("__d").alias("term"))
-    both = asked.join(held, "term").groupBy(query_key, key, "nq", "nd").agg(F.count(F.lit(1)).alias("shared"))
-    scored = both.select(query_key, key, F.round(F.col("shared") / (F.col("nq") + F.col("nd") - F.col("shared")), 6).alias("jaccard"))
+    def rate(hits, sizes, batch):
+        nd = batch.column(1).to_numpy()[:, None]
+        j = hits[0] / np.maximum(sizes[None, :] + nd - hits[0], 1)
+        return j, j
+
+    asked = T.token_set(F.col(query_text))
+    held = docs.select(F.col(key), T.token_set(F.col(text)).alias("__d"))
+    found = candidates(queries, query_key, asked, held, {key: F.col(key), "nd": F.size("__d")}, {"shared": F.col("__d")}, limit, rate)
+    sized = found.join(queries.select(query_key, F.size(asked).alias("nq")), query_key)
+    scored = sized.select(query_key, key, F.round(F.col("shared") / (F.col("nq") + F.col("nd") - F.col("shared")), 6).alias("jaccard"))
     return top_by_group(scored, [query_key], [F.col("jaccard").desc(), F.col(key)], limit)
 
 
@@ -92,36 +111,37 @@ def score_fields(
 
     ``fields`` maps names to (text, weight); the score is the weighted coverage
     of each field, plus exact hits and the phrase bonus over ``full_text``, times the penalty."""
-    asked = queries.select(F.col(query_key), T.token_set(F.col(query_text)).alias("__q"))
-    terms = asked.select(query_key, F.size("__q").alias("nq"), F.posexplode("__q").alias("pos", "term"))
-    # One row per distinct token and field, the full text being a field too.
-    names = [*fields, "hits"]
-    sets = [c for c, _ in fields.values()] + [full_text]
-    mark = lambda i: lambda w: F.struct(w.alias("term"), F.lit(i).alias("field"))
-    marked = F.flatten(F.array(*[F.transform(T.token_set(c), mark(i)) for i, c in enumerate(sets)]))
-    rows = docs.select(*key, F.explode(marked).alias("m")).select(*key, "m.term", "m.field")
-    in_full = F.col("field") == len(fields)
-    hits = (
-        terms.join(rows, "term")
-        .groupBy(query_key, "nq", *key)
-        .agg(
-            *[F.count_if(F.col("field") == i).alias(n) for i, n in enumerate(names)],
-            F.transform(F.sort_array(F.collect_list(F.when(in_full, F.struct("pos", "term")))), lambda x: x["term"]).alias("matched"),
-        )
-    )
+    asked = T.token_set(F.col(query_text))
+    names, weights = [*fields, "hits"], [w for _, w in fields.values()]
+
     # The phrase bonus needs the text. It is worked out only for pairs that could
     # still be among the best: those whose score with a full bonus reaches
     # the least of their query's ``limit`` best scores without one.
-    base = sum((F.col(n) / F.col("nq") * w for n, (_, w) in fields.items()), F.lit(0.0)) + F.least("hits", "nq") / F.col("nq") * exact
-    least = F.when(F.size("matched") >= 2, F.least(F.lit(0.75), F.size("matched") / F.col("nq")) * phrase).otherwise(0.0)
-    most = F.when(F.size("matched") >= 2, F.lit(phrase)).otherwise(0.0)
-    sized = hits.join(docs.select(*key, penalty.alias("__penalty")), key).withColumn("__base", base)
-    sized = sized.withColumns({"__low": F.round((F.col("__base") + least) * F.col("__penalty"), 6), "__high": F.round((F.col("__base") + most) * F.col("__penalty"), 6)})
+    def rate(hits, sizes, batch):
+        nq = np.maximum(sizes, 1)[None, :]
+        base = sum(h / nq * w for h, w in zip(hits, weights)) + np.minimum(hits[-1], nq) / nq * exact
+        two = hits[-1] >= 2
+        penalised = batch.column(len(key)).to_numpy()[:, None]
+        return (base + np.where(two, np.minimum(0.75, hits[-1] / nq) * phrase, 0)) * penalised, (base + np.where(two, phrase, 0)) * penalised
+
+    # The full text is the fields, one below another, so its terms are theirs.
+    sets = {n: T.token_set(c) for n, (c, _) in fields.items()}
+    found = candidates(queries, query_key, asked, docs, {**{k: F.col(k) for k in key}, "penalty": penalty.cast("double")}, sets, limit, rate, union="hits")
+    sized = found.join(queries.select(query_key, asked.alias("__q"), F.size(asked).alias("nq")), query_key)
+    base = sum((F.col(n) / F.col("nq") * w for n, w in zip(names, weights)), F.lit(0.0)) + F.least("hits", F.col("nq").cast("double")) / F.col("nq") * exact
+    least = F.when(F.col("hits") >= 2, F.least(F.lit(0.75), F.col("hits") / F.col("nq")) * phrase).otherwise(0.0)
+    most = F.when(F.col("hits") >= 2, F.lit(phrase)).otherwise(0.0)
+    sized = sized.withColumn("__base", base).withColumns({"__low": F.round((F.col("__base") + least) * F.col("penalty"), 6), "__high": F.round((F.col("__base") + most) * F.col("penalty"), 6)})
+    # Written once: the bars are taken from it before the rivals are.
+    sized = materialise(sized, "candidates")
     bars = top_by_group(sized.select(query_key, "__low", *key), [query_key], [F.col("__low").desc(), *map(F.col, key)], limit).groupBy(query_key).agg(F.min("__low").alias("__bar"))
     rivals = sized.join(bars, query_key).where(F.col("__high") >= F.col("__bar"))
     texts = docs.select(*key, full_text.alias("__full"))
-    raw = F.col("__base") + T.phrase_bonus(F.col("matched"), F.col("nq"), F.col("__full")) * phrase
-    return rivals.join(texts, key).select(query_key, *key, F.round(raw * F.col("__penalty"), 6).alias("score")).where("score > 0")
+    joined = rivals.join(texts, key)
+    # Matched tokens in the query's order, worked out once a pair.
+    one = F.array(F.struct(F.array_intersect("__q", T.token_set(F.col("__full"))).alias("m"), F.col("__full").alias("t")))
+    raw = F.col("__base") + F.transform(one, lambda p: T.phrase_bonus(p["m"], F.col("nq"), p["t"]))[0] * phrase
+    return joined.select(query_key, *key, F.round(raw * F.col("penalty"), 6).alias("score")).where("score > 0")
 
 
 def lexical_pages(queries: DataFrame, pages: DataFrame, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
