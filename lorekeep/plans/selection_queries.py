@@ -31,7 +31,7 @@ def entity_context(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q", "page", "position", "round", "cost", "kept")
 
 
-@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS k, list((l_quantity * 3)::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey) AS c FROM lineitem GROUP BY l_orderkey),
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS k, list((l_quantity * 3)::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS c FROM lineitem GROUP BY l_orderkey),
     p AS (SELECT k, c, 0::BIGINT AS low, len(c)::BIGINT AS high FROM i UNION ALL
       SELECT k, c, CASE WHEN h = 0 THEN low ELSE (low + high + 1) // 2 END, CASE WHEN h = 0 THEN (low + high + 1) // 2 ELSE high END
       FROM p, (VALUES (0), (1)) t(h) WHERE high - low > 1 AND list_sum(c[low + 1 : high]) + 5 > 150)
