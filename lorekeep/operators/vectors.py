@@ -19,6 +19,8 @@ from lorekeep.storage import ship
 
 #: Bytes of query vectors that are broadcast at once; more go in several rounds.
 BROADCAST_BYTES = 64 << 20
+#: Queries that a block of rows is compared with at once.
+SLICE = 256
 PIVOTS = 32
 
 
@@ -45,53 +47,71 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _rounds(queries: DataFrame, id_: str, vector: str, dims: int):
+    """Broadcasts of (ids, unit vectors), each of at most ``BROADCAST_BYTES``; the
+    driver holds the rows of one round at a time."""
+    sc = queries.sparkSession.sparkContext
+    per_round = max(1, BROADCAST_BYTES // (8 * dims))
+    ids, parts = [], []
+
+    def held():
+        return sc.broadcast((np.array(ids), unit(np.array(parts, np.float64).reshape(len(ids), dims))))
+
+    for r in queries.toLocalIterator():
+        ids.append(r[0])
+        parts.append(r[1])
+        if len(ids) == per_round:
+            yield held()
+            ids, parts = [], []
+    if ids:
+        yield held()
+
+
+def _against(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, group: str, scorer, columns: str) -> DataFrame:
+    """``vectors(id, vector, group)`` scored in Arrow blocks against each round of the queries."""
+    spark = vectors.sparkSession
+    ship(spark)
+    good = queries.select(id_, vector).where(usable(F.col(vector)))
+    dims = good.agg(F.max(F.size(vector))).first()[0] or 1
+    rows = good.where(F.size(vector) == dims).orderBy(id_)
+    source = vectors.where(usable(F.col(vector), dims)).select(F.col(id_).alias("__id"), F.col(vector).alias("__vector"), F.col(group).alias("__group"))
+    kind, of_group = (vectors.schema[c].dataType.simpleString() for c in (id_, group))
+    schema = columns.format(id=kind, group=of_group)
+    out = None
+    for held in _rounds(rows, id_, vector, dims):
+        found = source.mapInArrow(scorer(held), schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _slices(ids: np.ndarray, q: np.ndarray, x: np.ndarray):
+    """Scores of a block's rows against ``SLICE`` queries at a time, which bounds a task's memory."""
+    for i in range(0, len(ids), SLICE):
+        yield ids[i : i + SLICE], x @ q[i : i + SLICE].T
+
+
 def _best(held, limit: int | None):
     def run(batches):
-        ids, q = held.value
         for b in batches:
             if not b.num_rows:
                 continue
-            scores = unit(_matrix(b.column(1))) @ q.T
             keep = min(limit, b.num_rows) if limit else b.num_rows
-            for i in range(0, len(ids), 256):
-                block = scores[:, i : i + 256]
+            for ids, block in _slices(*held.value, unit(_matrix(b.column(1)))):
                 if keep < b.num_rows:
                     kth = np.partition(block, b.num_rows - keep, axis=0)[b.num_rows - keep] - 1e-6
                     at, col = np.nonzero(block >= kth)  # ties stay in
                 else:
                     at, col = np.nonzero(np.ones_like(block, bool))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + col]), b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(np.round(block[at, col], 6))], ["query", "id", "group", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[col]), b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(np.round(block[at, col], 6))], ["query", "id", "group", "cosine"])
 
     return run
 
 
 def similarities(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, group: str | None = None, limit: int | None = None) -> DataFrame:
     """(query, id, group, cosine), for each query at least its ``limit`` best
-    rows of every block, or all rows. ``queries(id, vector)`` go in rounds of a bounded size."""
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = queries.select(id_, vector).where(usable(F.col(vector))).orderBy(id_)
-    size = rows.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    dims = size[1] or 1
-    per_round = max(1, BROADCAST_BYTES // (8 * dims))
-    ids, parts, out = [], [], None
-    source = vectors.where(usable(F.col(vector), dims)).select(id_, vector, F.col(group or id_).alias("__group"))
-    kinds = (vectors.schema[id_].dataType.simpleString(), vectors.schema[group or id_].dataType.simpleString())
-    schema = f"query {kinds[0]}, id {kinds[0]}, group {kinds[1]}, cosine double"
-
-    def round_() -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array(ids), unit(np.array(parts, np.float64).reshape(len(ids), -1))))
-        return source.mapInArrow(_best(held, limit), schema)
-
-    for r in rows.toLocalIterator():
-        ids.append(r[0])
-        parts.append(r[1])
-        if len(ids) == per_round:
-            out = round_() if out is None else out.unionByName(round_())
-            ids, parts = [], []
-    if ids or out is None:
-        out = round_() if out is None else out.unionByName(round_())
-    return out
+    rows of every block, or all rows. ``queries(id, vector)`` go in rounds of a
+    bounded size; queries of another size than the longest have no rows."""
+    return _against(queries, vectors, id_, vector, group or id_, lambda held: _best(held, limit), "query {id}, id {id}, group {group}, cosine double")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, limit: int, exclude_self: bool = True) -> DataFrame:
@@ -105,29 +125,27 @@ def top_k(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, limit:
 
 def _pooled(held):
     def run(batches):
-        ids, q = held.value
         for b in batches:
             if not b.num_rows:
                 continue
-            scores = np.maximum(unit(_matrix(b.column(1))) @ q.T, 0)
-            groups, at = np.unique(b.column(2).to_numpy(zero_copy_only=False), return_inverse=True)
-            best = np.zeros((len(groups), len(ids)))
-            np.maximum.at(best, at, scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(groups))), pa.array(np.repeat(groups, len(ids))), pa.array(np.round(best.reshape(-1), 6))], ["query", "group", "cosine"])
+            groups = b.column(2).dictionary_encode(null_encoding="encode")
+            at = groups.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            n = len(groups.dictionary)
+            for ids, block in _slices(*held.value, unit(_matrix(b.column(1)))[order]):
+                best = np.maximum(np.maximum.reduceat(block, starts, axis=0), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(ids, n)), groups.dictionary.take(pa.array(np.repeat(np.arange(n), len(ids)))), pa.array(np.round(best.reshape(-1), 6))], ["query", "group", "cosine"]
+                )
 
     return run
 
 
 def max_pooled(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, group: str) -> DataFrame:
     """(query, group, cosine): the best cosine of each group, floored at 0;
-    blocks hand on one row per query and group."""
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = queries.select(id_, vector).where(usable(F.col(vector))).orderBy(id_).toArrow()
-    ids = rows[id_].to_numpy()
-    held = spark.sparkContext.broadcast((ids, unit(_matrix(rows[vector].combine_chunks()))))
-    kinds = (vectors.schema[id_].dataType.simpleString(), vectors.schema[group].dataType.simpleString())
-    found = vectors.where(usable(F.col(vector))).select(id_, vector, group).mapInArrow(_pooled(held), f"query {kinds[0]}, group {kinds[1]}, cosine double")
+    blocks hand on one row per query and group. Queries go in rounds of a bounded size."""
+    found = _against(queries, vectors, id_, vector, group, _pooled, "query {id}, group {group}, cosine double")
     return found.groupBy("query", "group").agg(F.max("cosine").alias("cosine"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Order of the phases; the terminal ones are from ``TERMINAL`` on.
 EVENT_PHASES = {"signup": 0, "view": 1, "click": 2, "purchase": 3, "error": 4}
 TERMINAL = 3
+#: State of a key whose last event had no phase, or no time: below every other.
+NO_PHASE, NO_TIME = -(1 << 31), -(1 << 63)
 
 
 def phase_rank(kind: Column, phases: dict[str, int]) -> Column:
@@ -67,25 +69,35 @@ def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lifecycle_stream(events: DataFrame, phases: dict[str, int] = EVENT_PHASES, terminal: int = TERMINAL) -> DataFrame:
+def lifecycle_stream(events: DataFrame, phases: dict[str, int] = EVENT_PHASES, terminal: int = TERMINAL, forget_ms: int | None = None) -> DataFrame:
     """Violations of a stream of (user_id, event_id, ts, event_type), with each
     key's phase, time and whether it has ended as state. Events of one micro-batch
-    are taken in order of ``event_id``."""
+    are taken in order of ``event_id``. Results are those of ``violations``: an event of
+    another kind has no phase, one without a time is not compared. With ``forget_ms``
+    the state of a key is dropped once it has had no event for that long."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rank, last, done = state.get if state.exists else (-1, -1, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rank, last, done = state.get if state.exists else (NO_PHASE, NO_TIME, False)
         rows = pd.concat(list(batches)).sort_values("event_id")
         out = []
         for e in rows.itertuples():
-            r, t = phases.get(e.event_type, -1), int(e.ts.value // 1000)
-            problem = "after terminal" if done else "out of order" if r < rank else "time decreases" if t < last else None
+            r = phases.get(e.event_type)
+            t = None if pd.isna(e.ts) else int(pd.Timestamp(e.ts).as_unit("us").value)
+            problem = "after terminal" if done else "out of order" if r is not None and r < rank else "time decreases" if t is not None and t < last else None
             if problem:
                 out.append((key[0], e.event_id, problem))
-            rank, last, done = r, t, done or r >= terminal
+            done = done or (r is not None and r >= terminal)
+            rank, last = NO_PHASE if r is None else r, NO_TIME if t is None else t
         state.update((rank, last, done))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "problem"]).astype({"user_id": "int64", "event_id": "int64"})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, problem string", "rank int, last long, done boolean", "append", "NoTimeout")
+    timeout = "ProcessingTimeTimeout" if forget_ms else "NoTimeout"
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, problem string", "rank int, last long, done boolean", "append", timeout)
 
 
 def ingest_changed(stream: DataFrame, target: str, checkpoint: str, keys: list[str]):

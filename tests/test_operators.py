@@ -119,6 +119,22 @@ def test_similarity_links_are_exact(spark):
     assert all(rows[i] == (int(near[i].sum()), min([i, *np.flatnonzero(near[i])])) for i in range(150))
 
 
+def test_pooled_scores_in_rounds(spark, monkeypatch):
+    """Rounds of few queries and slices of fewer give what one round gives; unusable and other-sized vectors score nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist(), f"g{i % 3}" if i % 7 else None) for i in range(1500)] + [(1500, [1.0, 2.0], "g0"), (1505, None, "g1"), (1510, [], "g2")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, g string").repartition(4)
+    q = df.where("id % 5 = 0")
+    x = vectors.unit(np.array([v for _, v, _ in rows[:1500]]))
+    scores, of = x @ x.T, np.array([str(g) for _, _, g in rows[:1500]])
+    want = {(i, None if g == "None" else g): max(0.0, scores[i][of == g].max()) for i in range(0, 1500, 5) for g in set(of)}
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 8 * 4 * 280)  # rounds of 280 and 20, the first in two slices
+    got = {(r.query, r.group): r.cosine for r in vectors.max_pooled(q, df, "id", "v", "g").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert vectors.similarities(q, df, "id", "v").count() == 300 * 1500
+    assert vectors.max_pooled(q.where("false"), df, "id", "v", "g").count() == 0
+
+
 def test_cosine_and_floor(spark):
     assert column(spark, lambda a, b: vectors.cosine(a, b), [1.0, 0.0], [0.0, 0.0]) == 0
     scored = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.5), (1, "c", 0.1), (1, "d", None), (2, "e", 0.3), (2, "f", 0.3)], "q int, id string, s double")

@@ -72,6 +72,8 @@ def test_service_connector(spark):
 
 
 EVENTS = [(1, 1, "2024-01-01 00:00:00", "signup"), (1, 2, "2024-01-01 00:01:00", "click"), (1, 3, "2024-01-01 00:02:00", "view"), (1, 4, "2024-01-01 00:03:00", "purchase"), (1, 5, "2024-01-01 00:04:00", "error"), (2, 6, "2024-01-01 00:05:00", "view"), (2, 7, "2024-01-01 00:04:00", "view")]
+# Before 1970, of a kind without a phase, and without a time.
+EVENTS += [(3, 8, "1969-01-01 00:00:00", "click"), (3, 9, "1969-01-01 00:01:00", "hover"), (3, 10, None, "view"), (3, 11, "1968-01-01 00:00:00", "purchase"), (3, 12, "1968-01-01 00:00:00", "hover")]
 
 
 def events(spark):
@@ -80,7 +82,7 @@ def events(spark):
 
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
     batch = {(r.event_id, r.problem) for r in L.violations(events(spark), "user_id", "event_id", "ts", "event_type", L.EVENT_PHASES).collect()}
-    assert batch == {(3, "out of order"), (5, "after terminal"), (7, "time decreases")}
+    assert batch == {(3, "out of order"), (5, "after terminal"), (7, "time decreases"), (12, "after terminal")}
     for i in range(2):  # two files, so state crosses micro-batches
         events(spark).where("event_id <= 3" if i == 0 else "event_id > 3").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(events(spark).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
