@@ -32,17 +32,18 @@ def smallest_containing(parents: DataFrame, children: DataFrame, key: str, bucke
     return found.groupBy(key, "child").agg(F.min_by("parent", F.struct("lines", "parent")).alias("parent"))
 
 
-def nearest(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+def nearest(parents: DataFrame, children: DataFrame, key: str, bucket: int = 64) -> DataFrame:
     """(key, child, parent, distance): the parent with the smallest gap of lines to
     a child (0 when they touch or overlap), the least id on ties."""
     marks = children.select(key, "child", "start", "end", F.lit(None).cast(parents.schema["parent"].dataType).alias("parent")).unionByName(
         parents.select(key, F.lit(None).cast(children.schema["child"].dataType).alias("child"), "start", "end", "parent")
     )
     is_parent = F.col("parent").isNotNull()
-    # Reaching furthest among parents that start no later, and starting first among later ones.
+    # Reaching furthest among parents that start no later, and starting first among later ones;
+    # of those that touch or overlap the child, which may be many, a join of buckets finds the least.
     before = Window.partitionBy(key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(key).orderBy("start").rangeBetween(0, Window.unboundedFollowing)
-    low = F.max(F.when(is_parent, F.struct("end", F.col("parent")))).over(before)
+    low = F.min(F.when(is_parent, F.struct((-F.col("end")).alias("back"), "parent"))).over(before)
     high = F.min(F.when(is_parent, F.struct("start", "parent"))).over(after)
     swept = marks.withColumns({"__l": low, "__h": high}).where("child is not null")
     gaps = swept.select(
@@ -51,14 +52,17 @@ def nearest(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
         F.explode(
             F.filter(
                 F.array(
-                    F.struct(F.greatest(F.lit(0), F.col("start") - F.col("__l.end") - 1).cast("long").alias("distance"), F.col("__l.parent").alias("parent")),
+                    F.struct(F.greatest(F.lit(0), F.col("start") + F.col("__l.back") - 1).cast("long").alias("distance"), F.col("__l.parent").alias("parent")),
                     F.struct(F.greatest(F.lit(0), F.col("__h.start") - F.col("end") - 1).cast("long").alias("distance"), F.col("__h.parent").alias("parent")),
                 ),
                 lambda x: x["parent"].isNotNull(),
             )
         ).alias("g"),
     )
-    return gaps.groupBy(key, "child").agg(F.min("g").alias("g")).select(key, "child", "g.parent", "g.distance")
+    x = _bucketed(children.select(key, "child", (F.col("start") - 1).alias("s1"), (F.col("end") + 1).alias("e1")), "s1", "e1", bucket)
+    y = _bucketed(parents.select(key, "parent", F.col("start").alias("s2"), F.col("end").alias("e2")), "s2", "e2", bucket)
+    met = x.join(y, [key, "__b"]).where("s2 <= e1 and s1 <= e2").select(key, "child", F.struct(F.lit(0).cast("long").alias("distance"), "parent").alias("g"))
+    return gaps.unionByName(met).groupBy(key, "child").agg(F.min("g").alias("g")).select(key, "child", "g.parent", "g.distance")
 
 
 def consolidate(bundles: DataFrame, key: str, target: str) -> DataFrame:

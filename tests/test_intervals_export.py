@@ -19,6 +19,7 @@ def test_containment_and_distance(spark):
     gap = lambda c, p: min(max(0, s1 - e2 - 1, s2 - e1 - 1) for _, x, s1, e1 in children if x == c for _, q, s2, e2 in parents if q == p)
     for r in intervals.nearest(a, b, "k").collect():
         assert r.distance == min(gap(r.child, p) for p in range(1, 12)) == gap(r.child, r.parent)
+        assert r.parent == min(p for p in range(1, 12) if gap(r.child, p) == r.distance)
 
 
 def test_export(spark):
