@@ -44,7 +44,7 @@ from lorekeep.storage import materialise, ship
 
 HEAVY, CORE = 1 << 16, 256
 LEAST, BACKOFF = 2, 0.4
-FLUSH = 300_000
+FLUSH = 120_000
 #: Codes below 0 are hashes of words, others ranks among the heavy words; the start mark is first.
 SIGN = np.uint64(1 << 63)
 START = np.int64(-1)
