@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import backoff_scores, exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity
+from lorekeep.llm import backoff_scores, byte_pairs, exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity
 from lorekeep.llm.oracles import ORACLES
 from lorekeep.storage import load
 
@@ -59,6 +59,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_suffix_dedup, op4_quality_classifier, op5_backoff_scores, op6_privacy, op7_near_dedup, op8_packing, op9_sentence_pieces, op10_toxicity)}
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_exact_dedup,
+        op3_suffix_dedup,
+        op4_quality_classifier,
+        op5_backoff_scores,
+        op6_privacy,
+        op7_near_dedup,
+        op8_packing,
+        op9_sentence_pieces,
+        op10_toxicity,
+        op12_byte_pairs,
+    )
+}
 
 __all__ = ["QUERIES", "ORACLES"]
