@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.hashing import mixed, text_bytes
+from lorekeep.llm.hashing import mixed, text_bytes, text_parts
 from lorekeep.llm.packing import ragged
 from lorekeep.storage import ship
 
@@ -243,7 +243,7 @@ class BytePairEncoder:
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of the texts of a string column; a long text comes in several parts."""
         data, offsets = text_bytes(column)
-        for parts in _blocks(data, offsets):
+        for parts in text_parts(data, offsets, BLOCK):
             rows = [r for r, _, _ in parts]
             pieces = [_valid(data[a:b]) for _, a, b in parts]
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
@@ -266,34 +266,6 @@ def _valid(data: np.ndarray) -> np.ndarray:
     return data
 
 
-def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
-    """Lists of (row, first byte, end) with BLOCK bytes at most, if texts can be cut so."""
-    held, size = [], 0
-    for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        while a < b:
-            end = b if b - a <= BLOCK else _cut(data, a, b)
-            if held and size + end - a > BLOCK:
-                yield held
-                held, size = [], 0
-            held.append((r, a, end))
-            size, a = size + end - a, end
-    if held:
-        yield held
-
-
-def _cut(data: np.ndarray, a: int, b: int) -> int:
-    """The last place within a block where ASCII white space follows a visible sign of ASCII,
-    or the first one after it."""
-    at = a
-    while at < b:
-        part = data[at : min(at + BLOCK, b)]
-        found = np.flatnonzero(((part[1:] == 32) | (part[1:] == 10)) & (part[:-1] > 32) & (part[:-1] < 127))
-        if len(found):
-            return at + int(found[-1 if at == a else 0]) + 1
-        at += BLOCK - 1
-    return b
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> BytePairEncoder:
     return BytePairEncoder(path)

@@ -121,6 +121,35 @@ def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def _cut(data: np.ndarray, a: int, b: int, block: int) -> int:
+    """The last place within a block where white space follows a visible sign (both of
+    ASCII), or the first such place after it."""
+    at = a
+    while at < b:
+        part = data[at : min(at + block, b)]
+        found = np.flatnonzero(((part[1:] == 32) | (part[1:] == 10)) & (part[:-1] > 32) & (part[:-1] < 127))
+        if len(found):
+            return at + int(found[-1 if at == a else 0]) + 1
+        at += max(1, block - 1)
+    return b
+
+
+def text_parts(data: np.ndarray, offsets: np.ndarray, block: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (row, first byte, end) of texts, at most ``block`` bytes together. Longer
+    texts are cut before white space, so only an unbroken stretch can be longer."""
+    held, size = [], 0
+    for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        while a < b:
+            end = b if b - a <= block else _cut(data, a, b, block)
+            if held and size + end - a > block:
+                yield held
+                held, size = [], 0
+            held.append((r, a, end))
+            size, a = size + end - a, end
+    if held:
+        yield held
+
+
 def word_hashes(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For ranges of rows: (first row, hashes of all their words, words of each row)."""
     data, offsets = text_bytes(column)

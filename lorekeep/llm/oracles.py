@@ -44,4 +44,17 @@ s AS (SELECT g.r, count(*) AS n, sum(CASE WHEN p.c < 2 THEN 1 ELSE 0 END) AS b,
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(s.b, 0)::BIGINT AS n_backoff, round(s.s / s.n, 6) AS score FROM d LEFT JOIN s USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op5_backoff_scores": OP5}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+c AS (SELECT r, doc_id, n, w, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS w FROM d) GROUP BY ALL),
+q AS (SELECT i, item_id, w, count(*) AS k FROM (SELECT i, item_id, unnest(t) AS w FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark)) GROUP BY ALL),
+x AS (SELECT w, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS x FROM (SELECT w, count(*) AS df FROM c GROUP BY w), s),
+p AS (SELECT i, item_id, r, doc_id, sum(k * x * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // l))))::BIGINT AS score
+      FROM q JOIN c USING (w) JOIN x USING (w), s GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op5_backoff_scores": OP5, "op13_ranked_search": OP13}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import backoff_scores, byte_pairs, exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity
+from lorekeep.llm import backoff_scores, byte_pairs, exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, ranked_search, sentence_pieces, suffix_dedup, toxicity
 from lorekeep.llm.oracles import ORACLES
 from lorekeep.storage import load
 
@@ -63,6 +63,10 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents"), limit=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sentence_pieces,
         op10_toxicity,
         op12_byte_pairs,
+        op13_ranked_search,
     )
 }
 
