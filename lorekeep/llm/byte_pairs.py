@@ -2,7 +2,7 @@
 
 Texts are encoded a block at a time:
 
-* **Splitting.** Every match of the vocabulary's pattern is found by position: runs of
+* **Splitting.** Every match of ``public_tokenizers.PATTERN`` is found by position: runs of
   letters, numbers, other signs and white space, a space before a run, contractions.
   The classes of characters are asked of the library's own pattern engine, whose
   tables are of another Unicode version than Python's.
@@ -85,7 +85,6 @@ class Pairs:
 
 class BytePairEncoder:
     def __init__(self, path: str):
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
@@ -104,7 +103,6 @@ class BytePairEncoder:
                 if a is not None and b is not None:
                     found[a, b] = rank
         self.pairs = Pairs(found)
-        self.pattern = public_tokenizers.PATTERN
         self.classes = np.zeros(0x110000, np.uint8)
         every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
         plain = {bytes([b]): b for b in range(256)}

@@ -44,6 +44,16 @@ s AS (SELECT g.r, count(*) AS n, sum(CASE WHEN p.c < 2 THEN 1 ELSE 0 END) AS b,
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(s.b, 0)::BIGINT AS n_backoff, round(s.s / s.n, 6) AS score FROM d LEFT JOIN s USING (r)
 """
 
+OP11 = """
+WITH v AS (SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.u AS au, a.vec_id AS anchor_id, b.u AS bu, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.u <> b.u WHERE a.vec_id % 100 = 0),
+p AS (SELECT au, bu AS pu, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY au ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY au, pu ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+      FROM p JOIN s USING (au) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP13 = f"""
@@ -57,4 +67,4 @@ p AS (SELECT i, item_id, r, doc_id, sum(k * x * ((1000000000 * tf) // (1000 * tf
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0) WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op5_backoff_scores": OP5, "op13_ranked_search": OP13}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op5_backoff_scores": OP5, "op11_hard_negatives": OP11, "op13_ranked_search": OP13}

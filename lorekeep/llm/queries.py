@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import backoff_scores, byte_pairs, exact_dedup, near_dedup, packing, privacy, quality_classifier, quality_rules, ranked_search, sentence_pieces, suffix_dedup, toxicity
+from lorekeep.llm import backoff_scores, byte_pairs, exact_dedup, hard_negatives, near_dedup, packing, privacy, quality_classifier, quality_rules, ranked_search, sentence_pieces, suffix_dedup, toxicity
 from lorekeep.llm.oracles import ORACLES
 from lorekeep.storage import load
 
@@ -59,6 +59,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(load(spark, sf_dir, "embeddings"), F.col("key") % 100 == 0, label=label)
+
+
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_sentence_pieces,
         op10_toxicity,
+        op11_hard_negatives,
         op12_byte_pairs,
         op13_ranked_search,
     )
