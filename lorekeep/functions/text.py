@@ -32,13 +32,14 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def is_token(word: Column) -> Column:
+    """Three characters or more, or a letter beside a digit, and no stop word."""
+    return ((F.length(word) > 2) | word.rlike("[a-zа-я][0-9]|[0-9][a-zа-я]")) & ~word.isin(STOP_WORDS)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words of three characters or more, or with a letter beside a
-    digit, less the stop words; duplicates stay."""
-    return F.filter(
-        F.split(F.lower(text_or_empty(text)), WORD_BREAK),
-        lambda w: ((F.length(w) > 2) | w.rlike("[a-zа-я][0-9]|[0-9][a-zа-я]")) & ~w.isin(STOP_WORDS),
-    )
+    """Lower-case words that are tokens; duplicates stay."""
+    return F.filter(F.split(F.lower(text_or_empty(text)), WORD_BREAK), is_token)
 
 
 def token_set(text: Column) -> Column:
@@ -68,11 +69,10 @@ def lexical_overlap(left: Column, right: Column) -> Column:
 
 def phrase_bonus(matched: Column, n_query: Column, text: Column) -> Column:
     """1 if two matched tokens that follow each other in the query are adjacent
-    in the text, else their share up to 0.75; 0 with fewer than two."""
-    low = F.lower(text)
+    in the text (lower-case), else their share up to 0.75; 0 with fewer than two."""
     adjacent = F.exists(
         F.arrays_zip(F.slice(matched, 1, F.size(matched) - 1).alias("a"), F.slice(matched, 2, F.size(matched) - 1).alias("b")),
-        lambda p: F.regexp_like(low, F.concat(p["a"], F.lit(WORD_BREAK), p["b"])),
+        lambda p: F.regexp_like(text, F.concat(p["a"], F.lit(WORD_BREAK), p["b"])),
     )
     return F.when(F.size(matched) < 2, 0.0).when(adjacent, 1.0).otherwise(F.least(F.lit(0.75), F.size(matched) / n_query))
 

@@ -1,24 +1,24 @@
 """Lexical retrieval: BM25, weighted field scores, Jaccard search.
 
-Queries are a table too, so many questions run in one job. Their terms go to
-the documents (see ``term_search``), which are scored where they are read; a
-task hands on only what can be among a query's best. Corpus statistics are
-aggregated before they are shuffled.
+Queries are a table too, so many questions run in one job. BM25 and field scores
+search an index that is written once (see ``lexical_index``) and read only where a
+query's best may be; the search for the most similar token sets scores documents where
+they are read (see ``term_search``). Corpus statistics are aggregated before they are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-
-import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
-from lorekeep.operators.term_search import candidates
-from lorekeep.storage import materialise
+from lorekeep.operators import term_search
+from lorekeep.operators.lexical_index import SLACK, UNIT, LexicalIndex, candidates, number_units, write_postings
+from lorekeep.storage import materialise, new_path
 
 K1, B = 1.2, 0.75
 PAGE_LEAD, PAGE_LONG, CHUNK_LONG, MAX_PAGE_SCORE = 500, 1500, 1200, 6.45
@@ -35,42 +35,30 @@ def corpus_statistics(docs: DataFrame, text: str, tokenize: Callable[[Column], C
     return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(tokenize(F.col(text)))), F.lit(0.0)).alias("avg_length"))
 
 
-def bm25(
-    queries: DataFrame,
-    docs: DataFrame,
-    query_key: str,
-    key: str,
-    limit: int,
-    query_text: str = "text",
-    text: str = "text",
-    k1: float = K1,
-    b: float = B,
-    tokenize: Callable[[Column], Column] = T.tokens,
-) -> DataFrame:
-    """The ``limit`` best documents of each query: (query, key, score, rank).
-    Distinct query terms count once; ties go to the smaller key."""
-    listed = docs.select(F.col(key), tokenize(F.col(text)).alias("__t"))
-    n, average = listed.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("__t")), F.lit(0.0))).first()
-    # Only terms that some query asks for are counted, before anything is shuffled.
-    wanted = queries.select(F.explode(F.array_distinct(tokenize(F.col(query_text)))).alias("term")).distinct()
-    df = listed.select(F.explode(F.array_distinct("__t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def write_bm25_index(docs: DataFrame, key: str, path: str, text: str = "text", k1: float = K1, b: float = B, tokenize: Callable[[Column], Column] = T.tokens) -> LexicalIndex:
+    """Writes the index of ``docs``: (key, length) of each, and BM25's share of each term
+    without its rarity, which a search weighs."""
+    terms = tokenize(F.col(text))
+    units = number_units(docs.select(F.col(key), terms.alias("terms")).select(key, F.size("terms").alias("length"), "terms"), path)
+    average = units.agg(F.coalesce(F.avg("length"), F.lit(0.0))).first()[0] or 1.0
+    counted = units.select("unit", "length", F.explode("terms").alias("term")).groupBy("unit", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    value = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
+    return LexicalIndex(units, write_postings(counted.select("unit", "term", value.alias("value")), path))
 
-    counted = [tuple(r) for r in df.collect()]  # at most one row a query term
 
-    def weigh(terms: list[str]):
-        often = dict(counted)
-        idf = np.array([math.log(1 + (n - often.get(t, 0) + 0.5) / (often.get(t, 0) + 0.5)) for t in terms])
-
-        def weight(code, tf, row, batch):
-            length = batch.column(1).to_numpy()[row]
-            return idf[code] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / (average or 1.0)))
+def search_bm25(queries: DataFrame, index: LexicalIndex, query_key: str, key: str, limit: int, query_text: str = "text", tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    """The ``limit`` best documents of each query: (query, key, score, rank).
+    Distinct query terms count once; ties go to the smaller key."""
+    n = index.units.count()
+    found = candidates(index, queries, query_key, tokenize(F.col(query_text)), limit, weigh=lambda df: np.log(1 + (n - df + 0.5) / (df + 0.5)))
+    scored = found.join(index.units.select("unit", key), "unit").select(query_key, key, F.round("total", 6).alias("score")).where("score > 0")
+    return top_by_group(scored, [query_key], [F.col("score").desc(), F.col(key)], limit)
 
-        return weight
 
-    rate = lambda hits, sizes, batch: (hits[0], hits[0])
-    found = candidates(queries, query_key, tokenize(F.col(query_text)), listed, {key: F.col(key), "length": F.size("__t")}, {"score": F.col("__t")}, limit, rate, weigh)
-    scored = found.select(query_key, key, F.round("score", 6).alias("score")).where("score > 0")
-    return top_by_group(scored, [query_key], [F.col("score").desc(), F.col(key)], limit)
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: str, limit: int, query_text: str = "text", text: str = "text", k1: float = K1, b: float = B, tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    """``search_bm25`` over an index written for this search alone."""
+    index = write_bm25_index(docs, key, new_path(docs.sparkSession, "bm25-index"), text, k1, b, tokenize)
+    return search_bm25(queries, index, query_key, key, limit, query_text, tokenize)
 
 
 def top_by_group(scored: DataFrame, group: list[str], order: list[Column], limit: int) -> DataFrame:
@@ -87,83 +75,104 @@ def best_jaccard(queries: DataFrame, docs: DataFrame, query_key: str, key: str,
 
     asked = T.token_set(F.col(query_text))
     held = docs.select(F.col(key), T.token_set(F.col(text)).alias("__d"))
-    found = candidates(queries, query_key, asked, held, {key: F.col(key), "nd": F.size("__d")}, {"shared": F.col("__d")}, limit, rate)
+    found = term_search.candidates(queries, query_key, asked, held, {key: F.col(key), "nd": F.size("__d")}, {"shared": F.col("__d")}, limit, rate)
     sized = found.join(queries.select(query_key, F.size(asked).alias("nq")), query_key)
     scored = sized.select(query_key, key, F.round(F.col("shared") / (F.col("nq") + F.col("nd") - F.col("shared")), 6).alias("jaccard"))
     return top_by_group(scored, [query_key], [F.col("jaccard").desc(), F.col(key)], limit)
 
 
-def score_fields(
-    queries: DataFrame,
-    docs: DataFrame,
-    query_key: str,
-    key: list[str],
-    fields: dict[str, tuple[Column, float]],
-    full_text: Column,
-    exact: float,
-    phrase: float,
-    penalty: Column,
-    limit: int,
-    query_text: str = "text",
-) -> DataFrame:
-    """(query, *key, score) of documents that share a token with a query, the
-    ``limit`` best of each query among them.
-
-    ``fields`` maps names to (text, weight); the score is the weighted coverage
-    of each field, plus exact hits and the phrase bonus over ``full_text``, times the penalty."""
-    asked = T.token_set(F.col(query_text))
-    names, weights = [*fields, "hits"], [w for _, w in fields.values()]
+@dataclass(frozen=True)
+class FieldScores:
+    """Weights of fields, of exact hits and of the order of terms. Units have a column of
+    each field and their ``penalty`` (at most 1); the full text is the fields, one below another."""
 
-    # The phrase bonus needs the text. It is worked out only for pairs that could
-    # still be among the best: those whose score with a full bonus reaches
-    # the least of their query's ``limit`` best scores without one.
-    def rate(hits, sizes, batch):
-        nq = np.maximum(sizes, 1)[None, :]
-        base = sum(h / nq * w for h, w in zip(hits, weights)) + np.minimum(hits[-1], nq) / nq * exact
-        two = hits[-1] >= 2
-        penalised = batch.column(len(key)).to_numpy()[:, None]
-        return (base + np.where(two, np.minimum(0.75, hits[-1] / nq) * phrase, 0)) * penalised, (base + np.where(two, phrase, 0)) * penalised
-
-    # The full text is the fields, one below another, so its terms are theirs.
-    sets = {n: T.token_set(c) for n, (c, _) in fields.items()}
-    found = candidates(queries, query_key, asked, docs, {**{k: F.col(k) for k in key}, "penalty": penalty.cast("double")}, sets, limit, rate, union="hits")
-    sized = found.join(queries.select(query_key, asked.alias("__q"), F.size(asked).alias("nq")), query_key)
-    base = sum((F.col(n) / F.col("nq") * w for n, w in zip(names, weights)), F.lit(0.0)) + F.least("hits", F.col("nq").cast("double")) / F.col("nq") * exact
-    least = F.when(F.col("hits") >= 2, F.least(F.lit(0.75), F.col("hits") / F.col("nq")) * phrase).otherwise(0.0)
-    most = F.when(F.col("hits") >= 2, F.lit(phrase)).otherwise(0.0)
-    sized = sized.withColumn("__base", base).withColumns({"__low": F.round((F.col("__base") + least) * F.col("penalty"), 6), "__high": F.round((F.col("__base") + most) * F.col("penalty"), 6)})
-    # Written once: the bars are taken from it before the rivals are.
-    sized = materialise(sized, "candidates")
-    bars = top_by_group(sized.select(query_key, "__low", *key), [query_key], [F.col("__low").desc(), *map(F.col, key)], limit).groupBy(query_key).agg(F.min("__low").alias("__bar"))
-    rivals = sized.join(bars, query_key).where(F.col("__high") >= F.col("__bar"))
-    texts = docs.select(*key, full_text.alias("__full"))
-    joined = rivals.join(texts, key)
-    # Matched tokens in the query's order, worked out once a pair.
-    one = F.array(F.struct(F.array_intersect("__q", T.token_set(F.col("__full"))).alias("m"), F.col("__full").alias("t")))
-    raw = F.col("__base") + F.transform(one, lambda p: T.phrase_bonus(p["m"], F.col("nq"), p["t"]))[0] * phrase
-    return joined.select(query_key, *key, F.round(raw * F.col("penalty"), 6).alias("score")).where("score > 0")
+    fields: dict[str, float]
+    exact: float
+    phrase: float = 0.25
 
 
-def lexical_pages(queries: DataFrame, pages: DataFrame, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
-    """Best pages of ``pages(id, path, title, description, content)`` for each query."""
+PAGE_SCORES = FieldScores({"f_path": 2.2, "f_title": 2.0, "f_description": 1.0, "f_body": 0.6}, 0.4)
+CHUNK_SCORES = FieldScores({"f_path": 1.5, "f_heading": 2.3, "f_body": 1.0}, 0.35)
+
+
+def write_field_index(units: DataFrame, scores: FieldScores, path: str) -> LexicalIndex:
+    """Writes the index of ``units(keys, fields, penalty)``: what each term of a field adds
+    to a unit's score, and the penalties."""
+    full = F.concat_ws("\n", *scores.fields)
+    numbered = number_units(units.select("*", F.lower(full).alias("full"), T.token_set(full).alias("terms")), path)
+    texts = F.explode(F.array(*(F.struct(F.lit(1 << i).alias("bit"), F.col(f).alias("text")) for i, f in enumerate(scores.fields))))
+    words = numbered.select("unit", "penalty", texts.alias("f")).select("unit", "penalty", "f.bit", F.explode(F.split(F.lower("f.text"), T.WORD_BREAK)).alias("term"))
+    held = words.where(T.is_token(F.col("term"))).groupBy("unit", "penalty", "term").agg(F.bit_or("bit").alias("bits"))
+    weight = sum((F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) > 0, w).otherwise(0.0) for i, w in enumerate(scores.fields.values())), F.lit(scores.exact))
+    values = held.select("unit", "term", (weight * F.col("penalty")).alias("value"))
+    penalties = numbered.where("penalty <> 1").select("unit", F.lit(UNIT).alias("term"), F.col("penalty").alias("value"))
+    return LexicalIndex(numbered, write_postings(values.unionByName(penalties), path))
+
+
+def search_fields(queries: DataFrame, index: LexicalIndex, query_key: str, keys: list[str], scores: FieldScores, limit: int, query_text: str = "text") -> DataFrame:
+    """(query, *keys, score) of units that share a token with a query, the ``limit`` best
+    of each query among them: the weighted coverage of each field, plus exact hits and the
+    phrase bonus over the full text, times the penalty."""
+    asked = T.token_set(F.col(query_text))
+    questions = queries.select(query_key, asked.alias("__q"), F.size(asked).alias("nq"))
+    found = materialise(candidates(index, queries, query_key, asked, limit, scores.phrase), "candidates")
+
+    def best(scored: DataFrame, low: str, high: str) -> DataFrame:
+        """Rows whose upper bound reaches their query's least of the ``limit`` best lower bounds."""
+        bars = top_by_group(scored.select(query_key, low, "unit"), [query_key], [F.col(low).desc(), F.col("unit")], limit).groupBy(query_key).agg(F.min(low).alias("bar"))
+        return scored.join(bars, query_key).where(F.col(high) >= F.col("bar") - SLACK).drop("bar")
+
+    # The order of terms needs the text. It is looked up only for units that could still be
+    # among the best: whose score with a full bonus reaches the least of the best without one.
+    texts = index.units.select("unit", "penalty", "terms", "full")
+    rivals = best(found, "low", "high").join(texts, "unit").join(questions, query_key)
+    # Matched tokens in the query's order.
+    rivals = rivals.select(query_key, "unit", "total", "penalty", "nq", "full", F.array_intersect("__q", "terms").alias("m"))
+    bonus = T.phrase_bonus(F.col("m"), F.col("nq"), F.col("full"))
+    rivals = materialise(rivals.select(query_key, "unit", bonus.alias("bonus"), (F.col("total") + bonus * scores.phrase * F.col("penalty")).alias("near")), "rivals")
+    # Sums of the index may differ from the formula's in the last digit.
+    chosen = best(rivals, "near", "near").join(index.units, "unit").join(questions, query_key)
+    hits = lambda c: F.size(F.array_intersect("__q", c))
+    base = sum((hits(T.token_set(F.col(f))) / F.col("nq") * w for f, w in scores.fields.items()), F.lit(0.0)) + hits(F.col("terms")) / F.col("nq") * scores.exact
+    return chosen.select(query_key, *keys, F.round((base + F.col("bonus") * scores.phrase) * F.col("penalty"), 6).alias("score")).where("score > 0")
+
+
+def page_units(pages: DataFrame) -> DataFrame:
+    """Units of ``pages(id, path, title, description, content)``."""
     body = F.substring(T.without_frontmatter_and_title(F.col("content")), 1, PAGE_LEAD)
     described = T.text_or_empty(F.col("description"))
-    fields = {"f_path": (F.col("path"), 2.2), "f_title": (F.col("title"), 2.0), "f_description": (described, 1.0), "f_body": (body, 0.6)}
-    full = F.concat_ws("\n", "path", "title", described, body)
-    scored = score_fields(queries, pages, query_key, ["id", "path"], fields, full, 0.4, 0.25, T.length_penalty(F.length(described), PAGE_LONG, 0.55), limit, query_text)
-    return top_by_group(scored, [query_key], [F.col("score").desc(), F.col("id"), F.col("path")], limit)
+    fields = {"f_path": F.col("path"), "f_title": F.col("title"), "f_description": described, "f_body": body}
+    return pages.select("id", "path", *(c.alias(n) for n, c in fields.items()), T.length_penalty(F.length(described), PAGE_LONG, 0.55).cast("double").alias("penalty"))
 
 
-def lexical_chunks(queries: DataFrame, chunks: DataFrame, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
-    """Best chunks of ``chunks(article_id, path, heading, body, ordinal)`` for each query."""
+def chunk_units(chunks: DataFrame) -> DataFrame:
+    """Units of ``chunks(article_id, path, heading, body, ordinal)``; blank ones are none."""
     heading, body = T.text_or_empty(F.col("heading")), T.text_or_empty(F.col("body"))
-    fields = {"f_path": (F.col("path"), 1.5), "f_heading": (heading, 2.3), "f_body": (body, 1.0)}
-    full = F.concat_ws("\n", "path", heading, body)
     live = chunks.where(F.length(F.trim(F.regexp_replace(body, r"\s+", " "))) > 0)
-    scored = score_fields(queries, live, query_key, ["article_id", "path", "ordinal", "heading"], fields, full, 0.35, 0.25, T.length_penalty(F.length(body), CHUNK_LONG, 0.5), limit, query_text)
+    fields = {"f_path": F.col("path"), "f_heading": heading, "f_body": body}
+    return live.select("article_id", "path", "ordinal", "heading", *(c.alias(n) for n, c in fields.items()), T.length_penalty(F.length(body), CHUNK_LONG, 0.5).cast("double").alias("penalty"))
+
+
+def search_pages(queries: DataFrame, index: LexicalIndex, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
+    scored = search_fields(queries, index, query_key, ["id", "path"], PAGE_SCORES, limit, query_text)
+    return top_by_group(scored, [query_key], [F.col("score").desc(), F.col("id"), F.col("path")], limit)
+
+
+def search_chunks(queries: DataFrame, index: LexicalIndex, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
+    scored = search_fields(queries, index, query_key, ["article_id", "path", "ordinal", "heading"], CHUNK_SCORES, limit, query_text)
     return top_by_group(scored, [query_key], [F.col("score").desc(), F.col("article_id"), F.col("path"), F.col("ordinal"), F.col("heading")], limit)
 
 
+def lexical_pages(queries: DataFrame, pages: DataFrame, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
+    """Best pages of ``pages(id, path, title, description, content)`` for each query."""
+    return search_pages(queries, write_field_index(page_units(pages), PAGE_SCORES, new_path(pages.sparkSession, "page-index")), query_key, limit, query_text)
+
+
+def lexical_chunks(queries: DataFrame, chunks: DataFrame, query_key: str, limit: int, query_text: str = "text") -> DataFrame:
+    """Best chunks of ``chunks(article_id, path, heading, body, ordinal)`` for each query."""
+    return search_chunks(queries, write_field_index(chunk_units(chunks), CHUNK_SCORES, new_path(chunks.sparkSession, "chunk-index")), query_key, limit, query_text)
+
+
 def normalised_page_score(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score / MAX_PAGE_SCORE))
 
@@ -172,9 +181,9 @@ def select_seeds(queries: DataFrame, pages: DataFrame, query_key: str, top_k: in
     """Seed pages of each query: normalised page score of id, description and lead."""
     keywords = F.regexp_replace(F.regexp_extract(F.regexp_extract("content", r"\A---\n(?s:(.*?))\n---", 1), r"wiki_keywords:\s*\[(.*?)\]", 1), "['\",]", " ")
     described = F.concat_ws("\n", F.nullif(T.text_or_empty(F.col("description")), F.lit("")), F.nullif(F.lower(F.trim(keywords)), F.lit("")))
-    seeds = pages.select("id", F.col("id").alias("path"), F.col("id").alias("title"), described.alias("description"), F.substring(T.without_frontmatter(F.col("content")), 1, PAGE_LEAD).alias("content"))
-    body = F.substring(T.without_frontmatter_and_title(F.col("content")), 1, PAGE_LEAD)
-    fields = {"f_path": (F.col("path"), 2.2), "f_title": (F.col("title"), 2.0), "f_description": (F.col("description"), 1.0), "f_body": (body, 0.6)}
-    scored = score_fields(queries, seeds, query_key, ["id"], fields, F.concat_ws("\n", "path", "title", "description", body), 0.4, 0.25, T.length_penalty(F.length("description"), PAGE_LONG, 0.55), top_k, query_text)
+    body = F.substring(T.without_frontmatter(F.col("content")), 1, PAGE_LEAD)
+    seeds = page_units(pages.select("id", F.col("id").alias("path"), F.col("id").alias("title"), described.alias("description"), body.alias("content")))
+    index = write_field_index(seeds, PAGE_SCORES, new_path(pages.sparkSession, "seed-index"))
+    scored = search_fields(queries, index, query_key, ["id"], PAGE_SCORES, top_k, query_text)
     scored = scored.withColumn("score", F.round(normalised_page_score(F.col("score")), 6)).where(F.col("score") >= min_score)
     return top_by_group(scored, [query_key], [F.col("score").desc(), F.col("id")], top_k)

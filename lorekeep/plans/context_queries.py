@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import context, lexical, maintenance
+from lorekeep.plans import indexes
 from lorekeep.plans.registry import query
 from lorekeep.storage import load
 
@@ -83,10 +84,9 @@ def shrunk_budgets(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str, limit: int) -> DataFrame:
     """Ranked line chunks of each question with the question's text."""
-    lines = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("path"), F.col("lang").alias("heading"), F.posexplode(F.split(T.text_or_empty(F.col("text")), "\n")).alias("p", "body"))
-    chunks = lines.select("article_id", "path", F.col("p").cast("long").alias("ordinal"), "heading", "body")
     questions = load(spark, d, "benchmark")
-    ranked = lexical.lexical_chunks(questions, chunks, "item_id", limit)
+    ranked = lexical.search_chunks(questions, indexes.chunk_index(spark, d), "item_id", limit)
+    chunks = indexes.line_chunks(spark, d)
     texts = ranked.join(chunks.select("article_id", "ordinal", "body"), ["article_id", "ordinal"])
     return texts.join(questions.select("item_id", F.col("text").alias("question")), "item_id")
 

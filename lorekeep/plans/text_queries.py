@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import context, lexical, maintenance
+from lorekeep.plans import indexes
 from lorekeep.plans.registry import query, sql_set, sql_tokens
 from lorekeep.storage import load
 
@@ -28,7 +29,7 @@ def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
     SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(load(spark, d, "benchmark"), load(spark, d, "documents"), "item_id", "doc_id", 10)
+    return lexical.search_bm25(load(spark, d, "benchmark"), indexes.document_index(spark, d), "item_id", "doc_id", 10)
 
 
 @query(f"""WITH d AS (SELECT doc_id, {TOK} AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS w FROM d)
@@ -126,8 +127,7 @@ _PAGES = "SELECT doc_id AS id, source || '/' || lang || '_' || doc_id AS path, s
     )
 )
 def lexical_page_topk(spark: SparkSession, d: str) -> DataFrame:
-    pages = load(spark, d, "documents").selectExpr("doc_id AS id", "source || '/' || lang || '_' || doc_id AS path", "source AS title", "lang || ' ' || source AS description", "text AS content")
-    return lexical.lexical_pages(load(spark, d, "benchmark"), pages, "item_id", 5)
+    return lexical.search_pages(load(spark, d, "benchmark"), indexes.page_index(spark, d), "item_id", 5)
 
 
 _CHUNKS = r"""SELECT article_id, path, ordinal, heading, body FROM (SELECT doc_id AS article_id, source AS path, unnest(range(len(l))) AS ordinal, unnest(l) AS body, lang AS heading
@@ -141,9 +141,7 @@ _CHUNKS = r"""SELECT article_id, path, ordinal, heading, body FROM (SELECT doc_i
     )
 )
 def lexical_chunk_topk(spark: SparkSession, d: str) -> DataFrame:
-    lines = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("path"), F.col("lang").alias("heading"), F.posexplode(F.split(T.text_or_empty(F.col("text")), "\n")).alias("p", "body"))
-    chunks = lines.select("article_id", "path", F.col("p").cast("long").alias("ordinal"), "heading", "body")
-    return lexical.lexical_chunks(load(spark, d, "benchmark"), chunks, "item_id", 5)
+    return lexical.search_chunks(load(spark, d, "benchmark"), indexes.chunk_index(spark, d), "item_id", 5)
 
 
 @query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]{3,}')))::BIGINT AS n_query_tokens,

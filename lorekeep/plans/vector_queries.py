@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators import lexical, ranking, vectors
+from lorekeep.plans import indexes
 from lorekeep.plans.registry import query, sql_set, sql_tokens
 from lorekeep.storage import load
 
@@ -96,7 +97,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """RRF of the 50 best documents by token-set similarity and by BM25."""
     q, docs = load(spark, d, "benchmark"), load(spark, d, "documents")
     a = lexical.best_jaccard(q, docs, "item_id", "doc_id", limit=50).select("item_id", "doc_id", "rank", F.lit(0).alias("list_no"))
-    b = lexical.bm25(q, docs, "item_id", "doc_id", 50).select("item_id", "doc_id", "rank", F.lit(1).alias("list_no"))
+    b = lexical.search_bm25(q, indexes.document_index(spark, d), "item_id", "doc_id", 50).select("item_id", "doc_id", "rank", F.lit(1).alias("list_no"))
     return ranking.rrf(a.unionByName(b), ["item_id"], "doc_id").where("rank <= 20")
 
 

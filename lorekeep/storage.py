@@ -39,11 +39,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals ``df`` over all cores where its files give fewer splits than these. For work
+    that is heavy for its bytes, as on texts; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{scratch_dir(spark)}/lorekeep/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage,
     survives lost executors and keeps an expensive scan from running twice."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lorekeep/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
