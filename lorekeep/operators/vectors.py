@@ -1,15 +1,11 @@
-"""Vector similarity: cosine search, pooled scores, similarity joins.
+"""Vector similarity: cosine search, pooled scores, floors.
 
 Searches take a stated query set, whose size is checked before it is broadcast, against all rows in
-Arrow blocks; each block keeps its best rows only. The similarity join is exact: vectors
-fall into cells around pivots, and the angle's triangle inequality says into which
-other cells a vector must be copied to meet all its partners.
+Arrow blocks; each block keeps its best rows only. Joins are in ``similarity_join``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +17,6 @@ from lorekeep.storage import ship
 BROADCAST_BYTES = 64 << 20
 #: Queries that a block of rows is compared with at once.
 SLICE = 256
-PIVOTS = 32
 
 
 def usable(vector: Column, dimensions: int | None = None) -> Column:
@@ -149,72 +144,6 @@ def max_pooled(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, gr
     return found.groupBy("query", "group").agg(F.max("cosine").alias("cosine"))
 
 
-def _cells(pivots, margin: float):
-    """Copies each vector into its own cell and every other that may hold a partner."""
-
-    def run(batches):
-        p = pivots.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(_matrix(b.column(1)))
-            angle = np.arccos(np.clip(x @ p.T, -1, 1))
-            home = angle.argmin(1)
-            # y of cell c is nearer to c's pivot than to x's: angles to them differ by at most the margin twice.
-            near = angle <= angle[np.arange(len(x)), home][:, None] + 2 * margin + 1e-9
-            at, cell = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[at] == cell), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["cell", "home", "id", "vector"])
-
-    return run
-
-
-def _links(threshold: float):
-    def run(batches):
-        held, ids, homes, rows = None, [], [], []
-
-        def settle():
-            if not ids:
-                return
-            x, home, key = unit(np.array(rows, np.float64)), np.array(homes), np.array(ids)
-            for i in range(0, len(x), 512):
-                own = np.flatnonzero(home[i : i + 512]) + i
-                at, other = np.nonzero(np.round(x[own] @ x.T, 6) >= threshold)
-                mine = own[at]
-                ok = mine != other
-                n = np.bincount(mine[ok], minlength=len(x))
-                least = np.full(len(x), np.iinfo(np.int64).max)
-                np.minimum.at(least, mine[ok], key[other[ok]])
-                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(n[own]), pa.array(np.minimum(least[own], key[own]))], ["id", "links", "least"])
-
-        for b in batches:
-            for cell, home, id_, vector in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if cell != held:
-                    yield from settle()
-                    held, ids, homes, rows = cell, [], [], []
-                ids.append(id_)
-                homes.append(home)
-                rows.append(vector)
-        yield from settle()
-
-    return run
-
-
-def similarity_links(vectors: DataFrame, id_: str, vector: str, threshold: float, pivots: int = PIVOTS) -> DataFrame:
-    """(id, links, least): how many other vectors have a cosine of ``threshold``
-    or more (rounded to 6 places), and the least id among those and the row's own.
-    Exact; the bounded pivots are the vectors with the smallest hashes."""
-    spark = vectors.sparkSession
-    ship(spark)
-    good = vectors.where(usable(F.col(vector))).select(F.col(id_).alias("id"), F.col(vector).alias("vector"))
-    chosen = good.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
-    table = spark.sparkContext.broadcast(unit(_matrix(chosen["vector"].combine_chunks())))
-    kind = good.schema["id"].dataType.simpleString()
-    element = good.schema["vector"].dataType.simpleString()
-    cells = good.mapInArrow(_cells(table, math.acos(min(1.0, threshold))), f"cell int, home boolean, id {kind}, vector {element}")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "id")
-    return dealt.mapInArrow(_links(threshold), f"id {kind}, links bigint, least bigint")
-
-
 def prune_by_floor(scored: DataFrame, group: list[str], score: str, ratio: float = 0.6, low: float = 0.05) -> DataFrame:
     """``scored`` with low, high and bar of its group and ``keep``: no score, or a
     score at the bar ``low + ratio * (high - low)``; a flat range keeps all."""

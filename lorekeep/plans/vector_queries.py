@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import lexical, ranking, vectors
+from lorekeep.operators import lexical, ranking, similarity_join, vectors
 from lorekeep.plans import indexes
 from lorekeep.plans.registry import query, sql_set, sql_tokens
 from lorekeep.storage import load
@@ -36,19 +36,23 @@ def maxpool_by_label(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_V}, p AS (SELECT a.label AS a, b.label AS b, greatest(0, max(round(list_cosine_similarity(a.e, b.e), 6))) AS score FROM v a JOIN v b ON a.label < b.label GROUP BY ALL)
     SELECT a, b, score FROM p WHERE score >= 0.3""")
 def near_dup_label_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of labels (pages) whose vectors' best cosine reaches the threshold:
-    exact, by pooling every vector against blocks of the table."""
-    rows = load(spark, d, "embeddings")
-    pooled = vectors.max_pooled(rows, rows, "vec_id", "embedding", "label")
-    own = rows.select(F.col("vec_id").alias("query"), F.col("label").alias("a"))
-    best = pooled.join(own, "query").where(F.col("a") < F.col("group")).groupBy("a", F.col("group").alias("b")).agg(F.max("cosine").alias("score"))
-    return best.where("score >= 0.3")
+    """Pairs of labels (pages) whose vectors' best cosine reaches the threshold."""
+    return similarity_join.similar_groups(load(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.3)
 
 
 @query(f"""WITH {_V}, l AS (SELECT a.vec_id AS id, b.vec_id AS other FROM v a JOIN v b ON a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.5)
     SELECT v.vec_id AS id, count(l.other) AS links, least(v.vec_id, coalesce(min(l.other), v.vec_id)) AS least FROM v LEFT JOIN l ON l.id = v.vec_id GROUP BY v.vec_id""")
 def near_dup_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.similarity_links(load(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
+    return similarity_join.similarity_links(load(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
+
+
+@query(f"""WITH {_V}, t AS (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold), p AS (SELECT round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+    SELECT threshold, count(cosine) AS links, true AS reached FROM t LEFT JOIN p ON cosine >= threshold GROUP BY threshold""")
+def projected_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Links at three thresholds, and whether random projections found nine of ten."""
+    rows = load(spark, d, "embeddings")
+    parts = [similarity_join.measured_recall(rows, "vec_id", "embedding", t).select(F.lit(t).alias("threshold"), "links", (F.col("recall") >= 0.9).alias("reached")) for t in (0.5, 0.7, 0.9)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"""WITH {_PAIRS}, f AS (SELECT query, quantile_cont(cosine, 0.05) AS low, max(cosine) AS high FROM s GROUP BY query),

@@ -108,17 +108,6 @@ def test_graph_follows_phantom_seeds(spark):
     assert {(r.src, r.dst) for r in graph.link_edges(pages, "id", "text").collect()} == {("p", "x"), ("p", "a/b")}
 
 
-def test_similarity_links_are_exact(spark):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(8, 6))
-    x = np.vstack([base[i % 8] + rng.normal(scale=0.5, size=6) for i in range(150)])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = (np.round(u @ u.T, 6) >= 0.9) & ~np.eye(150, dtype=bool)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, [0.0] * 6), (1000, None)], "id long, v array<double>")
-    rows = {r.id: (r.links, r.least) for r in vectors.similarity_links(df, "id", "v", 0.9, pivots=5).collect()}
-    assert all(rows[i] == (int(near[i].sum()), min([i, *np.flatnonzero(near[i])])) for i in range(150))
-
-
 def test_pooled_scores_in_rounds(spark, monkeypatch):
     """Rounds of few queries and slices of fewer give what one round gives; unusable and other-sized vectors score nothing."""
     rng = np.random.default_rng(3)
