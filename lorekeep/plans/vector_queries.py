@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import lexical, ranking, similarity_join, vectors
+from lorekeep.operators import floors, lexical, ranking, similarity_join, vectors
 from lorekeep.plans import indexes
 from lorekeep.plans.registry import query, sql_set, sql_tokens
 from lorekeep.storage import load
@@ -60,8 +60,7 @@ def projected_recall(spark: SparkSession, d: str) -> DataFrame:
     SELECT query, bar, count_if(cosine >= bar OR high - low < 1e-6) AS kept, count(*) AS n FROM s JOIN b USING (query) GROUP BY query, bar""")
 def floor_prune(spark: SparkSession, d: str) -> DataFrame:
     q, rows = _split(spark, d)
-    scored = vectors.similarities(q, rows, "vec_id", "embedding")
-    return vectors.prune_by_floor(scored, ["query"], "cosine").groupBy("query", "bar").agg(F.count_if("keep").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return floors.prune_counts(q, rows, "vec_id", "embedding")
 
 
 @query(f"""WITH {_PAIRS}, f AS (SELECT query, quantile_cont(cosine, 0.05) AS low, max(cosine) AS high FROM s GROUP BY query),
@@ -71,8 +70,8 @@ def floor_prune(spark: SparkSession, d: str) -> DataFrame:
     SELECT ratio, round(100 * sum(c) / greatest(sum(a), 1), 6) AS cut_percent, round(min(CASE WHEN g = 0 THEN 1 ELSE k / g END), 6) AS least_recall, count_if(g > 0 AND k < g) AS failing FROM p GROUP BY ratio""")
 def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     q, rows = _split(spark, d)
-    scored = vectors.similarities(q, rows, "vec_id", "embedding", "label").select("query", "cosine", (100 + F.col("id") % 7).alias("tokens"), (F.col("group") == F.col("query") % 10).alias("gold"))
-    return vectors.floor_sweep(scored, ["query"], "cosine", "tokens", "gold", [0.0, 0.3, 0.6, 0.9])
+    rows = rows.withColumn("tokens", 100 + F.col("vec_id") % 7)
+    return floors.sweep_counts(q.withColumn("want", (F.col("vec_id") % 10).cast("int")), rows, "vec_id", "embedding", "tokens", "want", "label", [0.0, 0.3, 0.6, 0.9])
 
 
 @query("""SELECT vec_id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0, false) AS usable FROM embeddings""")
