@@ -68,7 +68,18 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return h
 
 
-def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keyed_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """64 bits of keyed BLAKE2b of spans of bytes, once for each distinct span: who does not know
+    the key cannot make two words that share one."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)]).dictionary_encode()
+    digests = b"".join([hashlib.blake2b(w, digest_size=8, key=key).digest() for w in coded.dictionary.to_pylist()])
+    return np.frombuffer(digests, "<u8").astype(np.uint64)[coded.indices.to_numpy()]
+
+
+def _words(data: np.ndarray, cuts: np.ndarray, key: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text); texts end at ``cuts``."""
     inside = ~SPACE[data]
     before = np.empty(len(data), bool)
@@ -81,10 +92,10 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[-1], after[:-1] = False, inside[1:] & ~first[1:]
     ends = np.flatnonzero(inside & ~after) + 1
     counts = np.diff(np.searchsorted(starts, cuts))
-    return spans_hash(data, starts, ends), counts
+    return (keyed_hash(data, starts, ends, key) if key else spans_hash(data, starts, ends)), counts
 
 
-def _long(data: np.ndarray) -> np.ndarray:
+def _long(data: np.ndarray, key: bytes | None = None) -> np.ndarray:
     """Word hashes of one long text, a part at a time."""
     out, at = [], 0
     while at < len(data):
@@ -96,7 +107,7 @@ def _long(data: np.ndarray) -> np.ndarray:
             else:  # one very long word: it is hashed whole
                 rest = np.flatnonzero(SPACE[data[end:]])
                 end = end + int(rest[0]) if len(rest) else len(data)
-        out.append(_words(data[at:end], np.array([0, end - at]))[0])
+        out.append(_words(data[at:end], np.array([0, end - at]), key)[0])
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -150,7 +161,7 @@ def text_parts(data: np.ndarray, offsets: np.ndarray, block: int) -> Iterator[li
         yield held
 
 
-def word_hashes(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(column: pa.Array, lower: bool = False, key: bytes | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For ranges of rows: (first row, hashes of all their words, words of each row)."""
     data, offsets = text_bytes(column)
     for i, j in blocks(offsets):
@@ -160,10 +171,10 @@ def word_hashes(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np
         if not len(part):
             yield i, np.zeros(0, np.uint64), np.zeros(j - i, np.int64)
         elif len(part) > BLOCK:
-            h = _long(part)
+            h = _long(part, key)
             yield i, h, np.array([len(h)])
         else:
-            yield i, *_words(part, offsets[i : j + 1] - offsets[i])
+            yield i, *_words(part, offsets[i : j + 1] - offsets[i], key)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -24,7 +24,9 @@ densification), so short documents band like long ones.
 
 A pair at the threshold shares no band with a probability below 5e-6 (36 bands
 of 7 registers at 0.85, 42 of 6 at 0.8), a closer one far less. Sets are equal when 128 bits of a cryptographic digest are; a node is the
-number that a digest has in a written table. Shingles are compared by 64-bit hashes.
+number that a digest has in a written table. Shingles are compared by 64-bit hashes under a
+key that is drawn anew for every call (or that the session names in ``spark.lorekeep.hash.key``),
+so nobody can write texts whose different words share a hash; by chance two do with a probability of 2 ** -64.
 
 Defined cases: null text, or text without words, has the empty set, links with
 nothing and stays; fewer words than a shingle count as one shingle; a component's
@@ -37,6 +39,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from functools import reduce
 
 import numpy as np
@@ -94,9 +97,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return (agree - chance) / (1 - chance)
 
 
-def shingle_sets(column: pa.Array, size: int):
+def shingle_sets(column: pa.Array, size: int, secret: bytes = b"shingles"):
     """The sorted distinct shingle hashes of each row."""
-    for _, hashes, counts in word_hashes(column, lower=True):
+    for _, hashes, counts in word_hashes(column, lower=True, key=secret):
         at = 0
         for n in counts.tolist():
             yield np.unique(shingle_hashes(hashes[at : at + n], size))
@@ -107,11 +110,11 @@ def digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _sketches(size: int):
+def _sketches(size: int, secret: bytes):
     def run(batches):
         for b in batches:
             n, digests, regs = [], [], []
-            for s in shingle_sets(b.column(1), size):
+            for s in shingle_sets(b.column(1), size, secret):
                 n.append(len(s))
                 digests.append(digest(s))
                 regs.append(registers(s).tobytes() if len(s) else None)
@@ -120,10 +123,10 @@ def _sketches(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, secret: bytes):
     def run(batches):
         for b in batches:
-            sets = list(shingle_sets(b.column(1), size))
+            sets = list(shingle_sets(b.column(1), size, secret))
             yield pa.RecordBatch.from_arrays([pa.array(list(map(digest, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "members"])
 
     return run
@@ -238,7 +241,8 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
     which tells rows of one key apart."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    sketches = materialise(docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(_sketches(size), f"key {kind}, th bigint, n bigint, digest binary, regs binary"), "sketches")
+    secret = (docs.sparkSession.conf.get("spark.lorekeep.hash.key", None) or secrets.token_hex(32)).encode()[:64]
+    sketches = materialise(docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(_sketches(size, secret), f"key {kind}, th bigint, n bigint, digest binary, regs binary"), "sketches")
     equal = sketches.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     nodes = materialise(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = band_rows(percent / 100)
@@ -263,7 +267,7 @@ def classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> tu
         wanted = materialise(of.distinct().join(nodes.select("node", "key", "digest"), "node"), "wanted")
         keys = wanted.select(F.col("key").alias("wanted_key")).distinct()
         texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        rows = texts.join(keys, texts["key"].eqNullSafe(keys["wanted_key"]), "left_semi").select("key", "text").mapInArrow(_sets(size), "digest binary, members binary")
+        rows = texts.join(keys, texts["key"].eqNullSafe(keys["wanted_key"]), "left_semi").select("key", "text").mapInArrow(_sets(size, secret), "digest binary, members binary")
         return materialise(rows.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("members").alias("members")), "sets")
 
     def crossing(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ So the same entity has the same surrogate in every document and spelling
 (coreference: case of mail addresses, punctuation and prefix of phone numbers, spaces of
 account numbers are rendered as they were), and different entities never share one
 (distinctness): the map is injective without any table, so there is nothing to shuffle
-and no state to lose. Each document is checked all the same while it is rewritten: a
-surrogate that another entity of the document has, or that is itself another
-number, address or account of it, is permuted once more. ``collisions`` checks a corpus.
+and no state to lose. A surrogate can be what another entity was called; that one
+has a surrogate of its own then, so they stay apart. ``collisions`` checks what was written
+for a corpus: one surrogate an entity, one entity a surrogate.
 
 Defined cases: null text stays null; empty text stays empty; a text without
 entities is returned as it is; very long texts and entities are handled whole; of
@@ -57,6 +57,8 @@ BEGIN = re.compile(r"(?<!\w)(?<!\d\.)(?:\+|\()?\d")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}(?!\w|-\d)")
 CARD = re.compile(r"\d{13,19}(?!\w)")
 CARD_GROUPS = re.compile(r"\d{4}(?:(?: {1,2}|-)\d{2,6})+(?!\w)")
+#: Two years or more in a row, which are neither a card nor a phone number.
+YEARS = re.compile(r"(?:19|20)\d\d(?:[ \-](?:19|20)\d\d)+(?![ \-]?\w)")
 FOURS = re.compile(r"\d{4}(?:(?: {1,2}|-)\d{4})+(?!\w)")
 THREE_THREE_FOUR = re.compile(r"(?:\+?1(?: {1,2}|[.\-]))?(?:\(\d{3}\) {0,2}|\d{3}(?: {1,2}|-))\d{3}(?: {1,2}|-)\d{4}(?!\w|-\d)|(?:\+?1[.\- ])?\d{3}\.\d{3}\.\d{4}(?!\w|\.\d)")
 INTERNATIONAL = re.compile(r"\+\d+(?:[ .\-]{0,2}\(\d{1,5}\)[ .\-]{0,2}\d*)?(?:(?: {1,2}|[.\-])\d+)*(?!\w)")
@@ -389,7 +391,10 @@ def _numbers(text: str):
         at = run.start()
         while m := BEGIN.search(text, at, run.end()):
             a = m.start()
-            if end := addresses.get(a, 0):
+            years = YEARS.match(text, a)
+            if years and not luhn(re.sub(r"\D", "", years[0])):
+                at = years.end()
+            elif end := addresses.get(a, 0):
                 at = end
             elif d := DATE.match(text, a):
                 at = d.end()
@@ -456,22 +461,21 @@ def _is_ip6(text: str) -> bool:
         return False
 
 
-def rewrite(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
-    """(text with surrogates, entities found); see the module for the collision check."""
-    found = detect(text)
-    out, at = [], 0
-    owner: dict[tuple[str, str], str] = {}  # of each surrogate, and of each entity that is no name
-    for kind, a, b in found:
-        if kind != "name":
-            same = canonical(kind, text[a:b])
-            owner[kind, same] = same
-    for kind, a, b in found:
-        same, fresh = canonical(kind, text[a:b]), surrogate(kind, text[a:b], key)
-        while owner.setdefault((kind, canonical(kind, fresh)), same) != same:
-            fresh = surrogate(kind, fresh, key)
+def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int, int]]]:
+    """(text with surrogates, (type, start, end, length of the surrogate) of each entity)."""
+    out, entities, at = [], [], 0
+    for kind, a, b in detect(text):
+        fresh = surrogate(kind, text[a:b], key)
         out += (text[at:a], fresh)
+        entities.append((kind, a, b, len(fresh)))
         at = b
-    return "".join([*out, text[at:]]) if found else text, found
+    return "".join([*out, text[at:]]) if entities else text, entities
+
+
+def rewrite(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
+    """(text with surrogates, entities found)."""
+    fresh, entities = replaced(text, key)
+    return fresh, [e[:3] for e in entities]
 
 
 def secret_key(spark) -> bytes:
@@ -484,15 +488,15 @@ def secret_key(spark) -> bytes:
 
 
 def _rewritten(key: bytes):
-    kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("written", pa.int64())]))
 
     def run(batches):
         for b in batches:
             texts, found = [], []
             for t in b.column("__text").to_pylist():
-                text, entities = rewrite(t, key) if t else (t, [])
+                text, entities = replaced(t, key) if t else (t, [])
                 texts.append(text)
-                found.append([{"type": k, "start": s, "end": e} for k, s, e in entities])
+                found.append([{"type": k, "start": s, "end": e, "written": n} for k, s, e, n in entities])
             cols = [pa.array(texts, pa.string()) if n == "__text" else b.column(n) for n in b.schema.names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], [*b.schema.names, "__entities"])
 
@@ -501,30 +505,37 @@ def _rewritten(key: bytes):
 
 def surrogates(docs: DataFrame, text: str = "text", key: bytes | None = None, entities: str = "__entities") -> DataFrame:
     """``docs`` with entities replaced in ``text`` and the array ``entities`` of
-    struct<type, start, end>, character positions in the original text."""
+    struct<type, start, end, written>: character positions in the original text, and the length of
+    the surrogate that stands there now."""
     key = key or secret_key(docs.sparkSession)
     ship(docs.sparkSession)
     named = [f"__{i}" if c != text else "__text" for i, c in enumerate(docs.columns)]
     inner = docs.toDF(*named)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema) + ", `__entities` array<struct<type:string,start:bigint,end:bigint>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema) + ", `__entities` array<struct<type:string,start:bigint,end:bigint,written:bigint>>"
     return inner.mapInArrow(_rewritten(key), schema).toDF(*docs.columns, entities)
 
 
-def _pairs(key: bytes):
-    def run(batches):
-        for b in batches:
-            rows = {(k, canonical(k, t[s:e]), canonical(k, surrogate(k, t[s:e], key))) for t in b.column(0).to_pylist() if t for k, s, e in detect(t)}
-            cols = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["type", "entity", "surrogate"])
-
-    return run
+def _pairs(batches):
+    """Entities and what was written for them, of (original text, new text, entities)."""
+    for b in batches:
+        rows = set()
+        for old, new, entities in zip(*(b.column(i).to_pylist() for i in range(3))):
+            moved = 0
+            for e in entities:
+                at = e["start"] + moved
+                rows.add((e["type"], canonical(e["type"], old[e["start"] : e["end"]]), canonical(e["type"], new[at : at + e["written"]])))
+                moved += e["written"] - (e["end"] - e["start"])
+        cols = list(zip(*rows)) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["type", "entity", "surrogate"])
 
 
 def collisions(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
-    """Entities of one type that share a surrogate, or have several: none."""
-    key = key or secret_key(docs.sparkSession)
-    ship(docs.sparkSession)
-    pairs = docs.select(text).mapInArrow(_pairs(key), "type string, entity string, surrogate string").distinct()
+    """(type, value, n): surrogates of several entities of one type and entities of several
+    surrogates, judged by what ``surrogates`` writes for all of ``docs``. None, unless the
+    maps of a type were not one to one."""
+    both = docs.select(F.col(text).alias("old"), F.col(text).alias("new"))
+    written = surrogates(both, "new", key, "entities").where(F.size("entities") > 0)
+    pairs = written.mapInArrow(_pairs, "type string, entity string, surrogate string").distinct()
     shared = pairs.groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", F.col("surrogate").alias("value"), "n")
     split = pairs.groupBy("type", "entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", F.col("entity").alias("value"), "n")
     return shared.unionByName(split)

@@ -152,3 +152,40 @@ def test_representatives_are_decided_by_row(spark):
     one = [x for x in found if x in table[2:4]], [x for x in found if x in table[9:11]]
     assert [len(x) for x in one] == [1, 1]
     assert len(found) == 8
+
+
+def colliding_words(n=4_000_000):
+    """Words of 16 bytes whose unkeyed hash is that of the first one, by inverting its steps."""
+    from lorekeep.llm import hashing
+
+    rng = np.random.default_rng(1)
+    plain = np.array([c for c in range(0x21, 0x7F) if not 0x41 <= c <= 0x5A], np.uint8)
+    heads = rng.choice(plain, (n, 8))
+    first = np.frombuffer(heads.tobytes(), "<u8")
+    h = hashing.mixed(np.full(1, 17, np.uint64) * hashing._ODD)
+    state = hashing.mixed((h ^ first) * hashing._ODD)
+    tails = (state ^ state[0] ^ np.frombuffer(b"suffixes", "<u8")).astype("<u8").view(np.uint8).reshape(-1, 8)
+    good = np.flatnonzero(np.isin(tails, plain).all(1))
+    return [bytes(np.concatenate([heads[i], tails[i]])).decode() for i in good.tolist()]
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    from lorekeep.llm import hashing
+
+    words = ["mntyadvyuvlsptuk", "cabraael2hwf5j9q"]
+    made = colliding_words()
+    assert len(made) > 50
+    data = np.frombuffer("".join(made).encode(), np.uint8)
+    starts = np.arange(len(made)) * 16
+    assert len(set(hashing.spans_hash(data, starts, starts + 16).tolist())) == 1  # so the key is what keeps them apart
+    texts = dict(enumerate(words + made))
+    assert rows(near_dedup.near_duplicates(documents(spark, texts.items()), 3, 85)) == {i: (1, i, True) for i in texts}
+
+
+def test_a_key_of_the_session(spark):
+    texts = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")]
+    spark.conf.set("spark.lorekeep.hash.key", "some key")
+    try:
+        assert rows(near_dedup.near_duplicates(documents(spark, texts), 3, 85)) == {1: (4, 1, True), 2: (4, 1, False), 3: (1, 3, True)}
+    finally:
+        spark.conf.unset("spark.lorekeep.hash.key")

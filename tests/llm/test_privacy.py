@@ -182,3 +182,29 @@ def test_the_key_comes_from_the_session(spark):
         assert privacy.surrogates(docs).first()["text"] == privacy.surrogate("email", "ann.b@mail.org", b"another") != plain
     finally:
         spark.conf.unset("spark.lorekeep.privacy.key")
+
+
+def test_one_surrogate_an_entity_in_every_document(spark):
+    """Also where a surrogate is another entity of the corpus."""
+    a = "555-123-4567"
+    b = privacy.surrogate("phone", a)
+    c = privacy.surrogate("phone", b)
+    texts = [f"call {a} or {b}", f"call {a}", f"call {b} now", f"{c}; {b}; {a}", f"mail x@y.org, {privacy.surrogate('email', 'x@y.org')}"]
+    docs = documents(spark, enumerate(texts))
+    assert privacy.collisions(docs).count() == 0
+    got = {r.doc_id: r.text for r in privacy.surrogates(docs).collect()}
+    assert got[0] == f"call {b} or {c}" and got[1] == f"call {b}" and got[2] == f"call {c} now"
+
+
+def test_the_check_reads_what_was_written(spark, monkeypatch):
+    """Of a map that is not one to one the collisions are found."""
+    rows = [("a 1", "S 1", [("name", 0, 1, 1)]), ("b 2", "S 2", [("name", 0, 1, 1)]), ("a a", "S Tt", [("name", 0, 1, 1), ("name", 2, 3, 2)])]
+    written = spark.createDataFrame(rows, "old string, new string, entities array<struct<type:string,start:bigint,end:bigint,written:bigint>>")
+    monkeypatch.setattr(privacy, "surrogates", lambda *_: written)
+    found = sorted(tuple(r) for r in privacy.collisions(documents(spark, [(1, "x")])).collect())
+    assert found == [("name", "a", 2), ("name", "s", 2)]
+
+
+def test_years_are_no_card():
+    text = "years 1995 1996 1997 1998 and 2001-2002-2003-2004"
+    assert privacy.rewrite(text) == (text, [])
