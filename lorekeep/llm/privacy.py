@@ -58,7 +58,7 @@ SSN = re.compile(r"\d{3}-\d{2}-\d{4}(?!\w|-\d)")
 CARD = re.compile(r"\d{13,19}(?!\w)")
 CARD_GROUPS = re.compile(r"\d{4}(?:(?: {1,2}|-)\d{2,6})+(?!\w)")
 #: Two years or more in a row, which are neither a card nor a phone number.
-YEARS = re.compile(r"(?:19|20)\d\d(?:[ \-](?:19|20)\d\d)+(?![ \-]?\w)")
+YEARS = re.compile(r"(?:19|20)\d\d(?:[ \-](?:19|20)\d\d)+(?!\w|[ \-]{1,2}\d)")
 FOURS = re.compile(r"\d{4}(?:(?: {1,2}|-)\d{4})+(?!\w)")
 THREE_THREE_FOUR = re.compile(r"(?:\+?1(?: {1,2}|[.\-]))?(?:\(\d{3}\) {0,2}|\d{3}(?: {1,2}|-))\d{3}(?: {1,2}|-)\d{4}(?!\w|-\d)|(?:\+?1[.\- ])?\d{3}\.\d{3}\.\d{4}(?!\w|\.\d)")
 INTERNATIONAL = re.compile(r"\+\d+(?:[ .\-]{0,2}\(\d{1,5}\)[ .\-]{0,2}\d*)?(?:(?: {1,2}|[.\-])\d+)*(?!\w)")
