@@ -1,38 +1,72 @@
 """Range sets by key: containment and distance, without pairing everything.
 
-Ranges fall into buckets of lines, so overlap is an equi-join; the nearest
-range comes from one ordered sweep."""
+A range of integers is the union of at most two cells of each power of two, and a point lies
+in one cell of each. So which points lie in which ranges is an equi-join on cells, whatever
+the ranges' lengths: a range of n lines has about 2 log2(n) rows. Two ranges overlap when one's
+start lies in the other. The nearest range comes from one ordered sweep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucketed(rows: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
-    return rows.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+def _levels(*ranges: tuple[DataFrame, str, str]) -> int:
+    """Powers of two that cells of these ranges can have."""
+    longest = [df.agg(F.max(F.col(end) - F.col(start) + 1)).first()[0] or 1 for df, start, end in ranges]
+    return max(1, *longest).bit_length()
 
 
-def containing(parents: DataFrame, children: DataFrame, key: str, bucket: int = 64) -> DataFrame:
+def cells(start: Column, end: Column, levels: int) -> Column:
+    """array<struct<level, cell>>: the fewest cells that make up start to end, none if
+    end is less than start."""
+    start, end, found = start.cast("long"), end.cast("long") + 1, []
+    for n in range(levels + 1):
+        low, high = -F.shiftright(-start, n), F.shiftright(end, n)
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        first = F.when(odd(low) & (low < high), F.struct(F.lit(n).alias("level"), low.alias("cell")))
+        last = F.when(odd(high) & (low < high), F.struct(F.lit(n).alias("level"), (high - 1).alias("cell")))
+        found += [first, last]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def within(points: DataFrame, ranges: DataFrame, on: list[str], point: str, start: str, end: str, levels: int | None = None) -> DataFrame:
+    """``points`` joined with the ``ranges`` of equal columns ``on`` that hold their ``point``."""
+    levels = _levels((ranges, start, end)) if levels is None else levels
+    of = F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright(F.col(point).cast("long"), n).alias("cell")) for n in range(levels + 1)))
+    x = points.select("*", F.explode(of).alias("__c"))
+    y = ranges.select("*", F.explode(cells(F.col(start), F.col(end), levels)).alias("__c"))
+    return x.join(y, [*on, "__c"]).drop("__c")
+
+
+def overlapping(x: DataFrame, y: DataFrame, on: list[str], s1: str, e1: str, s2: str, e2: str) -> DataFrame:
+    """Pairs of ranges of ``x`` (s1, e1) and ``y`` (s2, e2) that share a line, once each. A range
+    that ends before its start shares none."""
+    x, y = x.where(F.col(s1) <= F.col(e1)), y.where(F.col(s2) <= F.col(e2))
+    levels = _levels((x, s1, e1), (y, s2, e2))
+    first = within(y, x, on, s2, s1, e1, levels)
+    second = within(x, y, on, s1, s2, e2, levels).where(F.col(s1) > F.col(s2))
+    return first.unionByName(second)
+
+
+def containing(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """(key, child, parent) where every range of ``children(key, child, start, end)``
     lies inside some range of ``parents(key, parent, start, end)``."""
     ranged = children.select(key, "child", F.col("start").alias("s1"), F.col("end").alias("e1")).distinct()
-    x = _bucketed(ranged, "s1", "e1", bucket)
-    y = _bucketed(parents.select(key, "parent", F.col("start").alias("s2"), F.col("end").alias("e2")), "s2", "e2", bucket)
-    inside = x.join(y, [key, "__b"]).where("s2 <= s1 and e1 <= e2 and child <> parent").where(F.col("__b") == F.floor(F.col("s1") / bucket))
+    inside = within(ranged, parents.select(key, "parent", F.col("start").alias("s2"), F.col("end").alias("e2")), [key], "s1", "s2", "e2").where("e1 <= e2 and child <> parent")
     covered = inside.select(key, "child", "parent", "s1", "e1").distinct().groupBy(key, "child", "parent").agg(F.count(F.lit(1)).alias("n"))
     return covered.join(ranged.groupBy(key, "child").agg(F.count(F.lit(1)).alias("n")), [key, "child", "n"]).select(key, "child", "parent")
 
 
-def smallest_containing(parents: DataFrame, children: DataFrame, key: str, bucket: int = 64) -> DataFrame:
+def smallest_containing(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Of a child's containing parents the one with the fewest lines (sums of
     range lengths), then the least id."""
     lines = parents.groupBy(key, "parent").agg(F.sum(F.col("end") - F.col("start") + 1).alias("lines"))
-    found = containing(parents, children, key, bucket).join(lines, [key, "parent"])
+    found = containing(parents, children, key).join(lines, [key, "parent"])
     return found.groupBy(key, "child").agg(F.min_by("parent", F.struct("lines", "parent")).alias("parent"))
 
 
-def nearest(parents: DataFrame, children: DataFrame, key: str, bucket: int = 64) -> DataFrame:
+def nearest(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """(key, child, parent, distance): the parent with the smallest gap of lines to
     a child (0 when they touch or overlap), the least id on ties."""
     marks = children.select(key, "child", "start", "end", F.lit(None).cast(parents.schema["parent"].dataType).alias("parent")).unionByName(
@@ -40,7 +74,7 @@ def nearest(parents: DataFrame, children: DataFrame, key: str, bucket: int = 64)
     )
     is_parent = F.col("parent").isNotNull()
     # Reaching furthest among parents that start no later, and starting first among later ones;
-    # of those that touch or overlap the child, which may be many, a join of buckets finds the least.
+    # of those that touch or overlap the child, which may be many, a join of cells finds the least.
     before = Window.partitionBy(key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(key).orderBy("start").rangeBetween(0, Window.unboundedFollowing)
     low = F.min(F.when(is_parent, F.struct((-F.col("end")).alias("back"), "parent"))).over(before)
@@ -59,9 +93,9 @@ def nearest(parents: DataFrame, children: DataFrame, key: str, bucket: int = 64)
             )
         ).alias("g"),
     )
-    x = _bucketed(children.select(key, "child", (F.col("start") - 1).alias("s1"), (F.col("end") + 1).alias("e1")), "s1", "e1", bucket)
-    y = _bucketed(parents.select(key, "parent", F.col("start").alias("s2"), F.col("end").alias("e2")), "s2", "e2", bucket)
-    met = x.join(y, [key, "__b"]).where("s2 <= e1 and s1 <= e2").select(key, "child", F.struct(F.lit(0).cast("long").alias("distance"), "parent").alias("g"))
+    x = children.select(key, "child", (F.col("start") - 1).alias("s1"), (F.col("end") + 1).alias("e1"))
+    y = parents.select(key, "parent", F.col("start").alias("s2"), F.col("end").alias("e2"))
+    met = overlapping(x, y, [key], "s1", "e1", "s2", "e2").select(key, "child", F.struct(F.lit(0).cast("long").alias("distance"), "parent").alias("g"))
     return gaps.unionByName(met).groupBy(key, "child").agg(F.min("g").alias("g")).select(key, "child", "g.parent", "g.distance")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.intervals import overlapping
+
 
 def changed_sources(current: DataFrame, stored: DataFrame) -> DataFrame:
     """(path, hash, status) of ``current(path, hash)`` against ``stored``: ``new``
@@ -136,14 +138,12 @@ def line_gaps(sources: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     return ends.withColumn("__r", reach).where(F.col("start") > F.col("__r") + 1).select(key, (F.col("__r") + 1).alias("gap_start"), (F.col("start") - 1).alias("gap_end"))
 
 
-def overlap_assignment(items: DataFrame, bundles: DataFrame, key: str, item: str, bundle: str, bucket: int = 64) -> DataFrame:
+def overlap_assignment(items: DataFrame, bundles: DataFrame, key: str, item: str, bundle: str) -> DataFrame:
     """(key, item, bundle, overlap): each item's bundle with the most overlapping
-    lines, then the primary one, then the first by ``pos``. Both sides' ranges
-    fall into buckets of lines, so the interval join is an equi-join; a pair of ranges counts in its first common bucket."""
-    cut = lambda d, a, b: d.withColumn("__b", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))))
-    x = cut(items.select(key, item, F.col("start").alias("s1"), F.col("end").alias("e1")), "s1", "e1")
-    y = cut(bundles.select(key, bundle, "primary", "pos", F.col("start").alias("s2"), F.col("end").alias("e2")), "s2", "e2")
-    met = x.join(y, [key, "__b"]).where("s1 <= e2 and s2 <= e1").where(F.col("__b") == F.floor(F.greatest("s1", "s2") / bucket))
+    lines, then the primary one, then the first by ``pos``."""
+    x = items.select(key, item, F.col("start").alias("s1"), F.col("end").alias("e1"))
+    y = bundles.select(key, bundle, "primary", "pos", F.col("start").alias("s2"), F.col("end").alias("e2"))
+    met = overlapping(x, y, [key], "s1", "e1", "s2", "e2")
     lines = F.least("e1", "e2") - F.greatest("s1", "s2") + 1
     summed = met.groupBy(key, item, bundle, "primary", "pos").agg(F.sum(lines).alias("overlap"))
     w = Window.partitionBy(key, item).orderBy(F.col("overlap").desc(), F.col("primary").desc(), "pos")

@@ -12,7 +12,7 @@ def test_containment_and_distance(spark):
     children = [(1, c, s := rng.randrange(400), s + rng.randrange(30)) for c in range(100, 125) for _ in range(2)]
     a, b = spark.createDataFrame(parents, "k int, parent int, start int, end int"), spark.createDataFrame(children, "k int, child int, start int, end int")
     want = {(c, p) for c in range(100, 125) for p in range(1, 12) if all(any(q == p and s2 <= s1 and e1 <= e2 for _, q, s2, e2 in parents) for _, x, s1, e1 in children if x == c)}
-    assert {(r.child, r.parent) for r in intervals.containing(a, b, "k", 16).collect()} == want
+    assert {(r.child, r.parent) for r in intervals.containing(a, b, "k").collect()} == want
     size = {p: e - s + 1 for _, p, s, e in parents}
     least = {c: min((size[p], p) for x, p in want if x == c)[1] for c, _ in want}
     assert {r.child: r.parent for r in intervals.smallest_containing(a, b, "k").collect()} == least
@@ -22,6 +22,31 @@ def test_containment_and_distance(spark):
         assert r.parent == min(p for p in range(1, 12) if gap(r.child, p) == r.distance)
 
 
+def test_cells_tile_a_range(spark):
+    rng = random.Random(2)
+    ranges = [(s, s + rng.randrange(1 << rng.randrange(1, 12))) for s in (rng.randrange(-500, 3000) for _ in range(200))] + [(0, 0), (7, 6), (-8, -1), (5, 10**9 + 5), (1, (1 << 40) - 1)]
+    df = spark.createDataFrame(ranges, "s long, e long").select("s", "e", intervals.cells(F.col("s"), F.col("e"), 41).alias("c"))
+    for r in df.collect():
+        spans = sorted((c.cell << c.level, (c.cell + 1) << c.level) for c in r.c)
+        assert len(spans) <= 2 * max(1, (r.e - r.s + 1).bit_length())
+        if r.e < r.s:
+            assert not spans
+        else:
+            assert spans[0][0] == r.s and spans[-1][1] == r.e + 1 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_overlaps_of_ranges_of_any_length(spark):
+    rng = random.Random(3)
+    made = lambda n: [(rng.randrange(3), i, s := rng.randrange(-300, 10**10), s + rng.choice([0, 3, 10**5, 10**9]) - rng.choice([0, 0, 1])) for i in range(n)]
+    xs, ys = made(60) + [(0, 900, 5, 10**9), (1, 901, None, 4)], made(60) + [(0, 900, 10**9, 10**9 + 7), (0, 901, 10, 20), (1, 902, 10**9 + 1, 10**9)]
+    x, y = spark.createDataFrame(xs, "k int, i int, s1 long, e1 long"), spark.createDataFrame(ys, "k int, j int, s2 long, e2 long")
+    want = sorted((i, j) for k, i, a, b in xs for m, j, c, d in ys if k == m and a is not None and a <= b and c <= d and a <= d and c <= b)
+    assert sorted((r.i, r.j) for r in intervals.overlapping(x, y, ["k"], "s1", "e1", "s2", "e2").collect()) == want
+    points = spark.createDataFrame([(0, 7), (0, 10**9), (0, 10**9 + 1), (2, 7), (0, None)], "k int, p long")
+    one = spark.createDataFrame([(0, 5, 10**9)], "k int, s long, e long")
+    assert sorted(r.p for r in intervals.within(points, one, ["k"], "p", "s", "e").collect()) == [7, 10**9]
+
+
 def test_export(spark):
     pages = spark.createDataFrame([("t/a.md", "---\nx: 1\n---\n# A\n[[b|Bee]] [[gone]]"), ("t/b.md", "no title"), ("u/c.md", None)], "path string, content string")
     descriptions = spark.createDataFrame([("t/a.md", "about a")], "path string, description string")

@@ -177,7 +177,7 @@ def test_overlap_assignment_matches_loops(spark):
     rng = random.Random(4)
     items = [(1, i, s := rng.randrange(300), s + rng.randrange(100)) for i in range(40)]
     bundles = [(1, b, b % 2 == 0, b, s := rng.randrange(300), s + rng.randrange(150)) for b in range(12)]
-    got = maintenance.overlap_assignment(spark.createDataFrame(items, "k int, item int, start int, end int"), spark.createDataFrame(bundles, "k int, bundle int, primary boolean, pos int, start int, end int"), "k", "item", "bundle", bucket=16)
+    got = maintenance.overlap_assignment(spark.createDataFrame(items, "k int, item int, start int, end int"), spark.createDataFrame(bundles, "k int, bundle int, primary boolean, pos int, start int, end int"), "k", "item", "bundle")
     want = {}
     for _, i, s, e in items:
         best = max(((min(e, y) - max(s, x) + 1, p, -pos, b) for _, b, p, pos, x, y in bundles if s <= y and x <= e), default=None)
