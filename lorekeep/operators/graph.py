@@ -10,6 +10,8 @@ from lorekeep.storage import materialise
 
 WIKI_LINK = r"\[\[([^\]|#]+)"
 HREF = r'href="([^"]*)"'
+#: Links of a node in one part; the share of open nodes from which a frontier is large.
+HUB, LARGE = 10_000, 0.2
 
 
 def link_edges(pages: DataFrame, id_: str, content: str, pattern: str = WIKI_LINK, target=lambda t: F.trim(t)) -> DataFrame:
@@ -56,23 +58,44 @@ def dead_links_by_suffix(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(suffixes, "dst", "left_anti")
 
 
-def bfs(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, group: list[str] = ()) -> DataFrame:
+def salted(steps: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """(steps (a, b) with a ``part``, hubs (a, parts)): the steps from a node of more than ``hub``
+    are dealt into as many parts as they fill, so that no key holds many more than ``hub`` rows."""
+    hubs = steps.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub).cast("long").alias("parts")).where("parts > 1")
+    dealt = steps.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+    return dealt, hubs
+
+
+def bfs(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, group: list[str] = (), hub: int = HUB) -> DataFrame:
     """(*group, id, hop): nodes within ``depth`` hops of the seeds, links taken
     both ways, with the hop of first discovery. Links lead forward only to known
-    nodes; a seed stays even if unknown, and still expands backwards. Each hop
-    is two equi-joins less what is visited; depth beyond three is written between hops."""
+    nodes; a seed stays even if unknown, and still expands backwards.
+
+    Each hop is an equi-join on (node, part), less what is visited: a hub's links lie in parts
+    of bounded size, and a frontier row of a hub goes to each. Without a group, a frontier of more than a
+    ``LARGE`` share of the open nodes is met from their side: an open node is reached if one
+    of its links leads to the frontier, whichever. Every hop is written."""
     group = list(group)
     forward = edges.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    steps = forward.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    visited = seeds.select(*group, "id").distinct().withColumn("hop", F.lit(0))
-    frontier = visited
+    steps = materialise(forward.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a is not null and b is not null").distinct(), "bfs-steps")
+    dealt, hubs = salted(steps, hub)
+    dealt, hubs = materialise(dealt, "bfs-parts"), materialise(hubs, "bfs-hubs")
+    visited = frontier = materialise(seeds.select(*group, "id").distinct().withColumn("hop", F.lit(0)), "bfs-hop")
     for hop in range(1, depth + 1):
-        reached = frontier.join(steps, F.col("id") == F.col("a")).select(*group, F.col("b").alias("id")).distinct()
-        frontier = reached.join(visited.select(*group, "id"), [*group, "id"], "left_anti").withColumn("hop", F.lit(hop))
+        far = None
+        if not group and hop > 1:
+            far = steps.select(F.col("b").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
+            far = far if frontier.count() > far.count() * LARGE else None
+        if far is not None:
+            met = dealt.join(far, F.col("b") == F.col("id"), "left_semi")
+            reached = met.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        else:
+            parts = frontier.join(hubs, F.col("id") == F.col("a"), "left").select(*group, "id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"))
+            reached = parts.join(dealt.withColumnRenamed("part", "own"), (F.col("id") == F.col("a")) & (F.col("part") == F.col("own"))).select(*group, F.col("b").alias("id")).distinct()
+        frontier = materialise(reached.join(visited.select(*group, "id"), [*group, "id"], "left_anti").withColumn("hop", F.lit(hop)), "bfs-hop")
         visited = visited.unionByName(frontier)
-        if hop >= 3 and hop < depth:
-            visited = materialise(visited, "bfs")
-            frontier = visited.where(F.col("hop") == hop)
+        if frontier.isEmpty():
+            break
     return visited
 
 
@@ -81,8 +104,10 @@ def bfs_ranked(expanded: DataFrame, scores: DataFrame, group: list[str], top_k:
     if top_k <= 0:
         return expanded.select(*group, "id", "hop")
     scored = expanded.where("hop > 0").join(scores.select(*group, "id", "score"), [*group, "id"])
-    w = Window.partitionBy(*group).orderBy(F.col("score").desc(), "id") if group else Window.orderBy(F.col("score").desc(), "id")
-    best = scored.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top_k).select(*group, "id", "hop")
+    order = [F.col("score").desc(), F.col("id")]
+    if group:
+        scored = scored.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= top_k)
+    best = (scored if group else scored.orderBy(*order).limit(top_k)).select(*group, "id", "hop")
     return expanded.where("hop = 0").select(*group, "id", "hop").unionByName(best)
 
 
