@@ -6,6 +6,7 @@ same state by key. A late or impossible event becomes a violation row, and the s
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,6 +70,22 @@ def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _judged(state: tuple[int, int, bool], kind: str | None, time: int | None, phases: dict[str, int], terminal: int) -> tuple[tuple[int, int, bool], str | None]:
+    """(state after an event, its problem), by the rules of ``violations``."""
+    rank, last, done = state
+    r = phases.get(kind)
+    problem = "after terminal" if done else "out of order" if r is not None and r < rank else "time decreases" if time is not None and time < last else None
+    return (NO_PHASE if r is None else r, NO_TIME if time is None else time, done or (r is not None and r >= terminal)), problem
+
+
+def _violation_rows(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["user_id", "event_id", "problem"]).astype({"user_id": "int64", "event_id": "int64"})
+
+
+def _micros(ts) -> int | None:
+    return None if pd.isna(ts) else pd.Timestamp(ts).value // 1000
+
+
 def lifecycle_stream(events: DataFrame, phases: dict[str, int] = EVENT_PHASES, terminal: int = TERMINAL, forget_ms: int | None = None) -> DataFrame:
     """Violations of a stream of (user_id, event_id, ts, event_type), with each
     key's phase, time and whether it has ended as state. Events of one micro-batch
@@ -80,32 +97,67 @@ def lifecycle_stream(events: DataFrame, phases: dict[str, int] = EVENT_PHASES, t
         if state.hasTimedOut:
             state.remove()
             return
-        rank, last, done = state.get if state.exists else (NO_PHASE, NO_TIME, False)
-        rows = pd.concat(list(batches)).sort_values("event_id")
+        held = tuple(state.get) if state.exists else (NO_PHASE, NO_TIME, False)
         out = []
-        for e in rows.itertuples():
-            r = phases.get(e.event_type)
-            t = None if pd.isna(e.ts) else int(pd.Timestamp(e.ts).as_unit("us").value)
-            problem = "after terminal" if done else "out of order" if r is not None and r < rank else "time decreases" if t is not None and t < last else None
+        for e in pd.concat(list(batches)).sort_values("event_id").itertuples():
+            held, problem = _judged(held, e.event_type, _micros(e.ts), phases, terminal)
             if problem:
                 out.append((key[0], e.event_id, problem))
-            done = done or (r is not None and r >= terminal)
-            rank, last = NO_PHASE if r is None else r, NO_TIME if t is None else t
-        state.update((rank, last, done))
+        state.update(held)
         if forget_ms:
             state.setTimeoutDuration(forget_ms)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "problem"]).astype({"user_id": "int64", "event_id": "int64"})
+        yield _violation_rows(out)
 
     timeout = "ProcessingTimeTimeout" if forget_ms else "NoTimeout"
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, problem string", "rank int, last long, done boolean", "append", timeout)
 
 
-def ingest_changed(stream: DataFrame, target: str, checkpoint: str, keys: list[str]):
+def ordered_lifecycle_stream(events: DataFrame, delay: str = "10 minutes", slack_ms: int = 600_000, phases: dict[str, int] = EVENT_PHASES, terminal: int = TERMINAL, forget_ms: int | None = None) -> DataFrame:
+    """Violations of a stream whose events of a key may come in any order, also over micro-batches.
+
+    A key's events wait in its state, in order of ``event_id``. The foremost are judged once the
+    watermark (``delay`` behind the latest time) is ``slack_ms`` past their times; an event-time timer
+    wakes keys without new events. So results are those of ``violations``, as long as no event
+    comes later than ``delay`` and none of a lower id has a time that is more than ``slack_ms`` later.
+    Later events are dropped, as are those without a time. A key that has nothing waiting
+    is forgotten ``forget_ms`` of event time after its last event, if that is given."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rank, last, done, waiting = state.get if state.exists else (NO_PHASE, NO_TIME, False, "[]")
+        held, queue = (rank, last, done), [tuple(x) for x in json.loads(waiting)]
+        if not state.hasTimedOut:
+            for e in pd.concat(list(batches)).itertuples():
+                queue.append((int(e.event_id), _micros(e.ts), None if pd.isna(e.event_type) else e.event_type))
+            queue.sort(key=lambda x: x[:2])
+        elif not queue:
+            state.remove()
+            return
+        past, out = state.getCurrentWatermarkMs(), []
+        while queue and queue[0][1] // 1000 + slack_ms <= past:
+            event_id, time, kind = queue.pop(0)
+            held, problem = _judged(held, kind, time, phases, terminal)
+            if problem:
+                out.append((key[0], event_id, problem))
+        state.update((*held, json.dumps(queue)))
+        if queue:  # later than the watermark, which is where the foremost is judged
+            state.setTimeoutTimestamp(max(past, queue[0][1] // 1000 + slack_ms) + 1)
+        elif forget_ms:
+            state.setTimeoutTimestamp(max(past, held[1] // 1000 + forget_ms) + 1)
+        yield _violation_rows(out)
+
+    timed = events.where("ts is not null").withWatermark("ts", delay)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, problem string", "rank int, last long, done boolean, waiting string", "append", "EventTimeTimeout")
+
+
+def ingest_changed(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str | None = None):
     """Writes each micro-batch of changed rows under its own id, so a batch that
-    is delivered again overwrites itself; readers take the last row of each key."""
+    is delivered again overwrites itself; readers take the last row of each key. Of several rows of a key
+    in a batch the last by ``order`` counts, without it the greatest by all columns."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        rest = [c for c in batch.columns if c not in keys]
+        last = F.max_by(F.struct(*rest), F.struct(*([order] if order else []), *rest)).alias("__last")
+        batch.groupBy(*keys).agg(last).select(*[c if c in keys else F.col(f"__last.{c}").alias(c) for c in batch.columns]).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
