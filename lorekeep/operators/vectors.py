@@ -85,28 +85,36 @@ def _slices(ids: np.ndarray, q: np.ndarray, x: np.ndarray):
         yield ids[i : i + SLICE], x @ q[i : i + SLICE].T
 
 
-def _best(held, limit: int | None):
+def _among_best(block: np.ndarray, limit: int | None) -> np.ndarray:
+    """Which rows are among the ``limit`` best of each column; ties stay in."""
+    if not limit or limit >= len(block):
+        return np.ones_like(block, bool)
+    return block >= np.partition(block, len(block) - limit, axis=0)[len(block) - limit] - 1e-6
+
+
+def _best(held, limit: int | None, each_group: bool):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            keep = min(limit, b.num_rows) if limit else b.num_rows
+            at_group = b.column(2).dictionary_encode(null_encoding="encode").indices.to_numpy() if each_group else np.zeros(b.num_rows, int)
+            order = np.argsort(at_group, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(at_group[order])) + 1)
             for ids, block in _slices(*held.value, unit(_matrix(b.column(1)))):
-                if keep < b.num_rows:
-                    kth = np.partition(block, b.num_rows - keep, axis=0)[b.num_rows - keep] - 1e-6
-                    at, col = np.nonzero(block >= kth)  # ties stay in
-                else:
-                    at, col = np.nonzero(np.ones_like(block, bool))
+                keep = np.zeros_like(block, bool)
+                for own in parts:
+                    keep[own] = _among_best(block[own], limit)
+                at, col = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[col]), b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(np.round(block[at, col], 6))], ["query", "id", "group", "cosine"])
 
     return run
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, group: str | None = None, limit: int | None = None) -> DataFrame:
-    """(query, id, group, cosine), for each query at least its ``limit`` best
-    rows of every block, or all rows. ``queries(id, vector)`` go in rounds of a
+def similarities(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, group: str | None = None, limit: int | None = None, each_group: bool = False) -> DataFrame:
+    """(query, id, group, cosine), for each query at least its ``limit`` best rows of
+    every block (of each group in it, with ``each_group``), or all rows. ``queries(id, vector)`` go in rounds of a
     bounded size; queries of another size than the longest have no rows."""
-    return _against(queries, vectors, id_, vector, group or id_, lambda held: _best(held, limit), "query {id}, id {id}, group {group}, cosine double")
+    return _against(queries, vectors, id_, vector, group or id_, lambda held: _best(held, limit, each_group), "query {id}, id {id}, group {group}, cosine double")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, limit: int, exclude_self: bool = True) -> DataFrame:

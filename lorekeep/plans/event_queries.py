@@ -52,8 +52,8 @@ def run_status(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, sum((props->>'k')::BIGINT) AS tokens, round(1000 * sum((props->>'k')::BIGINT) / sum(value), 6) AS per_second, list_sort(list(value))[floor(count(*) / 2)::BIGINT + 1] AS upper_median FROM events GROUP BY user_id""")
 def speed_report(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    values = F.sort_array(F.collect_list("value"))
-    return load(spark, d, "events").groupBy("user_id").agg(F.sum(k).alias("tokens"), F.round(1000 * F.sum(k) / F.sum("value"), 6).alias("per_second"), F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1).alias("upper_median"))
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)").alias("upper_median")
+    return load(spark, d, "events").groupBy("user_id").agg(F.sum(k).alias("tokens"), F.round(1000 * F.sum(k) / F.sum("value"), 6).alias("per_second"), upper)
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

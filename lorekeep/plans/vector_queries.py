@@ -127,7 +127,7 @@ def dense_gate(spark: SparkSession, d: str) -> DataFrame:
     SELECT query, label, id, cosine, rank FROM r WHERE rank <= 3""")
 def topk_per_entity(spark: SparkSession, d: str) -> DataFrame:
     q, rows = _split(spark, d)
-    scored = vectors.similarities(q, rows, "vec_id", "embedding", "label").withColumnRenamed("group", "label")
+    scored = vectors.similarities(q, rows, "vec_id", "embedding", "label", 3, each_group=True).withColumnRenamed("group", "label")
     return lexical.top_by_group(scored, ["query", "label"], [F.col("cosine").desc(), F.col("id")], 3)
 
 
@@ -148,10 +148,11 @@ def recall_ndcg_mrr(spark: SparkSession, d: str) -> DataFrame:
     SELECT query, round(count(b.id) / 10, 6) AS overlap FROM (SELECT * FROM a WHERE rank <= 10) a LEFT JOIN (SELECT * FROM b WHERE rank <= 10) b USING (query, id) GROUP BY query""")
 def overlap_at_k(spark: SparkSession, d: str) -> DataFrame:
     q, rows = _split(spark, d)
-    scored = vectors.similarities(q, rows, "vec_id", "embedding", "label").where("query <> id")
+    # Ten rows beside the query's own; ties stay in, so either order of ids can be taken.
+    best = lambda rows: vectors.similarities(q, rows, "vec_id", "embedding", limit=11).where("query <> id")
     w = Window.partitionBy("query")
-    a = scored.withColumn("rank", F.row_number().over(w.orderBy(F.col("cosine").desc(), "id")))
-    b = scored.where(F.col("group") != 0).withColumn("rank", F.row_number().over(w.orderBy(F.col("cosine").desc(), F.col("id").desc())))
+    a = best(rows).withColumn("rank", F.row_number().over(w.orderBy(F.col("cosine").desc(), "id")))
+    b = best(rows.where("label <> 0")).withColumn("rank", F.row_number().over(w.orderBy(F.col("cosine").desc(), F.col("id").desc())))
     return ranking.overlap_ratio(a, b, ["query"], "id", 10)
 
 
