@@ -2,7 +2,9 @@ import math
 import os
 import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,13 +52,24 @@ def test_terms(spark):
     assert [r[0] for r in df.select(ranked_search.terms(F.col("text"))).collect()] == [words(t) for t in texts]
 
 
-@pytest.mark.parametrize("shard,block", [(1 << 20, 1 << 20), (37, 64), (1, 1)])
-def test_against_brute_force(spark, monkeypatch, shard, block):
+@pytest.mark.parametrize("block", [1 << 20, 64, 1])
+def test_counts_of_long_texts(monkeypatch, block):
+    """A text that is read in several parts counts as one."""
+    monkeypatch.setattr(ranked_search, "BLOCK", block)
+    texts = ["a b a. B-a", None, "", " ", "x " * 100 + "a", "-- !", "日本 a日 É"]
+    asked = pa.array([b"a", b"b", "日本".encode()], pa.large_binary())
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    got = next(ranked_search._count(SimpleNamespace(value=asked), ["key", "n", "codes", "counts"])([batch])).to_pylist()
+    want = [{"key": i, "n": len(words(t)), "codes": [c for c, x in enumerate(("a", "b", "日本")) if x in words(t)], "counts": [words(t).count(x) for x in ("a", "b", "日本") if x in words(t)]} for i, t in enumerate(texts) if words(t)]
+    assert got == want
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 37, 1])
+def test_against_brute_force(spark, shard):
     rng = random.Random(shard)
     text = lambda n: " ".join(f"W{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(n))
     docs = [(i, text(rng.randrange(30))) for i in range(250)] + [(700, "w1 w2 w3"), (650, "w1 w2 w3"), (650, "w1 w2 w3"), (None, "w1 w2 w3"), (800, None), (801, ""), (802, " -- "), (803, "w1 " * 5000)]
     items = [(i, text(6)) for i in range(12)] + [(3, "w1 w1 w2"), (3, "w1 w1 w2"), (None, "w3"), (90, ""), (91, None), (92, "absent"), (93, "w1 w2 w3")]
-    monkeypatch.setattr(ranked_search, "BLOCK", block)
     q = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS number", "2 AS terms", "3 AS score")
     got = rows(ranked_search.ranked_search(q, documents(spark, docs, extra=True).repartition(3), limit=10, shard=shard))
     assert got == sorted(brute_force(items, docs), key=repr)
