@@ -168,7 +168,7 @@ def estimate_tokens(text: Column, calibration: float = 1.0) -> Column:
 
 def estimate_messages(texts: Column, images: Column | None = None, calibration: float = 1.0) -> Column:
     """Estimate of an array of message texts, with an allowance a message and an image."""
-    total = F.aggregate(F.transform(texts, estimate_tokens), F.lit(0).cast("long"), lambda n, x: n + MESSAGE_TOKENS + x)
+    total = F.aggregate(F.transform(texts, lambda t: estimate_tokens(t)), F.lit(0).cast("long"), lambda n, x: n + MESSAGE_TOKENS + x)
     if images is not None:
         total = total + images * MEDIA_TOKENS
     return F.ceil(total * calibration).cast("long")

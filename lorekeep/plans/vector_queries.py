@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import floors, lexical, ranking, similarity_join, vectors
+from lorekeep.operators import export, floors, lexical, ranking, similarity_join, vectors
 from lorekeep.plans import indexes
 from lorekeep.plans.registry import query, sql_set, sql_tokens
 from lorekeep.storage import load
@@ -131,6 +131,18 @@ def topk_per_entity(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_by_group(scored, ["query", "label"], [F.col("cosine").desc(), F.col("id")], 3)
 
 
+@query(f"""WITH {_PAIRS}, a AS (SELECT query, id, cosine AS score, 0 AS ord FROM s WHERE label < 6 QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) <= 8),
+    b AS (SELECT query, id, round(cosine * 0.9::DOUBLE, 6) AS score, 1 AS ord FROM s WHERE label > 3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) <= 8),
+    o AS (SELECT * FROM (FROM a UNION ALL FROM b) QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY ord DESC) = 1)
+    SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM o QUALIFY rank <= 10""")
+def cross_domain_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Questions to two overlapping domains: the best eight of each are one pool, in
+    which what both hold counts as the second domain scores it."""
+    q, rows = _split(spark, d)
+    found = [vectors.top_k(q, rows.where(part), "vec_id", "embedding", 8, exclude_self=False).select("query", "id", score.alias("score"), F.lit(n).alias("ord")) for n, (part, score) in enumerate((("label < 6", F.col("cosine")), ("label > 3", F.round(F.col("cosine") * 0.9, 6))))]
+    return export.merge_pools(found[0].unionByName(found[1]), ["query"], "ord", 10).select("query", "id", "score", "rank")
+
+
 @query(f"""WITH {_PAIRS}, h AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM s WHERE query <> id),
     g AS (SELECT q.vec_id AS query, v.vec_id AS id, 1 + v.vec_id % 3 AS grade FROM v q JOIN v ON q.label = v.label AND q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
     t AS (SELECT query, count(*) AS hits, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg, min(rank) AS first FROM h JOIN g USING (query, id) WHERE rank <= 10 GROUP BY query),
