@@ -40,7 +40,7 @@ END = 1
 DIMENSIONS, BITS, HASHED = 3, 10, 256
 #: Bytes of text that are encoded together, of parts and of words that a worker
 #: remembers (none longer than ``SHORT`` letters), and what each takes beside its letters.
-BLOCK, PARTS, WORDS, SHORT, OVERHEAD = 8 << 20, 64 << 20, 128 << 20, 64, 220
+BLOCK, PARTS, WORDS, SHORT, OVERHEAD = 8 << 20, 40 << 20, 80 << 20, 64, 220
 #: The pre-tokeniser's pattern for lower-case ASCII; then the line end between words.
 PATTERN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\s0-9a-z]+|\n", re.ASCII)
 
