@@ -68,6 +68,34 @@ def test_against_every_window(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 5])
+def test_large_groups_are_split(spark, monkeypatch, most):
+    sizes, settle = [], suffix_dedup._settled
+
+    def watched(members, length, gram, limit):
+        sizes.append(members.groupBy("h").count().agg({"count": "max"}).first()[0])
+        return settle(members, length, gram, most)
+
+    monkeypatch.setattr(suffix_dedup, "_settled", watched)
+    texts = made_up(random.Random(12))
+    assert rows(suffix_dedup.remove_repeats(documents(spark, list(enumerate(texts))))) == expected(range(len(texts)), texts)
+    assert sizes[0] > most  # else nothing was split
+
+
+def test_a_text_gives_its_contexts_once(spark, monkeypatch):
+    members, settle = [], suffix_dedup._settled
+    monkeypatch.setattr(suffix_dedup, "_settled", lambda m, *a: members.append(m.count()) or settle(m, *a))
+    rng = random.Random(13)
+    some = lambda n: " ".join(f"{rng.randrange(10**6):x}" for _ in range(n))
+    copy, passage = some(500), some(40)
+    one = [copy] * 30
+    assert rows(suffix_dedup.remove_repeats(documents(spark, list(enumerate(one))))) == expected(range(30), one)
+    assert members == [0]  # equal contexts cover themselves
+    two = [some(60) + passage + some(60)] * 30 + [some(60) + passage + some(60)]
+    assert rows(suffix_dedup.remove_repeats(documents(spark, list(enumerate(two))))) == expected(range(31), two)
+    assert 2 <= members[1] <= 12
+
+
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(hashing, "BLOCK", 2000)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
