@@ -5,8 +5,8 @@ blocks of ``ROWS``. A task multiplies one block with another, so it never holds
 blocks and their tile, however large the table, a label or a cluster.
 
 * **Exact.** Every two blocks meet, unless their centres are so far apart that no two rows
-  can reach the threshold (the angles' triangle inequality). Blocks fall into groups of a grid, and
-  a block goes to each group once.
+  can reach the threshold (the angles' triangle inequality). Blocks fall into at most ``SIDE``
+  groups, and two groups meet in a task: a block is sent ``SIDE`` + 1 times, however large the table.
 * **By random projection.** Each row has ``tables`` signatures of ``bits`` signs. Only
   blocks that share a bucket meet, and rows of other buckets in them are passed over. A link
   counts in the first table that finds it. How many tables are needed follows from the threshold
@@ -19,6 +19,7 @@ meet in pairs, spread over tasks.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from lorekeep.operators.vectors import unit, usable
 from lorekeep.storage import materialise, ship
 
-#: Rows of a block, blocks of a side in a cell of the grid, pivots that order the rows, most tables.
-ROWS, CELL, PIVOTS, MOST_TABLES = 1024, 4, 32, 64
+#: Rows of a block, least blocks of a group, most groups, pivots that order the rows, most tables
+#: (each is a copy of all vectors on disk).
+ROWS, CELL, SIDE, PIVOTS, MOST_TABLES = 1024, 4, 8, 32, 16
 
 
 def _flat(column: pa.Array, rows: int) -> np.ndarray:
@@ -56,7 +58,7 @@ def _keyed(work, extra: list[str]):
 
 
 def _cut(rows: int, names: list[str]):
-    """Blocks of sorted (uid, id, grp, vector, key, signature): first uid, lists, unit vectors,
+    """Blocks of sorted (uid, id, grp, vector, key, signature): first uid, lists, vectors as given,
     centre and radius, least and greatest key. A block stays within one ``table`` (or cell)."""
 
     def run(batches):
@@ -70,7 +72,8 @@ def _cut(rows: int, names: list[str]):
             keys = b.column("key")
             one = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c))
             columns = [pa.array([b.column("uid")[0].as_py()]), pa.array([table], pa.int32()), one("id"), one("grp"), one("uid"), one("key"), one("signature")]
-            columns += [pa.array([x.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), keys[:1], keys[-1:]]
+            given = b.column("vector").flatten().to_numpy(zero_copy_only=False)
+            columns += [pa.array([given.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), keys[:1], keys[-1:]]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for b in batches:
@@ -134,19 +137,26 @@ def reaching(threshold: float) -> Column:
 
 def exact_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
     """(a, b): every two blocks, each with itself too, that can hold a link."""
-    side = max(1, -(-blocks.count() // CELL))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long")))
-    held = blocks.select(F.struct("*").alias("x"), F.pmod(F.xxhash64("block"), F.lit(side)).alias("own"))
-    a, b = held.select(F.col("x").alias("a"), F.col("own").alias("row"), every.alias("column")), held.select(F.col("x").alias("b"), F.col("own").alias("column"), every.alias("row"))
-    return a.join(b, ["row", "column"]).where((F.col("a.block") <= F.col("b.block")) & reaching(threshold)).select("a", "b")
+    side = max(1, min(SIDE, -(-blocks.count() // CELL)))
+    own, last = F.pmod(F.xxhash64("block"), F.lit(side)), F.lit(side - 1).cast("long")
+    held = blocks.select(F.struct("block", "tbl", "ids", "groups", "uids", "data", "centre", "radius").alias("x"), own.alias("own"))
+    # Cells on one side of the diagonal: a group is the row of those from its own on, the column of those up to it.
+    a = held.select(F.col("x").alias("a"), F.col("own").alias("row"), F.explode(F.sequence("own", last)).alias("column"))
+    b = held.select(F.col("x").alias("b"), F.col("own").alias("column"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("row"))
+    a, b = (x.repartition(side * (side + 1), "row", "column") for x in (a, b))
+    once = (F.col("row") < F.col("column")) | (F.col("a.block") <= F.col("b.block"))
+    return a.join(b, ["row", "column"]).where(once & reaching(threshold)).select("a", "b")
 
 
 class _Block:
     def __init__(self, s: pa.StructScalar):
         self.block, self.table = s["block"].as_py(), s["tbl"].as_py()
         self.uids = s["uids"].values.to_numpy()
-        self.ids, self.groups, self.keys, self.signatures = (s[n].values for n in ("ids", "groups", "keys", "signatures"))
-        self.x = np.frombuffer(s["data"].as_buffer(), np.float64).reshape(len(self.uids), -1)
+        self.ids, self.groups = s["ids"].values, s["groups"].values
+        self.keys, self.signatures = (s[n].values if n in s else None for n in ("keys", "signatures"))
+        data, dims = s["data"].as_buffer(), len(s["centre"].values)
+        kind = np.float64 if len(data) == 8 * dims * len(self.uids) else np.float32
+        self.x = unit(np.frombuffer(data, kind).astype(np.float64).reshape(len(self.uids), -1))
 
 
 def _over_pairs(work, names: list[str]):
@@ -200,6 +210,25 @@ def similarity_links(vectors: DataFrame, id_: str, vector: str, threshold: float
     return _counted(exact_pairs(exact_blocks(vectors, id_, vector, rows=rows), threshold), threshold, False)
 
 
+def _totals(thresholds: list[float]):
+    def work(a: _Block, b: _Block, same: bool):
+        tile = np.round(a.x @ b.x.T, 6)
+        if same:
+            np.fill_diagonal(tile, -np.inf)
+        yield [pa.array(thresholds, pa.float64()), pa.array([int((tile >= t).sum()) * (1 if same else 2) for t in thresholds], pa.int64())]
+
+    return work
+
+
+def link_totals(vectors: DataFrame, id_: str, vector: str, thresholds: list[float], rows: int = ROWS) -> DataFrame:
+    """(threshold, links): the sums of ``similarity_links`` at several thresholds, by one product of the
+    table with itself. Exact."""
+    pairs = exact_pairs(exact_blocks(vectors, id_, vector, rows=rows), min(thresholds))
+    none = vectors.sparkSession.createDataFrame([(float(t), 0) for t in thresholds], "threshold double, links bigint")
+    found = pairs.mapInArrow(_over_pairs(_totals([float(t) for t in thresholds]), ["threshold", "links"]), "threshold double, links bigint")
+    return found.unionByName(none).groupBy("threshold").agg(F.sum("links").alias("links"))
+
+
 def _best_of_groups(threshold: float):
     def work(a: _Block, b: _Block, same: bool):
         tile = np.round(a.x @ b.x.T, 6)
@@ -256,7 +285,7 @@ def projected_links(vectors: DataFrame, id_: str, vector: str, threshold: float,
     numbered = materialise(good.select(F.monotonically_increasing_id().alias("uid"), "*"), "projected-rows")
     keyed = numbered.mapInArrow(_keyed(signed, ["signature"]), f"uid bigint, id {kinds['id']}, grp {kinds['grp']}, vector {kinds['vector']}, signature array<int>")
     dealt = keyed.select("uid", "id", "grp", "vector", "signature", F.posexplode("signature").alias("table", "key")).withColumn("key", F.col("key").cast("long"))
-    ordered = materialise(dealt.repartitionByRange("table", "key", "uid").sortWithinPartitions("table", "key", "uid"), "projected-tables")
+    ordered = dealt.repartitionByRange("table", "key", "uid").sortWithinPartitions("table", "key", "uid")
     # A row is in each table, so a block is named by its table and first row.
     blocks = materialise(_blocks(ordered.select("uid", "id", "grp", "vector", "table", "key", "signature"), rows), "projected-blocks")
     x = blocks.select(F.struct("*").alias("a"), "tbl", F.col("high").alias("shared"))
@@ -268,9 +297,16 @@ def projected_links(vectors: DataFrame, id_: str, vector: str, threshold: float,
     return _counted(own.unionByName(others), threshold, True)
 
 
+def measured_recalls(vectors: DataFrame, id_: str, vector: str, thresholds: list[float], recall: float = 0.95, rows: int = ROWS) -> DataFrame:
+    """(threshold, links, found, recall): links of the exact join and those that projections find."""
+    found = [
+        projected_links(vectors, id_, vector, t, recall, rows).agg(F.coalesce(F.sum("links"), F.lit(0)).alias("found")).select(F.lit(float(t)).alias("threshold"), "found")
+        for t in thresholds
+    ]
+    both = link_totals(vectors, id_, vector, thresholds, rows).join(reduce(DataFrame.unionByName, found), "threshold")
+    return both.withColumn("recall", F.when(F.col("links") == 0, 1.0).otherwise(F.col("found") / F.col("links")))
+
+
 def measured_recall(vectors: DataFrame, id_: str, vector: str, threshold: float, recall: float = 0.95, rows: int = ROWS) -> DataFrame:
-    """One row (links, found, recall): links of the exact join and those that projections find."""
-    total = lambda df, name: df.agg(F.coalesce(F.sum("links"), F.lit(0)).alias(name))
-    exact = total(similarity_links(vectors, id_, vector, threshold, rows), "links")
-    found = total(projected_links(vectors, id_, vector, threshold, recall, rows), "found")
-    return exact.select("links", found.scalar().alias("found")).withColumn("recall", F.when(F.col("links") == 0, 1.0).otherwise(F.col("found") / F.col("links")))
+    """One row (links, found, recall) of ``measured_recalls`` at one threshold."""
+    return measured_recalls(vectors, id_, vector, [threshold], recall, rows).drop("threshold")

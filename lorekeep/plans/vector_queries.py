@@ -51,8 +51,7 @@ def near_dup_vectors(spark: SparkSession, d: str) -> DataFrame:
 def projected_recall(spark: SparkSession, d: str) -> DataFrame:
     """Links at three thresholds, and whether random projections found nine of ten."""
     rows = load(spark, d, "embeddings")
-    parts = [similarity_join.measured_recall(rows, "vec_id", "embedding", t).select(F.lit(t).alias("threshold"), "links", (F.col("recall") >= 0.9).alias("reached")) for t in (0.5, 0.7, 0.9)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return similarity_join.measured_recalls(rows, "vec_id", "embedding", [0.5, 0.7, 0.9]).select("threshold", "links", (F.col("recall") >= 0.9).alias("reached"))
 
 
 @query(f"""WITH {_PAIRS}, f AS (SELECT query, quantile_cont(cosine, 0.05) AS low, max(cosine) AS high FROM s GROUP BY query),

@@ -54,6 +54,27 @@ def test_far_blocks_do_not_meet(spark):
     assert sj.exact_pairs(blocks, -1.0).count() == n * (n + 1) / 2
 
 
+def test_a_block_is_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """The grid has no more groups for more blocks; every two blocks still meet once."""
+    monkeypatch.setattr(sj, "SIDE", 3)
+    data = clustered(np.random.default_rng(4), 400)
+    for rows in (20, 5):
+        blocks = sj.exact_blocks(table(spark, data, 1), "id", "v", rows=rows)
+        n, pairs = blocks.count(), sj.exact_pairs(blocks, -1.0)
+        met = {tuple(sorted((r.x, r.y))) for r in pairs.selectExpr("a.block x", "b.block y").collect()}
+        assert len(met) == n * (n + 1) / 2 == pairs.count()
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression [row") == 2 and ", 12" in plan
+    assert result(sj.similarity_links(table(spark, data), "id", "v", 0.9, rows=5)) == brute_links(data, 0.9)
+
+
+def test_recall_at_several_thresholds(spark):
+    data = clustered(np.random.default_rng(6), 150) + EDGES
+    got = {r.threshold: r for r in sj.measured_recalls(table(spark, data), "id", "v", [0.5, 0.9, 1.5], rows=16).collect()}
+    assert {t: r.links for t, r in got.items()} == {t: sum(x[1] for x in brute_links(data, t)) for t in (0.5, 0.9, 1.5)}
+    assert all(r.recall >= 0.9 for r in got.values())
+
+
 def test_similar_groups(spark):
     data = clustered(np.random.default_rng(5), 80, noise=0.5) + EDGES
     ids, groups, c = cosines(data)
