@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.storage import materialise
+from lorekeep.storage import dealt, materialise
 
 WIKI_LINK = r"\[\[([^\]|#]+)"
 HREF = r'href="([^"]*)"'
@@ -62,8 +62,9 @@ def salted(steps: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
     """(steps (a, b) with a ``part``, hubs (a, parts)): the steps from a node of more than ``hub``
     are dealt into as many parts as they fill, so that no key holds many more than ``hub`` rows."""
     hubs = steps.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub).cast("long").alias("parts")).where("parts > 1")
-    dealt = steps.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
-    return dealt, hubs
+    # One hub in ``hub`` rows at most, so they go to every task.
+    parted = steps.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+    return parted, hubs
 
 
 def bfs(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, group: list[str] = (), hub: int = HUB) -> DataFrame:
@@ -76,10 +77,14 @@ def bfs(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, group:
     ``LARGE`` share of the open nodes is met from their side: an open node is reached if one
     of its links leads to the frontier, whichever. Every hop is written."""
     group = list(group)
+    edges = materialise(edges.select("src", "dst"), "bfs-edges")
+    rows = 2 * edges.count()
     forward = edges.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    steps = materialise(forward.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a is not null and b is not null").distinct(), "bfs-steps")
-    dealt, hubs = salted(steps, hub)
-    dealt, hubs = materialise(dealt, "bfs-parts"), materialise(hubs, "bfs-hubs")
+    both = forward.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a is not null and b is not null")
+    steps = materialise(dealt(both, rows, "a", "b").distinct(), "bfs-steps")
+    parted, hubs = salted(steps, hub)
+    hubs = materialise(hubs, "bfs-hubs")
+    parted = materialise(parted, "bfs-parts")
     visited = frontier = materialise(seeds.select(*group, "id").distinct().withColumn("hop", F.lit(0)), "bfs-hop")
     for hop in range(1, depth + 1):
         far = None
@@ -87,11 +92,11 @@ def bfs(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, group:
             far = steps.select(F.col("b").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
             far = far if frontier.count() > far.count() * LARGE else None
         if far is not None:
-            met = dealt.join(far, F.col("b") == F.col("id"), "left_semi")
+            met = dealt(parted, rows, "b").join(far, F.col("b") == F.col("id"), "left_semi")
             reached = met.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         else:
             parts = frontier.join(hubs, F.col("id") == F.col("a"), "left").select(*group, "id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"))
-            reached = parts.join(dealt.withColumnRenamed("part", "own"), (F.col("id") == F.col("a")) & (F.col("part") == F.col("own"))).select(*group, F.col("b").alias("id")).distinct()
+            reached = parts.join(dealt(parted, rows, "a", "part").withColumnRenamed("part", "own"), (F.col("id") == F.col("a")) & (F.col("part") == F.col("own"))).select(*group, F.col("b").alias("id")).distinct()
         frontier = materialise(reached.join(visited.select(*group, "id"), [*group, "id"], "left_anti").withColumn("hop", F.lit(hop)), "bfs-hop")
         visited = visited.unionByName(frontier)
         if frontier.isEmpty():

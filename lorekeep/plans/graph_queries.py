@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import graph, ranking
 from lorekeep.plans.registry import query
-from lorekeep.storage import load
+from lorekeep.storage import dealt, load
 
 _PAGE = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '')"
 _EDGES = rf"""e AS (SELECT DISTINCT src, dst FROM (SELECT {_PAGE} AS src, unnest(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda h: trim(regexp_replace(h, '^.*/', '')))) AS dst FROM pages) WHERE dst <> ''),
@@ -22,7 +22,8 @@ def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = load(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    lines = load(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    edges = dealt(lines, lines.count(), "src", "dst").distinct()
     return load(spark, d, "part").select(F.col("p_partkey").alias("id")), edges
 
 

@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from lorekeep import storage
 from lorekeep.operators import graph
+from lorekeep.plans import graph_queries
 
 
 def brute(seeds, nodes, edges, depth):
@@ -56,3 +58,16 @@ def test_ranked_without_a_group(spark):
     got = graph.bfs_ranked(expanded, scores, [], 2)
     assert {tuple(r) for r in got.collect()} == {("a", 0), ("d", 2), ("b", 1)}
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString() or "TakeOrdered" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    """Narrow rows compress to little, so tasks are cut by rows and not by bytes; the search is the same."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    spark.range(20_000).selectExpr("id % 4000 AS l_partkey", "id % 37 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(4000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    nodes, edges = graph_queries._parts(spark, str(tmp_path))
+    sizes = [len(rows) for rows in edges.rdd.glom().collect()]
+    assert len(sizes) == 40 and max(sizes) < 700 and sum(sizes) == 20_000
+    known, links, known_df, links_df = made(spark, 60, 4)
+    got = {r.id: r.hop for r in graph.bfs(spark.createDataFrame([(7,)], "id long"), known_df, links_df, 4, hub=5).collect()}
+    assert got == brute([7], set(known), links, 4)
