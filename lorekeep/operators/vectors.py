@@ -15,8 +15,8 @@ from lorekeep.storage import ship
 
 #: Bytes of query vectors that are broadcast at once; more go in several rounds.
 BROADCAST_BYTES = 64 << 20
-#: Queries that a block of rows is compared with at once.
-SLICE = 256
+#: Queries that a block of rows is compared with at once, and rows of it where every score is kept.
+SLICE, TILE = 256, 1024
 
 
 def usable(vector: Column, dimensions: int | None = None) -> Column:
@@ -92,9 +92,16 @@ def _among_best(block: np.ndarray, limit: int | None) -> np.ndarray:
     return block >= np.partition(block, len(block) - limit, axis=0)[len(block) - limit] - 1e-6
 
 
+def _tiles(batches):
+    """Parts of ``TILE`` rows, where all scores are handed on."""
+    for b in batches:
+        for i in range(0, b.num_rows, TILE):
+            yield b.slice(i, TILE)
+
+
 def _best(held, limit: int | None, each_group: bool):
     def run(batches):
-        for b in batches:
+        for b in _tiles(batches) if limit is None else batches:
             if not b.num_rows:
                 continue
             at_group = b.column(2).dictionary_encode(null_encoding="encode").indices.to_numpy() if each_group else np.zeros(b.num_rows, int)

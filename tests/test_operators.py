@@ -184,3 +184,21 @@ def test_overlap_assignment_matches_loops(spark):
         if best:
             want[i] = (best[3], best[0])
     assert {r.item: (r.bundle, r.overlap) for r in got.collect()} == want
+
+
+def test_all_scores_come_in_bounded_tiles(monkeypatch):
+    """Where every score is kept, no batch has more than TILE rows against SLICE queries."""
+    import types
+
+    import pyarrow as pa
+
+    for name, value in (("TILE", 7), ("SLICE", 3)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(1)
+    q, x = vectors.unit(rng.standard_normal((8, 4))), rng.standard_normal((50, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(x.tolist()), pa.array([0] * 50)], ["id", "vector", "group"])
+    out = list(vectors._best(types.SimpleNamespace(value=(np.arange(8), q)), None, False)([batch]))
+    assert max(b.num_rows for b in out) <= 21
+    got = {(r["query"], r["id"]): r["cosine"] for b in out for r in b.to_pylist()}
+    want = np.round(vectors.unit(x) @ q.T, 6)
+    assert len(got) == 400 and all(abs(got[k, i] - want[i, k]) < 1e-9 for k in range(8) for i in range(50))
