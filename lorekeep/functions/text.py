@@ -143,15 +143,18 @@ def annotation_hash(text: Column) -> Column:
 def measure_text(text: Column) -> Column:
     """struct<raw double, bytes long>: estimated tokens by character class, UTF-8 length."""
     t = text_or_empty(text)
-    length = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
+    # Runs are taken out whole: a match a character takes many times as long, and a group a character overflows the stack.
+    length = lambda pattern, of=t: F.length(F.regexp_replace(of, pattern + "+", ""))
     cyrillic = length(r"[^\x{0400}-\x{052F}]")
     cjk = length(r"[^\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]")
     newline = length(r"[^\n]")
     digit = r"0-9"
-    other = r"[^\n0-9A-Za-z \t\r\p{L}\p{M}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0400}-\x{052F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]|[\x0B\x0C]"
-    symbols = F.regexp_count(t, F.lit(f"{other}|[{digit}]"))
+    other = r"[[^\n0-9A-Za-z \t\r\p{L}\p{M}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0400}-\x{052F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}][\x0B\x0C]]"
+    # Plain letters and blanks only part signs; the class of signs, which is slow, sees one for a run of them.
+    parted = F.regexp_replace(t, r"[A-Za-z \t\r]+", "a")
+    symbols = F.length(parted) - length(f"[{other}{digit}]", parted)
     # A run is unbroken digits or unbroken other signs; each line feed is one too.
-    runs = F.regexp_count(t, F.lit(f"(?:{other})+|[{digit}]+")) + newline
+    runs = F.regexp_count(parted, F.lit(f"{other}+|[{digit}]+")) + newline
     word = F.length(t) - cyrillic - cjk - newline - symbols
     raw = cyrillic / F.lit(CYRILLIC_CHARS) + cjk + word / F.lit(WORD_CHARS) + symbols / F.lit(SYMBOL_CHARS) + runs * F.lit(RUN_TOKENS)
     return F.struct(raw.alias("raw"), F.octet_length(t).cast("long").alias("bytes"))

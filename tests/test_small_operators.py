@@ -71,3 +71,12 @@ def test_logs_of_evaluations(spark, tmp_path):
     for _ in range(2):
         R.append_log(log.select("runId", "n").where("n = 1"), f"{tmp_path}/log")
     assert rows(R.read_jsonl(spark, f"{tmp_path}/log", "runId string, n int")) == [("r", 1), ("r", 1), ("s", 1), ("s", 1)]
+
+
+def test_long_runs_of_signs_are_measured(spark):
+    """A million signs in a row, and every kind of character: counted as single characters would be."""
+    texts = ["#" * 1_000_000, "7" * 300_000, "a" * 300_000 + "ж" * 7 + "字" * 5, "x\n\n-- 12 ?!\x0b\x0c\u2028\U0001f600\U0001f600 é 3.14\n", "", None]
+    got = [tuple(r) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.measure_text(F.col("t")).alias("m")).orderBy("i").select(F.round("m.raw", 6), "m.bytes").collect()]
+    raw = lambda cyr, cjk, word, symbols, runs: round(cyr / T.CYRILLIC_CHARS + cjk + word / T.WORD_CHARS + symbols / T.SYMBOL_CHARS + runs * T.RUN_TOKENS, 6)
+    want = [raw(0, 0, 0, 10**6, 1), raw(0, 0, 0, 300_000, 1), raw(7, 5, 300_000, 0, 0), raw(0, 0, 7, 14, 10), raw(0, 0, 0, 0, 0), raw(0, 0, 0, 0, 0)]
+    assert [g[0] for g in got] == want and [g[1] for g in got] == [len((t or "").encode()) for t in texts]
