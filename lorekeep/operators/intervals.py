@@ -76,7 +76,8 @@ def nearest(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     # Reaching furthest among parents that start no later, and starting first among later ones;
     # of those that touch or overlap the child, which may be many, a join of cells finds the least.
     before = Window.partitionBy(key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    # Backwards, as a frame that ends with the group would be added up again for every row.
+    after = Window.partitionBy(key).orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
     low = F.min(F.when(is_parent, F.struct((-F.col("end")).alias("back"), "parent"))).over(before)
     high = F.min(F.when(is_parent, F.struct("start", "parent"))).over(after)
     swept = marks.withColumns({"__l": low, "__h": high}).where("child is not null")

@@ -22,6 +22,14 @@ def test_containment_and_distance(spark):
         assert r.parent == min(p for p in range(1, 12) if gap(r.child, p) == r.distance)
 
 
+def test_nearest_sweeps_a_group_once_each_way(spark):
+    n = 3000
+    a, b = spark.range(n).selectExpr("0 AS k", "id AS parent", "id * 10 AS start", "id * 10 + 2 AS end"), spark.range(n).selectExpr("0 AS k", "id AS child", "id * 10 + 5 AS start", "id * 10 + 5 AS end")
+    found = intervals.nearest(a, b, "k")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.child, r.parent, r.distance) for r in found.collect()} == {(i, i, 2) for i in range(n)}
+
+
 def test_cells_tile_a_range(spark):
     rng = random.Random(2)
     ranges = [(s, s + rng.randrange(1 << rng.randrange(1, 12))) for s in (rng.randrange(-500, 3000) for _ in range(200))] + [(0, 0), (7, 6), (-8, -1), (5, 10**9 + 5), (1, (1 << 40) - 1)]
