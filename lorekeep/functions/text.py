@@ -52,6 +52,11 @@ def query_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"[\p{L}\p{N}]{3,}"), 0))
 
 
+def words_of(text: Column) -> Column:
+    """Lower-case runs of letters and digits with one blank between them; null without any."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(text), WORD_BREAK, " ")), F.lit(""))
+
+
 def coverage(query: Column, other: Column) -> Column:
     """Share of the query's tokens among the other tokens (0 without any)."""
     return F.when((F.size(query) == 0) | (F.size(other) == 0), 0.0).otherwise(F.size(F.array_intersect(query, other)) / F.size(query))

@@ -12,13 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import term_search
-from lorekeep.operators.lexical_index import SLACK, UNIT, LexicalIndex, candidates, number_units, write_postings
-from lorekeep.storage import materialise, new_path
+from lorekeep.operators.lexical_index import SLACK, LexicalIndex, candidates, number_units, postings, write_postings
+from lorekeep.storage import materialise, new_path, ship
 
 K1, B = 1.2, 0.75
 PAGE_LEAD, PAGE_LONG, CHUNK_LONG, MAX_PAGE_SCORE = 500, 1500, 1200, 6.45
@@ -41,9 +42,8 @@ def write_bm25_index(docs: DataFrame, key: str, path: str, text: str = "text", k
     terms = tokenize(F.col(text))
     units = number_units(docs.select(F.col(key), terms.alias("terms")).select(key, F.size("terms").alias("length"), "terms"), path)
     average = units.agg(F.coalesce(F.avg("length"), F.lit(0.0))).first()[0] or 1.0
-    counted = units.select("unit", "length", F.explode("terms").alias("term")).groupBy("unit", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    value = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
-    return LexicalIndex(units, write_postings(counted.select("unit", "term", value.alias("value")), path))
+    value = lambda tf, length: tf[0] * (k1 + 1) / (tf[0] + k1 * (1 - b + b * length / average))
+    return LexicalIndex(units, write_postings(postings(units.select("unit", "length", "terms"), "length", [F.col("terms")], value), path))
 
 
 def search_bm25(queries: DataFrame, index: LexicalIndex, query_key: str, key: str, limit: int, query_text: str = "text", tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
@@ -96,17 +96,14 @@ CHUNK_SCORES = FieldScores({"f_path": 1.5, "f_heading": 2.3, "f_body": 1.0}, 0.3
 
 
 def write_field_index(units: DataFrame, scores: FieldScores, path: str) -> LexicalIndex:
-    """Writes the index of ``units(keys, fields, penalty)``: what each term of a field adds
-    to a unit's score, and the penalties."""
-    full = F.concat_ws("\n", *scores.fields)
-    numbered = number_units(units.select("*", F.lower(full).alias("full"), T.token_set(full).alias("terms")), path)
-    texts = F.explode(F.array(*(F.struct(F.lit(1 << i).alias("bit"), F.col(f).alias("text")) for i, f in enumerate(scores.fields))))
-    words = numbered.select("unit", "penalty", texts.alias("f")).select("unit", "penalty", "f.bit", F.explode(F.split(F.lower("f.text"), T.WORD_BREAK)).alias("term"))
-    held = words.where(T.is_token(F.col("term"))).groupBy("unit", "penalty", "term").agg(F.bit_or("bit").alias("bits"))
-    weight = sum((F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) > 0, w).otherwise(0.0) for i, w in enumerate(scores.fields.values())), F.lit(scores.exact))
-    values = held.select("unit", "term", (weight * F.col("penalty")).alias("value"))
-    penalties = numbered.where("penalty <> 1").select("unit", F.lit(UNIT).alias("term"), F.col("penalty").alias("value"))
-    return LexicalIndex(numbered, write_postings(values.unionByName(penalties), path))
+    """Writes the index of ``units(keys, fields, penalty)``: the words of each field, what each term
+    adds to a unit's score, and the penalties."""
+    numbered = number_units(units.select(*(T.words_of(F.col(c)).alias(c) if c in scores.fields else c for c in units.columns)), path)
+    weights = list(scores.fields.values())
+    value = lambda held, penalty: (sum((w * (n > 0) for w, n in zip(weights, held)), scores.exact)) * penalty
+    lists = [F.split(f, " ") for f in scores.fields]
+    made = postings(numbered.select("unit", "penalty", *scores.fields), "penalty", lists, value, own=True, keep=T.is_token(F.col("term")))
+    return LexicalIndex(numbered, write_postings(made, path))
 
 
 def search_fields(queries: DataFrame, index: LexicalIndex, query_key: str, keys: list[str], scores: FieldScores, limit: int, query_text: str = "text") -> DataFrame:
@@ -114,27 +111,46 @@ def search_fields(queries: DataFrame, index: LexicalIndex, query_key: str, keys:
     of each query among them: the weighted coverage of each field, plus exact hits and the
     phrase bonus over the full text, times the penalty."""
     asked = T.token_set(F.col(query_text))
-    questions = queries.select(query_key, asked.alias("__q"), F.size(asked).alias("nq"))
+    questions = queries.select(query_key, asked.alias("__q"))
     found = materialise(candidates(index, queries, query_key, asked, limit, scores.phrase), "candidates")
-
-    def best(scored: DataFrame, low: str, high: str) -> DataFrame:
-        """Rows whose upper bound reaches their query's least of the ``limit`` best lower bounds."""
-        bars = top_by_group(scored.select(query_key, low, "unit"), [query_key], [F.col(low).desc(), F.col("unit")], limit).groupBy(query_key).agg(F.min(low).alias("bar"))
-        return scored.join(bars, query_key).where(F.col(high) >= F.col("bar") - SLACK).drop("bar")
-
     # The order of terms needs the text. It is looked up only for units that could still be
     # among the best: whose score with a full bonus reaches the least of the best without one.
-    texts = index.units.select("unit", "penalty", "terms", "full")
-    rivals = best(found, "low", "high").join(texts, "unit").join(questions, query_key)
-    # Matched tokens in the query's order.
-    rivals = rivals.select(query_key, "unit", "total", "penalty", "nq", "full", F.array_intersect("__q", "terms").alias("m"))
-    bonus = T.phrase_bonus(F.col("m"), F.col("nq"), F.col("full"))
-    rivals = materialise(rivals.select(query_key, "unit", bonus.alias("bonus"), (F.col("total") + bonus * scores.phrase * F.col("penalty")).alias("near")), "rivals")
+    bars = top_by_group(found.select(query_key, "low", "unit"), [query_key], [F.col("low").desc(), F.col("unit")], limit).groupBy(query_key).agg(F.min("low").alias("bar"))
+    rivals = found.select(query_key, "unit", "high").join(F.broadcast(bars), query_key).where(F.col("high") >= F.col("bar") - SLACK).select(query_key, "unit")
+    rivals = rivals.join(index.units, "unit").join(questions, query_key)
     # Sums of the index may differ from the formula's in the last digit.
-    chosen = best(rivals, "near", "near").join(index.units, "unit").join(questions, query_key)
-    hits = lambda c: F.size(F.array_intersect("__q", c))
-    base = sum((hits(T.token_set(F.col(f))) / F.col("nq") * w for f, w in scores.fields.items()), F.lit(0.0)) + hits(F.col("terms")) / F.col("nq") * scores.exact
-    return chosen.select(query_key, *keys, F.round((base + F.col("bonus") * scores.phrase) * F.col("penalty"), 6).alias("score")).where("score > 0")
+    ship(queries.sparkSession)
+    kept = rivals.select(query_key, *keys).schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    scored = rivals.select(query_key, *keys, "unit", "__q", "penalty", *scores.fields).mapInArrow(_field_scores(scores, len(kept)), f"{kinds}, score double")
+    return scored.withColumn("score", F.round("score", 6)).where("score > 0")
+
+
+def _field_scores(scores: FieldScores, carried: int):
+    """Scores of rows (carried columns, unit, the query's tokens, penalty, words of each field)."""
+
+    def run(batches):
+        for b in batches:
+            queries, units, penalties = (b.column(i).to_pylist() for i in (0, carried, carried + 2))
+            fields, tokens, last, out = b.columns[carried + 3 :], {}, None, np.zeros(b.num_rows)
+            for i, (query, unit, penalty) in enumerate(zip(queries, units, penalties)):
+                if unit != last:  # rows come by unit
+                    words = [f[i].as_py() or "" for f in fields]
+                    held, full = [set(w.split(" ")) for w in words], " ".join(w for w in words if w)
+                    last, every = unit, set().union(*held)
+                q = tokens.get(query) or tokens.setdefault(query, b.column(carried + 1)[i].as_py())
+                # Matched tokens in the query's order.
+                matched = [t for t in q if t in every]
+                share, near = len(matched) / len(q), 0.0
+                if len(matched) > 1:
+                    near = 1.0 if any(f"{x} {y}" in full for x, y in zip(matched, matched[1:])) else min(0.75, share)
+                base = 0.0
+                for h, w in zip(held, scores.fields.values()):
+                    base += len(h.intersection(matched)) / len(q) * w
+                out[i] = (base + share * scores.exact + near * scores.phrase) * penalty
+            yield pa.RecordBatch.from_arrays([*b.columns[:carried], pa.array(out)], [*b.schema.names[:carried], "score"])
+
+    return run
 
 
 def page_units(pages: DataFrame) -> DataFrame:
@@ -148,7 +164,7 @@ def page_units(pages: DataFrame) -> DataFrame:
 def chunk_units(chunks: DataFrame) -> DataFrame:
     """Units of ``chunks(article_id, path, heading, body, ordinal)``; blank ones are none."""
     heading, body = T.text_or_empty(F.col("heading")), T.text_or_empty(F.col("body"))
-    live = chunks.where(F.length(F.trim(F.regexp_replace(body, r"\s+", " "))) > 0)
+    live = chunks.where(body.rlike(r"\S"))
     fields = {"f_path": F.col("path"), "f_heading": heading, "f_body": body}
     return live.select("article_id", "path", "ordinal", "heading", *(c.alias(n) for n, c in fields.items()), T.length_penalty(F.length(body), CHUNK_LONG, 0.5).cast("double").alias("penalty"))
 

@@ -3,8 +3,8 @@
 Units (documents, pages, chunks) are numbered and written once, with what a result
 needs of them. Their postings are grouped by (term, shard), a shard being ``SHARD``
 consecutive numbers, so no list is longer, however frequent its term. A row holds the postings in
-blocks of ``BLOCK`` consecutive numbers, each with the greatest value in it; rows
-are sorted by term, so a search reads the row groups of its terms.
+blocks of ``BLOCK`` consecutive numbers, each with the greatest value in it; a
+shard's rows are made in one task and lie by term.
 
 A value is what a term adds to a unit's score before the query's weight. A search adds
 the weighted maxima of each block: that bounds every score in it. Blocks are
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lorekeep.storage import materialise, ship
 
 SHARD, BLOCK = 8192, 128
+#: Words that a task which makes postings codes at once.
+SLICE_WORDS = 200_000
 #: Distinct terms, and queries, that one round of a search broadcasts.
 MOST_TERMS, MOST_QUERIES = 1_000_000, 20_000
 #: Scores are compared after rounding to six places, so nearer ones may tie.
@@ -48,35 +50,93 @@ class LexicalIndex:
 
 def number_units(units: DataFrame, path: str) -> DataFrame:
     """Writes the units with a number each, and reads them back."""
-    units.select(F.monotonically_increasing_id().alias("unit"), "*").write.parquet(f"{path}/units")
+    units.select(F.monotonically_increasing_id().alias("unit"), "*").write.option("compression", "zstd").parquet(f"{path}/units")
     return units.sparkSession.read.parquet(f"{path}/units")
 
 
-def _in_blocks(batches):
-    for b in batches:
-        lists = b.column(2)
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        entries = lists.flatten()
-        row, local, value = np.repeat(np.arange(len(sizes)), sizes), entries.field("local").to_numpy(), entries.field("value").to_numpy()
-        order = np.lexsort((local, row))
-        local, value = local[order], value[order]
+class _Postings:
+    """Postings of one shard, taken up in slices of units in order."""
+
+    def __init__(self, shard: int):
+        self.shard, self.n = shard, 0
+        self.terms, self.codes, self.locals, self.values = [], [], [], []
+
+    def add(self, terms: pa.Array, codes: np.ndarray, local: np.ndarray, value: np.ndarray) -> None:
+        self.terms.append(terms)
+        self.codes.append(codes + self.n)
+        self.locals.append(local.astype(np.int32))
+        self.values.append(value)
+        self.n += len(terms)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays(self.terms).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        row = place[coded.indices.to_numpy()][np.concatenate(self.codes)]
+        by_row = np.argsort(row, kind="stable")
+        row, local, value = row[by_row], np.concatenate(self.locals)[by_row], np.concatenate(self.values)[by_row]
         cell = row * (SHARD // BLOCK) + local // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         postings = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(local), pa.array(value)], ["local", "value"]))
         tops = np.maximum.reduceat(value, first) if len(first) else value
         blocks = pa.StructArray.from_arrays([pa.array((local[first] // BLOCK).astype(np.int32)), pa.array(tops), postings], ["block", "top", "postings"])
-        at = np.searchsorted(row[first], np.arange(len(sizes) + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), blocks)], ["term", "shard", "blocks"])
+        at = np.searchsorted(row[first], np.arange(len(order) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(order), pa.array(np.full(len(order), self.shard)), pa.ListArray.from_arrays(pa.array(at), blocks)], ["term", "shard", "blocks"])
+
+
+def _slices_of_shards(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(shard, rows) of batches in order of their units, of some ``SLICE_WORDS`` words each."""
+    for b in batches:
+        shard = b.column(0).to_numpy() // SHARD
+        words = np.cumsum(sum(pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[2:]))
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(words // SLICE_WORDS) != 0)) + 1
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+            if i < j:
+                yield int(shard[i]), b.slice(i, j - i)
+
+
+def _posted(value, own: bool):
+    def run(batches):
+        held = None
+        for shard, b in _slices_of_shards(batches):
+            if held is not None and held.shard != shard:
+                yield from held.rows()
+                held = None
+            held = held or _Postings(shard)
+            unit, number, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.columns[2:]
+            coded = pa.concat_arrays([c.flatten() for c in lists]).dictionary_encode()
+            sizes = [pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False) for c in lists]
+            row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+            keys, at = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
+            ends = np.cumsum([n.sum() for n in sizes])
+            counts = [np.bincount(at[e - n.sum() : e], minlength=len(keys)) for e, n in zip(ends, sizes)]
+            row, code = np.divmod(keys, max(1, len(coded.dictionary)))
+            held.add(coded.dictionary, code, unit[row] % SHARD, value(counts, number[row]))
+            less = np.flatnonzero(number != 1)
+            if own and len(less):
+                held.add(pa.array([UNIT]), np.zeros(len(less), np.int64), unit[less] % SHARD, number[less])
+        if held is not None:
+            yield from held.rows()
+
+    return run
+
+
+def postings(units: DataFrame, number: str, lists: list[Column], value: Callable[[list[np.ndarray], np.ndarray], np.ndarray], own: bool = False, keep: Column | None = None) -> DataFrame:
+    """(term, shard, blocks) of ``units(unit, number)`` by the terms in their ``lists``. ``value(counts, number)`` is what
+    a term adds to a unit, by how often each list holds it; ``own`` lists the numbers other than 1 under ``UNIT``, and
+    ``keep`` is a condition on ``term``. Units are dealt once, by shard, so a shard's lists are made where it lies."""
+    ship(units.sparkSession)
+    narrow = units.withColumn("__shard", F.floor(F.col("unit") / SHARD)).repartition("__shard").sortWithinPartitions("unit")
+    named = [c.alias(f"list{i}") for i, c in enumerate(lists)]
+    made = narrow.select("unit", F.col(number).cast("double").alias("number"), *named).mapInArrow(_posted(value, own), f"term string, shard bigint, blocks {_BLOCKS}")
+    return made if keep is None else made.where(keep | (F.col("term") == UNIT))
 
 
-def write_postings(values: DataFrame, path: str) -> DataFrame:
-    """Writes ``values(unit, term, value)``, at most one row a unit and term."""
-    ship(values.sparkSession)
-    entry = F.struct(F.pmod("unit", F.lit(SHARD)).cast("int").alias("local"), F.col("value").cast("double").alias("value"))
-    grouped = values.groupBy("term", F.floor(F.col("unit") / SHARD).alias("shard")).agg(F.collect_list(entry).alias("entries"))
-    made = grouped.sortWithinPartitions("term", "shard").mapInArrow(_in_blocks, f"term string, shard bigint, blocks {_BLOCKS}")
+def write_postings(made: DataFrame, path: str) -> DataFrame:
+    """Writes ``postings``."""
     made.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
-    return values.sparkSession.read.parquet(f"{path}/postings")
+    return made.sparkSession.read.parquet(f"{path}/postings")
 
 
 class _Queries:

@@ -115,3 +115,16 @@ def test_empty_index(spark):
 def test_an_index_is_written_once(spark):
     first, again = indexes.document_index(spark, SF), indexes.document_index(spark, SF)
     assert first.postings.inputFiles() == again.postings.inputFiles()
+
+
+def test_units_are_dealt_once_and_written_once(spark):
+    """Postings are made where a shard lies, and an index holds a text's words once."""
+    units = spark.createDataFrame([(i, 3, ["a", f"w{i}", "a"]) for i in range(9000)], "unit long, length int, terms array<string>")
+    made = lexical_index.postings(units, "length", [F.col("terms")], lambda tf, n: tf[0] / n)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = {(r.term, r.shard): r.blocks for r in made.where("term in ('a', 'w8200')").collect()}
+    assert {k: sum(len(b.postings) for b in v) for k, v in rows.items()} == {("a", 0): 8192, ("a", 1): 808, ("w8200", 1): 1}
+    assert [(p.local, p.value) for p in rows["w8200", 1][0].postings] == [(8, 1 / 3)] and rows["a", 1][0].top == 2 / 3
+    pages = spark.createDataFrame([(1, "a/b", "One,  two", None, "Three")], "id int, path string, title string, description string, content string")
+    index = lexical.write_field_index(lexical.page_units(pages), lexical.PAGE_SCORES, new_path(spark, "test-index"))
+    assert index.units.drop("unit").first().asDict() == {"id": 1, "path": "a/b", "f_path": "a b", "f_title": "one two", "f_description": None, "f_body": "three", "penalty": 1.0}
