@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from lorekeep.storage import materialise, ship
 
 MOST_TERMS, MOST_QUERIES = 1_000_000, 20_000
-#: Pairs of a document and a query that a task scores at once.
-CELLS = 1 << 20
+#: Pairs of a document and a query, and of a term held and a query that asks for it, that a task
+#: scores at once, and words that it codes at once.
+CELLS, WORDS = 1 << 20, 500_000
 #: Scores are compared after rounding to six places, so nearer ones may tie.
 SLACK = 2e-6
 
@@ -49,13 +50,23 @@ class Asked:
         return np.bincount(cell, None if weight is None else np.repeat(weight, k), rows * len(self.keys)).reshape(rows, -1)
 
 
+def _slices(batches, carried: int, fields: int):
+    """Parts of batches with some ``WORDS`` words each."""
+    for b in batches:
+        words = np.cumsum(sum(pc.list_value_length(b.column(f)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in range(carried, carried + fields)))
+        cuts = (np.flatnonzero(np.diff(words // WORDS)) + 1).tolist()
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+            if i < j:
+                yield b.slice(i, j - i)
+
+
 def _search(asked, carried: int, fields: int, union: bool, weigh, rate, limit: int, names: list[str]):
     def run(batches):
         a: Asked = asked.value
         width = len(a.keys)
         best = np.zeros((0, width))
-        for b in batches:
-            if not width or not b.num_rows:
+        for b in _slices(batches, carried, fields):
+            if not width:
                 continue
             coded = []
             for f in range(carried, carried + fields):
@@ -66,12 +77,15 @@ def _search(asked, carried: int, fields: int, union: bool, weigh, rate, limit: i
             if union:
                 pairs = np.unique(np.concatenate([row * len(a.terms) + code for row, code in coded]))
                 coded.append(np.divmod(pairs, max(len(a.terms), 1)))
-            step = max(1, CELLS // width)
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
+            pairs = np.cumsum(sum(np.bincount(row, a.count[code], b.num_rows) for row, code in coded))
+            step, end = max(1, CELLS // width), 0
+            while end < b.num_rows:
+                at, before = end, pairs[end - 1] if end else 0
+                end = min(at + step, max(at + 1, int(np.searchsorted(pairs, before + CELLS, "right"))))
+                part = b.slice(at, end - at)
                 hits = []
                 for row, code in coded:
-                    i, j = np.searchsorted(row, [at, at + step])
+                    i, j = np.searchsorted(row, [at, at + part.num_rows])
                     r, c, w = row[i:j] - at, code[i:j], None
                     if weigh:
                         pair, often = np.unique(r * len(a.terms) + c, return_counts=True)

@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lorekeep.operators import lexical, term_search
@@ -26,3 +28,17 @@ def test_rounds_and_ties_give_the_best_of_all(spark, monkeypatch):
         assert sorted(tuple(r) for r in lexical.best_jaccard(q, d.repartition(3), "q", "id", limit=4).collect()) == sorted(want)
     assert lexical.best_jaccard(q.where("q < 0"), d, "q", "id").count() == 0
     assert lexical.bm25(q, d.where(F.lit(False)), "q", "id", 3).count() == 0
+
+
+def test_a_step_scores_a_bounded_number_of_pairs(monkeypatch):
+    """Terms that every query asks for make as many pairs as documents times queries times terms."""
+    seen, hits = [], term_search.Asked.hits
+    monkeypatch.setattr(term_search.Asked, "hits", lambda self, row, code, *a: seen.append(int(self.count[code].sum())) or hits(self, row, code, *a))
+    monkeypatch.setattr(term_search, "CELLS", 1000)
+    words = [f"w{i}" for i in range(20)]
+    lists = lambda n: pa.array([words] * n)
+    asked = term_search.Asked(pa.array(range(10)), lists(10))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), lists(50)], ["id", "list"])
+    run = term_search._search(SimpleNamespace(value=asked), 1, 1, False, None, lambda h, sizes, part: (h[0], h[0]), 50, ["q", "id", "hits"])
+    out = pa.Table.from_batches(run([batch]))
+    assert out.num_rows == 500 and set(out.column("hits").to_pylist()) == {20.0} and max(seen) <= 1000 and sum(seen) == 50 * 200
