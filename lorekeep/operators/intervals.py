@@ -11,41 +11,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _levels(*ranges: tuple[DataFrame, str, str]) -> int:
-    """Powers of two that cells of these ranges can have."""
-    longest = [df.agg(F.max(F.col(end) - F.col(start) + 1)).first()[0] or 1 for df, start, end in ranges]
-    return max(1, *longest).bit_length()
+def _levels(ranges: DataFrame, start: str, end: str) -> int:
+    """The greatest power of two that a cell of these ranges can have."""
+    longest = ranges.agg(F.max(F.col(end) - F.col(start) + 1)).first()[0] or 1
+    return max(1, longest).bit_length() - 1
 
 
-def cells(start: Column, end: Column, levels: int) -> Column:
-    """array<struct<level, cell>>: the fewest cells that make up start to end, none if
-    end is less than start."""
+def _tiles(start: Column, end: Column, levels: int, made) -> Column:
     start, end, found = start.cast("long"), end.cast("long") + 1, []
     for n in range(levels + 1):
         low, high = -F.shiftright(-start, n), F.shiftright(end, n)
         odd = lambda c: F.pmod(c, F.lit(2)) == 1
-        first = F.when(odd(low) & (low < high), F.struct(F.lit(n).alias("level"), low.alias("cell")))
-        last = F.when(odd(high) & (low < high), F.struct(F.lit(n).alias("level"), (high - 1).alias("cell")))
+        first = F.when(odd(low) & (low < high), made(n, low))
+        last = F.when(odd(high) & (low < high), made(n, high - 1))
         found += [first, last]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def cells(start: Column, end: Column, levels: int) -> Column:
+    """array<struct<level, cell>>: the fewest cells that make up start to end, none if
+    end is less than start."""
+    return _tiles(start, end, levels, lambda n, cell: F.struct(F.lit(n).alias("level"), cell.alias("cell")))
+
+
+def _code(level: int, cell: Column) -> Column:
+    """One number of a cell: its middle, doubled."""
+    return F.shiftleft(cell, level + 1).bitwiseOR(F.lit(1 << level).cast("long"))
+
+
 def within(points: DataFrame, ranges: DataFrame, on: list[str], point: str, start: str, end: str, levels: int | None = None) -> DataFrame:
     """``points`` joined with the ``ranges`` of equal columns ``on`` that hold their ``point``."""
-    levels = _levels((ranges, start, end)) if levels is None else levels
-    of = F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright(F.col(point).cast("long"), n).alias("cell")) for n in range(levels + 1)))
+    levels = _levels(ranges, start, end) if levels is None else levels
+    of = F.array(*(_code(n, F.shiftright(F.col(point).cast("long"), n)) for n in range(levels + 1)))
     x = points.select("*", F.explode(of).alias("__c"))
-    y = ranges.select("*", F.explode(cells(F.col(start), F.col(end), levels)).alias("__c"))
-    return x.join(y, [*on, "__c"]).drop("__c")
+    y = ranges.select("*", F.explode(_tiles(F.col(start), F.col(end), levels, _code)).alias("__c"))
+    # The condition parts cells of numbers that are 2^63 apart.
+    return x.join(y, [*on, "__c"]).where(F.col(point).between(F.col(start), F.col(end))).drop("__c")
 
 
 def overlapping(x: DataFrame, y: DataFrame, on: list[str], s1: str, e1: str, s2: str, e2: str) -> DataFrame:
     """Pairs of ranges of ``x`` (s1, e1) and ``y`` (s2, e2) that share a line, once each. A range
     that ends before its start shares none."""
     x, y = x.where(F.col(s1) <= F.col(e1)), y.where(F.col(s2) <= F.col(e2))
-    levels = _levels((x, s1, e1), (y, s2, e2))
-    first = within(y, x, on, s2, s1, e1, levels)
-    second = within(x, y, on, s1, s2, e2, levels).where(F.col(s1) > F.col(s2))
+    first = within(y, x, on, s2, s1, e1)
+    second = within(x, y, on, s1, s2, e2).where(F.col(s1) > F.col(s2))
     return first.unionByName(second)
 
 

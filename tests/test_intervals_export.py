@@ -82,3 +82,13 @@ def test_errors_and_proofs(spark):
     expected = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1)], "k int, ordinal int")
     whole, problems = export.reassemble(segments, expected, "k")
     assert {r.k: r.text for r in whole.collect()}[1] == "ab" and {(r.k, r.ordinal, r.problem) for r in problems.collect()} == {(2, 0, "duplicate"), (2, 1, "missing")}
+
+
+def test_points_have_a_row_a_level_that_ranges_use(spark):
+    """A range of n lines has no cell of more than n lines; cells are single numbers, told apart at any distance."""
+    ranges = spark.createDataFrame([(0, 1, 8), (0, -(1 << 62) - 5, -(1 << 62) - 1)], "k int, s long, e long")
+    assert intervals._levels(ranges, "s", "e") == 3
+    points = spark.createDataFrame([(0, p) for p in (0, 1, 8, 9, (1 << 62) - 3, -(1 << 62) - 5, -(1 << 62))], "k int, p long")
+    found = intervals.within(points, ranges, ["k"], "p", "s", "e")
+    assert "level" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.p for r in found.collect()) == [-(1 << 62) - 5, 1, 8]
