@@ -1,5 +1,7 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
 
@@ -97,3 +99,21 @@ def test_rewrites_and_json():
     assert M.looks_truncated('{"a": [1') and M.looks_truncated('{"a": "b') and not M.looks_truncated('{"a": "]"}')
     assert M.tolerant_json('text {bad} {"b": 1, "a": 2} tail') == '{"a": 2, "b": 1}' and M.tolerant_json("none") is None
     assert M.render_template("{{a}} {{b}}", {"a": "x"}) == "x {{b}}"
+
+
+def test_columns_hold_few_rows_as_python_objects(spark):
+    """A batch of many texts is not turned into Python objects as a whole."""
+    taken = []
+
+    class Watched:
+        def __len__(self):
+            return 1000
+
+        def slice(self, at, n):
+            taken.append(n)
+            return pa.array([f"t{i}" if i % 7 else None for i in range(at, min(1000, at + n))])
+
+    assert M._by_slices(lambda t: t + "!", pa.string(), Watched()).to_pylist() == [f"t{i}!" if i % 7 else "!" for i in range(1000)]
+    assert max(taken) <= 64
+    texts = spark.createDataFrame([("[[a]]",), (None,), ("",)], "t string")
+    assert [r.l for r in texts.select(M.column(lambda c: M.links(c), "array<string>")(F.col("t")).alias("l")).collect()] == [["a"], [], []]
