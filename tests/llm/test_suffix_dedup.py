@@ -112,6 +112,30 @@ def test_long_texts_in_parts(monkeypatch):
     assert found == {(k, s) for k in (7, 8) for s in range(9000 - 399)}
 
 
+def test_texts_that_fill_a_block(monkeypatch):
+    monkeypatch.setattr(hashing, "BLOCK", 2000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    sizes = [0, 700, 0, 500, 800, 2000, 0, 900, 900, 200]  # blocks of 2,000, 2,000 and again 2,000 bytes
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array(texts, pa.string())], ["th", "text"])
+    found = [(r["th"], s) for b in suffix_dedup._anchors(400, 200)([batch]) for r in b.to_pylist() for s in range(r["a"], r["b"] + 1)]
+    assert sorted(found) == [(k, s) for k, n in enumerate(sizes) for s in range(n - 399)]
+
+
+def test_repeats_in_texts_that_fill_a_block(spark):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(900)
+    texts = [some(9100) + passage + some(20_000) for _ in range(30)]
+    texts.append(passage + some(hashing.BLOCK - sum(map(len, texts)) - 900))
+    assert sum(map(len, texts)) == hashing.BLOCK
+    docs = documents(spark, list(enumerate(texts))).coalesce(1)
+    assert rows(suffix_dedup.remove_repeats(docs)) == expected(range(31), texts)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_query_against_every_window(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
