@@ -3,13 +3,19 @@
 A range of integers is the union of at most two cells of each power of two, and a point lies
 in one cell of each. So which points lie in which ranges is an equi-join on cells, whatever
 the ranges' lengths: a range of n lines has about 2 log2(n) rows. Two ranges overlap when one's
-start lies in the other. The nearest range comes from one ordered sweep."""
+start lies in the other. The nearest range is looked for among the few of a small group, else
+comes from one ordered sweep."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.storage import dealt, materialise
+
+#: Parents of a key that each of its children is compared with one by one.
+FEW = 64
+
 
 def _levels(ranges: DataFrame, start: str, end: str) -> int:
     """The greatest power of two that a cell of these ranges can have."""
@@ -77,7 +83,40 @@ def smallest_containing(parents: DataFrame, children: DataFrame, key: str) -> Da
 
 def nearest(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """(key, child, parent, distance): the parent with the smallest gap of lines to
-    a child (0 when they touch or overlap), the least id on ties."""
+    a child (0 when they touch or overlap), the least id on ties. A gap is the greatest of 0,
+    ``start - parent's end - 1`` and ``parent's start - end - 1``, for ranges that end before their start too; nulls are left out.
+
+    Keys with at most ``FEW`` parents compare each child with all of them, so a range is one row of a shuffle. Larger groups
+    are swept; only their ranges without a length are compared one by one."""
+    parents, children = parents.select(key, "parent", "start", "end"), children.select(key, "child", "start", "end")
+    counts = parents.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    rows = (total or 0) + children.count()
+    if (most or 0) <= FEW:
+        return _least(_compared(parents, children, key, rows), key)
+    many = materialise(counts.where(F.col("n") > FEW).select(key), "large-groups")
+    few = _compared(*(d.join(many, key, "left_anti") for d in (parents, children)), key, rows)
+    parents, children = (d.join(many, key, "left_semi") for d in (parents, children))
+    ranged = F.coalesce(F.col("start") <= F.col("end"), F.lit(False))
+    swept = _swept(parents.where(ranged), children.where(ranged), key)
+    for x, y in ((parents, children.where(~ranged)), (parents.where(~ranged), children.where(ranged))):
+        swept = swept.unionByName(_compared(x, y, key, rows))
+    return _least(few, key).unionByName(_least(swept, key))
+
+
+def _least(found: DataFrame, key: str) -> DataFrame:
+    return found.groupBy(key, "child").agg(F.min("g").alias("g")).select(key, "child", "g.parent", "g.distance")
+
+
+def _compared(parents: DataFrame, children: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, child, g: struct<distance, parent>) of all pairs of a key, of about ``rows`` ranges."""
+    x, y = dealt(children, rows, key), dealt(parents.select(key, "parent", F.col("start").alias("s2"), F.col("end").alias("e2")), rows, key)
+    gap = F.greatest(F.lit(0), F.col("start") - F.col("e2") - 1, F.col("s2") - F.col("end") - 1).cast("long")
+    return x.join(y, key).select(key, "child", F.struct(gap.alias("distance"), "parent").alias("g"))
+
+
+def _swept(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """(key, child, g) with the nearest parent on either side and all that touch or overlap the child."""
     marks = children.select(key, "child", "start", "end", F.lit(None).cast(parents.schema["parent"].dataType).alias("parent")).unionByName(
         parents.select(key, F.lit(None).cast(children.schema["child"].dataType).alias("child"), "start", "end", "parent")
     )
@@ -106,7 +145,7 @@ def nearest(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     x = children.select(key, "child", (F.col("start") - 1).alias("s1"), (F.col("end") + 1).alias("e1"))
     y = parents.select(key, "parent", F.col("start").alias("s2"), F.col("end").alias("e2"))
     met = overlapping(x, y, [key], "s1", "e1", "s2", "e2").select(key, "child", F.struct(F.lit(0).cast("long").alias("distance"), "parent").alias("g"))
-    return gaps.unionByName(met).groupBy(key, "child").agg(F.min("g").alias("g")).select(key, "child", "g.parent", "g.distance")
+    return gaps.unionByName(met)
 
 
 def consolidate(bundles: DataFrame, key: str, target: str) -> DataFrame:

@@ -30,6 +30,25 @@ def test_nearest_sweeps_a_group_once_each_way(spark):
     assert {(r.child, r.parent, r.distance) for r in found.collect()} == {(i, i, 2) for i in range(n)}
 
 
+def test_nearest_in_small_and_large_groups(spark, monkeypatch):
+    """Small groups have one row a range in their shuffles, and large ones the same result; ranges may end before their start."""
+    rng = random.Random(11)
+    made = lambda n: [(rng.randrange(6), i % 40, s := rng.randrange(60), rng.choice([s - 2, s, s + 3, s + 20, s + 5, None])) for i in range(n)]
+    ps, cs = made(90) + [(7, 1, 5, 6)], made(120) + [(8, 1, 5, 6), (None, 1, 5, 6), (7, 2, None, 3)]
+    gap = lambda s, e, ps, pe: max([0] + [a - b - 1 for a, b in ((s, pe), (ps, e)) if a is not None and b is not None])
+    want = {}
+    for k, c, s, e in cs:
+        found = [(gap(s, e, *p[2:]), p[1]) for p in ps if p[0] == k]
+        if found:
+            want[k, c] = min([want.get((k, c), (99, 99))] + found)
+    a, b = spark.createDataFrame(ps, "k int, parent int, start long, end long"), spark.createDataFrame(cs, "k int, child int, start long, end long")
+    for few in (64, 15, 0):
+        monkeypatch.setattr(intervals, "FEW", few)
+        found = intervals.nearest(a, b, "k")
+        assert ("Generate" in found._jdf.queryExecution().executedPlan().toString()) == (few < 64)
+        assert sorted((r.k, r.child, r.distance, r.parent) for r in found.collect()) == sorted((*k, *v) for k, v in want.items())
+
+
 def test_cells_tile_a_range(spark):
     rng = random.Random(2)
     ranges = [(s, s + rng.randrange(1 << rng.randrange(1, 12))) for s in (rng.randrange(-500, 3000) for _ in range(200))] + [(0, 0), (7, 6), (-8, -1), (5, 10**9 + 5), (1, (1 << 40) - 1)]
