@@ -46,17 +46,22 @@ def fuse_vector_graph(candidates: DataFrame, group: list[str], k: int = RRF_K) -
     return rrf(a.unionByName(b), group, "id", k=k)
 
 
-def demote(ranked: DataFrame, group: list[str], flagged: Column, limit: int, factor: float = 0.15, enabled: bool = True) -> DataFrame:
+def penalty(size: Column, limit: int, factor: float) -> Column:
+    """How far ``demote`` pushes a flagged row of a list of ``size`` rows back."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(factor) * F.greatest(F.lit(limit), size) * 2))
+
+
+def demote(ranked: DataFrame, group: list[str], flagged: Column, limit: int, factor: float = 0.15, enabled: bool = True, size: Column | None = None) -> DataFrame:
     """Pushes flagged rows of ``ranked(rank)`` back by a share of the list and
-    closes up; without it the list is only cut."""
+    closes up; without it the list is only cut. ``size`` is the whole list's, where ``ranked``
+    holds only its first ``limit`` rows of either kind."""
     if limit <= 0:
         return ranked.where(F.lit(False))
     factor = max(0.0, min(1.0, factor))
     if not enabled or factor <= 0:
         return ranked.where(F.col("rank") <= limit)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    penalty = F.greatest(F.lit(1), F.ceil(F.lit(factor) * F.greatest(F.lit(limit), size) * 2))
-    moved = ranked.withColumn("__moved", F.col("rank") + F.when(flagged, penalty).otherwise(0))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*group)) if size is None else size
+    moved = ranked.withColumn("__moved", F.col("rank") + F.when(flagged, penalty(size, limit, factor)).otherwise(0))
     w = Window.partitionBy(*group).orderBy("__moved", "rank")
     return moved.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("__moved")
 

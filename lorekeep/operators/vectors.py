@@ -42,41 +42,49 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _rounds(queries: DataFrame, id_: str, vector: str, dims: int):
-    """Broadcasts of (ids, unit vectors), each of at most ``BROADCAST_BYTES``; the
-    driver holds the rows of one round at a time."""
+def _rounds(queries: DataFrame, dims: int, most: int | None = None):
+    """Broadcasts of (ids, unit vectors, further columns), each of at most ``BROADCAST_BYTES`` of vectors
+    and ``most`` queries; the driver holds the rows of one round at a time."""
     sc = queries.sparkSession.sparkContext
-    per_round = max(1, BROADCAST_BYTES // (8 * dims))
-    ids, parts = [], []
+    per_round = max(1, min(BROADCAST_BYTES // (8 * dims), most or BROADCAST_BYTES))
+    part = []
 
     def held():
-        return sc.broadcast((np.array(ids), unit(np.array(parts, np.float64).reshape(len(ids), dims))))
+        ids, vectors, *more = zip(*part)
+        return sc.broadcast((np.array(ids), unit(np.array(vectors, np.float64).reshape(len(ids), dims)), *more))
 
     for r in queries.toLocalIterator():
-        ids.append(r[0])
-        parts.append(r[1])
-        if len(ids) == per_round:
+        part.append(r)
+        if len(part) == per_round:
             yield held()
-            ids, parts = [], []
-    if ids:
+            part = []
+    if part:
         yield held()
 
 
-def _against(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, group: str, scorer, columns: str) -> DataFrame:
-    """``vectors(id, vector, group)`` scored in Arrow blocks against each round of the queries."""
-    spark = vectors.sparkSession
-    ship(spark)
+def asked(queries: DataFrame, id_: str, vector: str) -> tuple[DataFrame, int]:
+    """``queries(id, vector)`` of the longest usable size, and that size."""
     good = queries.select(id_, vector).where(usable(F.col(vector)))
     dims = good.agg(F.max(F.size(vector))).first()[0] or 1
-    rows = good.where(F.size(vector) == dims).orderBy(id_)
-    source = vectors.where(usable(F.col(vector), dims)).select(F.col(id_).alias("__id"), F.col(vector).alias("__vector"), F.col(group).alias("__group"))
-    kind, of_group = (vectors.schema[c].dataType.simpleString() for c in (id_, group))
-    schema = columns.format(id=kind, group=of_group)
+    return good.where(F.size(vector) == dims), dims
+
+
+def in_rounds(queries: DataFrame, source: DataFrame, dims: int, scorer, schema: str, most: int | None = None) -> DataFrame:
+    """``source`` scored in Arrow blocks against each round of ``queries(id, vector, ...)``."""
     out = None
-    for held in _rounds(rows, id_, vector, dims):
+    for held in _rounds(queries, dims, most):
         found = source.mapInArrow(scorer(held), schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return source.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _against(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, group: str, scorer, columns: str) -> DataFrame:
+    """``vectors(id, vector, group)`` scored in Arrow blocks against each round of the queries."""
+    ship(vectors.sparkSession)
+    rows, dims = asked(queries, id_, vector)
+    source = vectors.where(usable(F.col(vector), dims)).select(F.col(id_).alias("__id"), F.col(vector).alias("__vector"), F.col(group).alias("__group"))
+    kind, of_group = (vectors.schema[c].dataType.simpleString() for c in (id_, group))
+    return in_rounds(rows.orderBy(id_), source, dims, scorer, columns.format(id=kind, group=of_group))
 
 
 def _slices(ids: np.ndarray, q: np.ndarray, x: np.ndarray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import export, floors, lexical, ranking, similarity_join, vectors
+from lorekeep.operators import demotion, export, floors, lexical, ranking, similarity_join, vectors
 from lorekeep.plans import indexes
 from lorekeep.plans.registry import query, sql_set, sql_tokens
 from lorekeep.storage import load
@@ -108,9 +108,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY moved, rank) AS rank FROM p) WHERE rank <= 20""")
 def demoted_topk(spark: SparkSession, d: str) -> DataFrame:
     q, rows = _split(spark, d)
-    scored = vectors.similarities(q, rows, "vec_id", "embedding", "label")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")))
-    return ranking.demote(ranked, ["query"], F.col("group") == 0, 20).select("query", "id", "rank")
+    return demotion.top_demoted(q, rows, "vec_id", "embedding", F.col("label") == 0, 20)
 
 
 @query(f"""WITH {_PAIRS}, g AS (SELECT query, max(cosine) AS dense_max FROM s WHERE query <> id GROUP BY query)
